@@ -1 +1,405 @@
-"""Registered queries."""
+"""Registered queries: index, BM25, vector and hybrid retrieval."""
+
+from pyspark.sql import functions as F
+
+from gleanery.catalog.registry import query
+from gleanery.functions.text import tokenize
+from gleanery.operators import bm25, fusion, index, rerank, snippet, vector
+from gleanery.plans import indexing, search
+
+_TOK = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) < 40)"
+
+
+def index_ctes(docs: str = "v_corpus") -> str:
+    return f"""
+fields AS (SELECT doc_id, 'title' AS field, title AS t FROM {docs}
+    UNION ALL SELECT doc_id, 'description', description FROM {docs}
+    UNION ALL SELECT doc_id, 'content', content FROM {docs}),
+toks AS (SELECT doc_id, field, {_TOK.format('t')} AS tl FROM fields WHERE t IS NOT NULL),
+post AS (SELECT field, term, doc_id, count(*) AS tf FROM
+    (SELECT field, doc_id, unnest(tl) AS term FROM toks) u GROUP BY ALL),
+lens AS (SELECT field, doc_id, len(tl) AS l FROM toks),
+fstat AS (SELECT field, (SELECT count(*) FROM {docs}) AS n_docs, sum(l) / (SELECT count(*) FROM {docs}) AS avg_len
+    FROM lens GROUP BY field),
+tstat AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL)"""
+
+
+_QT = f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM
+    (SELECT query_id, unnest({_TOK.format('q')}) AS term FROM v_queries) u GROUP BY ALL)"""
+_CONTRIB = """qtf * CASE p.field WHEN 'title' THEN 2.5e0 WHEN 'description' THEN 1.5e0 ELSE 1e0 END
+    * ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / avg_len))"""
+_MATCH = """post p JOIN tstat s ON p.field = s.field AND p.term = s.term JOIN fstat f ON p.field = f.field
+    JOIN lens d ON p.field = d.field AND p.doc_id = d.doc_id"""
+_SCORES = f"""{_QT},
+scores AS (SELECT query_id, p.doc_id, round(sum({_CONTRIB}), 6) AS score
+    FROM {_MATCH} JOIN qt ON p.term = qt.term GROUP BY ALL)"""
+
+
+def _ranked(source: str, name: str, k: int, value: str = "score", tie: str = "doc_id") -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {value} DESC, {tie}) - 1 AS rank
+    FROM {source} QUALIFY rank < {k})"""
+
+
+_BM25 = f"{index_ctes()}, {_SCORES}"
+
+
+def _index(view):
+    return index.build_index(view("v_corpus"))
+
+
+@query("tokenize", f"""
+WITH t AS (SELECT doc_id, {_TOK.format('text')} AS tl FROM documents)
+SELECT doc_id, cast(len(tl) AS bigint) AS n_tokens, array_to_string(tl, ' ') AS tokens FROM t""")
+def _(view):
+    t = tokenize(F.col("text"))
+    return view("documents").select(
+        "doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@query("build_index", f"WITH {index_ctes()} SELECT p.field, term, p.doc_id, tf, l AS doc_len FROM post p "
+                      "JOIN lens d ON p.field = d.field AND p.doc_id = d.doc_id")
+def _(view):
+    postings = _index(view).postings
+    return postings.withColumn("tf", F.col("tf").cast("long")).withColumn("doc_len", F.col("doc_len").cast("long"))
+
+
+@query("index_positions", f"""
+WITH {index_ctes()} SELECT field, doc_id, unnest(tl) AS term, cast(generate_subscripts(tl, 1) - 1 AS bigint) AS pos FROM toks""")
+def _(view):
+    return _index(view).positions.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("document_frequency", f"WITH {index_ctes()} SELECT field, term, df FROM tstat")
+def _(view):
+    return _index(view).term_stats
+
+
+@query("field_stats", f"WITH {index_ctes()} SELECT field, n_docs, round(avg_len, 6) AS avg_len FROM fstat")
+def _(view):
+    return _index(view).field_stats.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query("write_read_index", f"""
+WITH {index_ctes()}
+SELECT 'postings' AS part, count(*) AS n, cast(sum(tf) AS bigint) AS total FROM post
+UNION ALL SELECT 'doc_lengths', count(*), cast(sum(l) AS bigint) FROM lens
+UNION ALL SELECT 'term_stats', count(*), cast(sum(df) AS bigint) FROM tstat
+UNION ALL SELECT 'docs', count(*), cast(sum(length(content)) AS bigint) FROM v_corpus""")
+def _(view):
+    from gleanery.session import scratch_path
+    from gleanery.sources.index_store import write_index
+
+    built = _index(view)
+    stored = write_index(built, scratch_path(built.docs.sparkSession, "index"), with_positions=False)
+
+    def part(df, name, value):
+        return df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum(value).cast("long").alias("total"))
+
+    return (
+        part(stored.postings, "postings", "tf").unionByName(part(stored.doc_lengths, "doc_lengths", "len"))
+        .unionByName(part(stored.term_stats, "term_stats", "df"))
+        .unionByName(part(stored.docs, "docs", F.length("content")))
+    )
+
+
+@query("bm25_search", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, score FROM r""")
+def bm25_top10(view):
+    """Flagship: top documents for each benchmark text."""
+    return bm25.bm25_search(_index(view), view("v_queries"), k=10)
+
+
+@query("bm25_scores", f"WITH {_BM25} SELECT query_id, doc_id, score FROM scores")
+def _(view):
+    return bm25.bm25_scores(_index(view), view("v_queries"))
+
+
+@query("top_docs", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 25)} SELECT r.query_id, r.rank, c.url, r.score FROM r JOIN v_corpus c ON r.doc_id = c.doc_id""")
+def _(view):
+    built = _index(view)
+    top = bm25.bm25_search(built, view("v_queries"), k=25)
+    return top.join(built.docs.select("doc_id", "url"), "doc_id").select("query_id", "rank", "url", "score")
+
+
+@query("page_of_hits", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 30)} SELECT query_id, rank, doc_id, score FROM r WHERE rank >= 20""")
+def _(view):
+    top = bm25.bm25_search(_index(view), view("v_queries"), k=30)
+    return search.page(top, limit=10, offset=20)
+
+
+@query("total_hits", f"""
+WITH {_BM25} SELECT q.query_id, count(s.doc_id) AS total_hits FROM v_queries q
+LEFT JOIN scores s ON q.query_id = s.query_id GROUP BY q.query_id""")
+def _(view):
+    return bm25.match_counts(_index(view), view("v_queries"))
+
+
+_STRUCTURED = """sq AS (SELECT query_id, q, list_filter(string_split(lower(q), ' '), lambda w: length(w) > 2) AS ws FROM v_queries)"""
+
+
+@query("bm25_search_filtered", f"""
+WITH {index_ctes()},
+w AS (SELECT item_id AS query_id, text AS q, {_TOK.format('text')} AS tl FROM benchmark),
+c AS (SELECT query_id, unnest(tl) AS term, 'should' AS role FROM w
+      UNION ALL SELECT query_id, tl[1], 'must' FROM w UNION ALL SELECT query_id, tl[len(tl)], 'not' FROM w),
+qr AS (SELECT query_id, term, role, count(*) AS qtf FROM c GROUP BY ALL),
+hit AS (SELECT query_id, p.doc_id, round(sum(CASE WHEN role <> 'not' THEN {_CONTRIB} END), 6) AS score,
+        bool_or(role = 'must') AS must, bool_or(role = 'not') AS bad
+        FROM {_MATCH} JOIN qr ON p.term = qr.term GROUP BY ALL),
+grams AS (SELECT doc_id, field, unnest(tl) AS a, unnest(list_concat(tl[2:], [''])) AS b FROM toks),
+ph AS (SELECT DISTINCT w.query_id, g.doc_id FROM w JOIN grams g ON g.a = w.tl[2] AND g.b = w.tl[3]),
+ok AS (SELECT h.query_id, h.doc_id, h.score FROM hit h JOIN ph ON h.query_id = ph.query_id AND h.doc_id = ph.doc_id
+       WHERE must AND NOT bad AND score IS NOT NULL),
+{_ranked('ok', 'r', 20)}
+SELECT query_id, rank, doc_id, score FROM r""")
+def _(view):
+    tl = tokenize(F.col("q"))
+    queries = view("v_queries").select(
+        "query_id", "q", F.slice(tl, 1, 1).alias("must"), F.slice(tl, -1, 1).alias("must_not"),
+        F.concat_ws(" ", F.get(tl, F.lit(1)), F.get(tl, F.lit(2))).alias("phrase"))
+    return bm25.bm25_search_filtered(_index(view), queries, k=20)
+
+
+@query("phrase_matches", f"""
+WITH {index_ctes()}, w AS (SELECT query_id, {_TOK.format('q')} AS tl FROM v_queries),
+grams AS (SELECT doc_id, field, unnest(tl) AS a, unnest(list_concat(tl[2:], [''])) AS b, unnest(list_concat(tl[3:], ['', ''])) AS c
+          FROM toks WHERE len(tl) > 2)
+SELECT DISTINCT w.query_id, g.doc_id FROM w JOIN grams g ON g.a = w.tl[1] AND g.b = w.tl[2] AND g.c = w.tl[3]""")
+def _(view):
+    phrases = view("v_queries").select(
+        "query_id", F.concat_ws(" ", F.slice(tokenize(F.col("q")), 1, 3)).alias("phrase"))
+    return bm25.phrase_matches(_index(view), phrases)
+
+
+# Vector queries: the mean vector of every label, so that they come from the whole table.
+_CENTROIDS = """
+parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(v) AS m FROM parts GROUP BY ALL),
+cq AS (SELECT cast(label AS bigint) AS query_id, list(m ORDER BY i) AS q FROM means GROUP BY label)"""
+
+
+def _centroids(view):
+    parts = view("embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return means.groupBy(F.col("label").cast("long").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+
+
+_VEC = f"""{_CENTROIDS},
+sims AS (SELECT query_id, vec_id AS page_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity
+    FROM embeddings, cq)"""
+
+
+@query("vector_search", f"""
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, similarity FROM r""")
+def _(view):
+    return vector.vector_search(view("v_vectors"), _centroids(view), k=10)
+
+
+@query("vector_search_blocked", f"""
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, similarity FROM r""")
+def _(view):
+    """The same search as when the query set is too large to ship."""
+    return vector.vector_search(view("v_vectors"), _centroids(view), k=10, query_bytes_limit=0)
+
+
+@query("embeddings_with_pages", """
+SELECT e.page_id, c.url, c.title, round(list_sum(e.embedding::DOUBLE[]), 5) AS checksum
+FROM v_page_embeddings e JOIN v_crawled c ON e.page_id = c.id WHERE e.chunk_index = 0""")
+def _(view):
+    from gleanery.sources.pages import embeddings_with_pages
+
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return embeddings_with_pages(view("v_page_embeddings"), view("v_crawled")).select(
+        "page_id", "url", "title", F.round(total, 5).alias("checksum"))
+
+
+_HASHED = f"""
+hs AS (SELECT id, side, slot, sum(w) AS w FROM (
+    SELECT doc_id AS id, 'd' AS side, ('0x' || md5(term)[1:8])::UBIGINT % 384 AS slot,
+           CASE WHEN md5(term)[9] < '8' THEN tf ELSE -tf END AS w FROM post WHERE field = 'content'
+    UNION ALL
+    SELECT query_id, 'q', ('0x' || md5(term)[1:8])::UBIGINT % 384, CASE WHEN md5(term)[9] < '8' THEN qtf ELSE -qtf END FROM qt
+    ) u GROUP BY ALL HAVING sum(w) <> 0),
+unit AS (SELECT h.id, h.side, slot, (w / n)::FLOAT::DOUBLE AS v FROM hs h JOIN
+    (SELECT id, side, sqrt(sum(w * w)) AS n FROM hs GROUP BY ALL) m ON h.id = m.id AND h.side = m.side),
+norms AS (SELECT id, side, sqrt(sum(v * v)) AS n FROM unit GROUP BY ALL),
+hsims AS (SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(s.dot, 0) / (q.n * d.n), 6) AS similarity
+    FROM norms q JOIN norms d ON q.side = 'q' AND d.side = 'd' LEFT JOIN
+    (SELECT a.id AS qid, b.id AS did, sum(a.v * b.v) AS dot FROM unit a JOIN unit b ON a.slot = b.slot
+     WHERE a.side = 'q' AND b.side = 'd' GROUP BY ALL) s ON s.qid = q.id AND s.did = d.id)"""
+
+
+def _text_vectors(view):
+    pages = view("v_corpus").select(F.col("doc_id").alias("id"), "content")
+    return vector.embed_pages(pages)
+
+
+def _text_queries(view):
+    queries = view("v_queries")
+    return queries.join(vector.embed(queries, "query_id", "q"), "query_id")
+
+
+@query("embed", f"""
+WITH {index_ctes()}, {_QT}, {_HASHED}
+SELECT id AS page_id, slot, round(v, 5) AS value FROM unit WHERE side = 'd'""")
+def _(view):
+    rows = _text_vectors(view).select("page_id", F.posexplode("embedding").alias("slot", "value"))
+    return rows.where("value <> 0").select(
+        "page_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+_SIDES = f"""{_BM25}, {_HASHED}, {_ranked('scores', 'b', 20)}, {_ranked('hsims', 'v', 20, 'similarity')}"""
+
+
+def _sides(view):
+    built = _index(view)
+    left = bm25.bm25_search(built, view("v_queries"), k=20)
+    right = vector.vector_search(_text_vectors(view), _text_queries(view), k=20).withColumnRenamed("page_id", "doc_id")
+    return left, right
+
+
+@query("rank_hits", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 50, tie='doc_id')} SELECT query_id, doc_id, rank FROM r""")
+def _(view):
+    scored = bm25.bm25_scores(_index(view), view("v_queries"))
+    return fusion.rank_hits(scored, 50, tie="doc_id").select("query_id", "doc_id", "rank")
+
+
+_RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1 / (60e0 + rank)), 6) AS score FROM
+    (SELECT query_id, doc_id, rank FROM b UNION ALL SELECT query_id, doc_id, rank FROM v) u GROUP BY ALL)"""
+
+
+@query("rrf_fuse", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, score FROM rrf")
+def _(view):
+    left, right = _sides(view)
+    return fusion.rrf_fuse(left, right, key="doc_id")
+
+
+_WEIGHTED = """wf AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (
+    SELECT query_id, doc_id, CASE WHEN max(score) OVER w > 0 THEN 0.7e0 * score / max(score) OVER w ELSE 0 END AS part FROM b
+      WINDOW w AS (PARTITION BY query_id)
+    UNION ALL
+    SELECT query_id, doc_id, CASE WHEN max(similarity) OVER w > 0 THEN 0.3e0 * similarity / max(similarity) OVER w ELSE 0 END FROM v
+      WINDOW w AS (PARTITION BY query_id)) u GROUP BY ALL)"""
+
+
+@query("weighted_fuse", f"WITH {_SIDES}, {_WEIGHTED} SELECT query_id, doc_id, score FROM wf")
+def _(view):
+    left, right = _sides(view)
+    return fusion.weighted_fuse(left, right, 0.7, 0.3, key="doc_id")
+
+
+@query("fuse_selector", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, score FROM rrf")
+def _(view):
+    left, right = _sides(view)
+    return fusion.fuse(left, right, alpha=0.505, beta=0.495, key="doc_id")
+
+
+@query("hybrid_search", f"""
+WITH {_SIDES}, {_RRF}, {_ranked('rrf', 'r', 20)}
+SELECT r.query_id, r.rank, c.url, c.title, CASE WHEN b.doc_id IS NOT NULL THEN c.description END AS description,
+       b.doc_id IS NOT NULL AS in_text, r.score
+FROM r JOIN v_corpus c ON r.doc_id = c.doc_id LEFT JOIN b ON b.query_id = r.query_id AND b.doc_id = r.doc_id
+WHERE r.rank BETWEEN 10 AND 19""")
+def _(view):
+    hits = search.hybrid_search(_index(view), _text_queries(view), _text_vectors(view), limit=10, offset=10)
+    return hits.select("query_id", "rank", "url", "title", "description", (F.col("snippet") != "").alias("in_text"), "score")
+
+
+@query("hybrid_total_hits", f"""
+WITH {_SIDES}, {_RRF}, n AS (SELECT query_id, count(*) AS n_ranked FROM rrf GROUP BY 1),
+m AS (SELECT query_id, count(*) AS n_match FROM scores GROUP BY 1)
+SELECT q.query_id, greatest(coalesce(n_match, 0), coalesce(n_ranked, 0)) AS total_hits
+FROM v_queries q LEFT JOIN n ON q.query_id = n.query_id LEFT JOIN m ON q.query_id = m.query_id""")
+def _(view):
+    built, queries = _index(view), _text_queries(view)
+    ranked, left, right = search.ranked_hits(built, queries, _text_vectors(view), limit=10, offset=10)
+    return search.total_hits(built, queries, ranked, left, right, "hybrid")
+
+
+_OVERLAP = f"""
+cand AS (SELECT b.query_id, b.rank, b.doc_id, b.score,
+    CASE WHEN b.rank < 30 THEN
+      len(list_intersect(list_distinct({_TOK.format('q.q')}), {_TOK.format("concat_ws(' ', nullif(c.title, ''), nullif(c.description, ''), nullif(c.content, ''))")}))
+      / len(list_distinct({_TOK.format('q.q')})) END AS fresh
+    FROM b JOIN v_queries q ON b.query_id = q.query_id JOIN v_corpus c ON b.doc_id = c.doc_id)"""
+
+
+@query("rerank", f"""
+WITH {_BM25}, {_ranked('scores', 'b', 40)}, {_OVERLAP}
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank >= 30, fresh DESC, rank) - 1 AS rank,
+       round(coalesce(fresh, score), 6) AS score FROM cand""")
+def _(view):
+    built, queries = _index(view), view("v_queries")
+    ranked = bm25.bm25_search(built, queries, k=40).join(built.docs, "doc_id").join(queries, "query_id").withColumn(
+        "text", rerank.rerank_text(F.col("url"), F.col("title"), F.col("description"), F.col("content")))
+    out = rerank.rerank(ranked, rerank.overlap_score(F.col("q"), F.col("text")))
+    return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("rerank_text", """
+SELECT doc_id, coalesce(nullif(concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(content, '')), ''), url) AS text
+FROM v_corpus""")
+def _(view):
+    return view("v_corpus").select(
+        "doc_id", rerank.rerank_text(F.col("url"), F.col("title"), F.col("description"), F.col("content")).alias("text"))
+
+
+@query("snippets")
+def _(view):
+    hits = search.hybrid_search(_index(view), view("v_queries"), mode="bm25", limit=10)
+    return hits.select("query_id", "rank", "url", "snippet")
+
+
+@query("snippet_terms", f"""
+WITH {index_ctes()}, {_QT}
+SELECT qt.query_id, qt.term, round(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)), 6) AS weight
+FROM qt JOIN tstat s ON s.term = qt.term AND s.field = 'content' JOIN fstat f ON f.field = 'content'""")
+def _(view):
+    built = _index(view)
+    terms = snippet.query_snippet_terms(view("v_queries"), built.term_stats, built.field_stats)
+    return terms.select("query_id", F.explode("terms").alias("t")).select(
+        "query_id", "t.term", F.round("t.weight", 6).alias("weight"))
+
+
+_UPDATED = """
+fresh AS (SELECT id AS doc_id, url, 'v2 ' || title AS title, description, 'changed ' || content AS content
+          FROM v_crawled WHERE indexed),
+live AS (SELECT doc_id, url, title, description, content FROM v_corpus WHERE url NOT IN (SELECT url FROM fresh)
+         UNION ALL SELECT * FROM fresh)"""
+
+
+@query("update_index", f"""
+WITH {_UPDATED}, {index_ctes('live')}, {_SCORES}, {_ranked('scores', 'r', 10)}
+SELECT query_id, rank, doc_id, score FROM r""")
+def _(view):
+    changed = view("v_crawled").where("indexed").select(
+        F.col("id").alias("doc_id"), "url", F.concat(F.lit("v2 "), "title").alias("title"), "description",
+        F.concat(F.lit("changed "), "content").alias("content"))
+    return bm25.bm25_search(indexing.update_index(_index(view), changed), view("v_queries"), k=10)
+
+
+@query("reindex_all", f"""
+WITH {index_ctes()}
+SELECT (SELECT count(*) FROM v_corpus) AS pages_indexed, (SELECT count(*) FROM post) AS n_postings,
+       (SELECT count(*) FROM v_corpus) AS n_embeddings""")
+def _(view):
+    pages, built, vectors = indexing.reindex_all(view("v_crawled"))
+    one = F.lit(1).alias("__one")
+    # three one-row counts side by side
+    a = pages.agg(F.count_if("indexed").alias("pages_indexed")).select("*", one)
+    b = built.postings.agg(F.count("*").alias("n_postings")).select("*", one)
+    c = vectors.agg(F.count("*").alias("n_embeddings")).select("*", one)
+    return a.join(b, "__one").join(c, "__one").drop("__one")
+
+
+@query("recover_missing_embeddings", """
+SELECT page_id, chunk_index, len(embedding) AS width FROM v_page_embeddings
+UNION ALL SELECT id, 0, 384 FROM v_crawled c WHERE indexed AND NOT EXISTS
+  (SELECT 1 FROM v_page_embeddings e WHERE e.page_id = c.id)""")
+def _(view):
+    out = indexing.recover_missing_embeddings(view("v_crawled"), view("v_page_embeddings"))
+    return out.select("page_id", "chunk_index", F.size("embedding").cast("long").alias("width"))
