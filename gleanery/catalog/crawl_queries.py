@@ -89,7 +89,7 @@ SELECT item_id, 2e0 * (row_number() OVER (PARTITION BY regexp_extract(url, '^htt
        AS start_seconds FROM v_items""")
 def _(view):
     items = view("v_items").select("item_id", "url", F.col("item_id").alias("seq"))
-    return frontier.crawl_schedule(items, default_delay=2.0, block_size=5000).select("item_id", "start_seconds")
+    return frontier.crawl_schedule(items, default_delay=2.0).select("item_id", "start_seconds")
 
 
 @query("crawl_summary", """

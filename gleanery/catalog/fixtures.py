@@ -150,7 +150,7 @@ VIEWS = {
         SELECT o_custkey AS workspace_id, o_orderkey AS seq, '  HTTPS://R.example/' ||
                o_orderpriority AS url FROM orders
         UNION ALL
-        SELECT l_suppkey, l_orderkey * 10 + l_linenumber + 100000000,
+        SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey,
                'https://r.example/part/' || cast(l_partkey AS string) FROM lineitem""",
     "v_bulk_existing": """
         SELECT c_custkey AS workspace_id, 'https://R.EXAMPLE/1-URGENT' AS url FROM customer WHERE c_acctbal > 2000
@@ -169,7 +169,7 @@ VIEWS = {
     # Search results of two kinds for merge and facet operators: position by key, hosts from the pages.
     "v_results": """
         SELECT query_id, pos, url, title, snippet, category, img_src, thumbnail FROM (
-          SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS pos,
+          SELECT l_suppkey AS query_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos,
                  CASE WHEN l_returnflag = 'A' THEN 'https://en.wikipedia.org/wiki/P'
                       WHEN l_returnflag = 'R' THEN 'https://www.reddit.com/r/P'
                       WHEN l_shipmonth < 4 THEN 'https://data.census.gov/P'

@@ -198,7 +198,9 @@ def _stored_responses(view):
 
 
 @query("read_metasearch_json", """
-WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+             cast(l_partkey AS varchar), CASE WHEN l_tax > 0.02 THEN l_linestatus END NULLS FIRST, l_discount > 0.05,
+             cast(cast(l_quantity AS int) AS varchar) || ':') - 1 AS pos
            FROM lineitem WHERE l_returnflag <> 'N')
 SELECT cast(l_orderkey AS varchar) AS query, cast(pos AS int) AS pos, 'Line ' || cast(l_linenumber AS varchar) AS title,
        'https://p.example/' || cast(l_partkey AS varchar) AS url,

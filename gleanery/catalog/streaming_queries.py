@@ -1 +1,105 @@
-"""Registered queries."""
+"""Registered queries: streams run over the tables to their end."""
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from gleanery import schemas
+from gleanery.catalog import fixtures
+from gleanery.catalog.registry import ORACLES, QUERIES
+from gleanery.catalog.retrieval_queries import _BM25, _ranked
+from gleanery.operators.bm25 import bm25_search
+from gleanery.session import scratch_path
+from gleanery.sources.index_store import read_index
+from gleanery.streaming import streams
+
+
+def stream_query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; streams read files, so they take the folder itself."""
+
+    def wrap(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = fixtures.oracle(sql)
+        return fn
+
+    return wrap
+
+
+def _as_files(spark: SparkSession, sf_dir: str, view: str, files: int):
+    """A view written as several files, to arrive in several micro-batches."""
+    df = fixtures.view(spark, sf_dir, view)
+    path = scratch_path(spark, "arrivals")
+    df.repartition(files).write.parquet(path)
+    return path, df.schema
+
+
+@stream_query("stream_new_urls", "SELECT DISTINCT url FROM v_read_events")
+def stream_new_urls(spark, sf_dir):
+    path, schema = _as_files(spark, sf_dir, "v_read_events", 3)
+    arrivals = streams.read_stream(spark, path, schema, files_per_trigger=1)
+    return streams.run_to_table(streams.stream_new_urls(arrivals), scratch_path(spark, "urls"))
+
+
+@stream_query("dedupe_within_ttl", """
+SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL""")
+def dedupe_within_ttl(spark, sf_dir):
+    """Whole-month lifetime, so that each (user, type) passes once."""
+    events = streams.read_stream(
+        spark, sf_dir, fixtures.BASE_SCHEMAS["events"].replace("TIMESTAMP_NTZ", "TIMESTAMP"), name_filter="events.parquet")
+    once = streams.dedupe_within_ttl(events, ["user_id", "event_type"], "ts", 40 * 86_400)
+    out = streams.run_to_table(once.select("user_id", "event_type"), scratch_path(spark, "ttl"))
+    return out.withColumn("seen", F.lit(True))
+
+
+@stream_query("stream_error_rate", """
+WITH w AS (SELECT time_bucket(interval '1 day', ts) AS b, count(*) FILTER (WHERE NOT ok) AS errors, count(*) AS fetches
+           FROM v_fetch_log GROUP BY 1)
+SELECT strftime(b, '%Y-%m-%d') AS day, errors, fetches FROM w WHERE b + interval '1 day' <=
+  (SELECT max(ts) - interval '10 seconds' FROM v_fetch_log)""")
+def stream_error_rate(spark, sf_dir):
+    log = streams.read_stream(
+        spark, sf_dir, fixtures.BASE_SCHEMAS["events"].replace("TIMESTAMP_NTZ", "TIMESTAMP"), name_filter="events.parquet"
+    ).select("ts", (F.col("event_type") != "error").alias("ok"))
+    rates = streams.stream_error_rate(log, width="1 day")
+    out = streams.run_to_table(rates, scratch_path(spark, "rates"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "errors", "fetches")
+
+
+@stream_query("stream_politeness", """
+WITH p AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY host ORDER BY ts, event_id) AS prev FROM v_fetch_log)
+SELECT event_id, round(CASE WHEN prev IS NULL THEN 0 ELSE greatest(0, 3600 - (epoch_us(ts) - epoch_us(prev)) / 1e6) END, 6)
+  AS wait_seconds FROM p""")
+def stream_politeness(spark, sf_dir):
+    log = streams.read_stream(
+        spark, sf_dir, fixtures.BASE_SCHEMAS["events"].replace("TIMESTAMP_NTZ", "TIMESTAMP"), name_filter="events.parquet"
+    ).select("event_id", "ts", F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"))
+    waits = streams.stream_politeness(log, default_delay=3600.0)
+    out = streams.run_to_table(waits, scratch_path(spark, "waits"))
+    return out.select("event_id", F.round("wait_seconds", 6).alias("wait_seconds"))
+
+
+@stream_query("stream_ingest", """
+SELECT url, title, md5(content) AS digest FROM v_page_batch QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1""")
+def stream_ingest(spark, sf_dir):
+    """All changes in one arrival, so that the first of each URL is the first overall."""
+    path, schema = _as_files(spark, sf_dir, "v_page_batch", 1)
+    root = scratch_path(spark, "ingest")
+    arrivals = streams.read_stream(spark, path, schema)
+    table = schemas.PAGE
+    streams.stream_ingest(
+        arrivals.withColumn("crawled_at", F.col("crawled_at").cast("timestamp_ntz")), f"{root}/table",
+        f"{root}/checkpoint", table, available_now=True).awaitTermination()
+    latest = streams.Snapshots(spark, f"{root}/table").latest()
+    pages = spark.read.schema(table).parquet(latest)
+    return pages.select("url", "title", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@stream_query("stream_index", f"WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, score FROM r")
+def stream_index(spark, sf_dir):
+    """Documents arrive in two micro-batches; searching the stored index equals the batch result."""
+    path, schema = _as_files(spark, sf_dir, "v_corpus", 2)
+    root = scratch_path(spark, "index-stream")
+    arrivals = streams.read_stream(spark, path, schema, files_per_trigger=1)
+    streams.stream_index(arrivals, f"{root}/index", f"{root}/checkpoint").awaitTermination()
+    stored = read_index(spark, streams.Snapshots(spark, f"{root}/index").latest())
+    return bm25_search(stored, fixtures.view(spark, sf_dir, "v_queries"), k=10)

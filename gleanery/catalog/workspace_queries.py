@@ -111,9 +111,9 @@ def _(view):
 
 @query("domain_pills", r"""
 WITH h AS (SELECT workspace_id, regexp_replace(regexp_extract(url, '^https://([^/]*)', 1), '^www\.', '') AS host,
-           min(item_id) AS at FROM v_items GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY at) AS n, count(*) OVER (PARTITION BY workspace_id) AS c FROM h)
-SELECT workspace_id, string_agg(host, ' ' ORDER BY at) AS domains, greatest(max(c) - 4, 0) AS overflow
+           min(item_id) AS first_at FROM v_items GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY first_at) AS n, count(*) OVER (PARTITION BY workspace_id) AS c FROM h)
+SELECT workspace_id, string_agg(host, ' ' ORDER BY first_at) AS domains, greatest(max(c) - 4, 0) AS overflow
 FROM r WHERE n <= 4 GROUP BY workspace_id""")
 def _(view):
     return ws.domain_pills(view("v_items")).withColumn("domains", F.array_join("domains", " "))
@@ -235,12 +235,12 @@ def _(view):
 
 
 @query("pin_order", """
-SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS order_index
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS order_index
 FROM lineitem""")
 def _(view):
     pins = view("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("workspace_id"),
-                                   (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return ws.pin_order(pins, "seq", block_size=20_000).select("l_orderkey", "l_linenumber", "order_index")
+                                   ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"))
+    return ws.pin_order(pins, "seq").select("l_orderkey", "l_linenumber", "order_index")
 
 
 @query("reorder", """
@@ -322,7 +322,7 @@ def _(view):
 @query("profiles_by_name", """
 SELECT c_custkey, row_number() OVER (ORDER BY n, c_custkey) AS place FROM (
   SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'anonymous' ELSE
-    lower(c_mktsegment) || ' ' || lpad(cast(cast(abs(c_acctbal) AS int) AS varchar), 12, '0') END AS n FROM customer) u""")
+    lower(c_mktsegment) || ' ' || lpad(cast(cast(floor(c_acctbal) AS bigint) AS varchar), 12, '0') END AS n FROM customer) u""")
 def _(view):
     from gleanery.operators.running import ordered_index
 

@@ -38,18 +38,20 @@ def _clean(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
+def _clock(parts: Column) -> Column:
+    """Seconds from [m, s] or [h, m, s]; null for anything else or a part that is no number."""
+    weights = F.when(F.size(parts) == 2, F.array(F.lit(60), F.lit(1))).when(
+        F.size(parts) == 3, F.array(F.lit(3600), F.lit(60), F.lit(1)))
+    terms = F.zip_with(parts, weights, lambda part, weight: part.try_cast("long") * weight)
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda total, term: total + term)
+
+
 def parse_duration(value: Column) -> Column:
     """Seconds from ``123``, ``123.4``, ``m:ss`` or ``h:mm:ss``; null when it is none of these."""
     text = _clean(value)
-    parts = F.transform(F.split(text, ":"), lambda p: p.try_cast("long"))
-    whole = F.forall(parts, lambda p: p.isNotNull())
-    clock = F.when(F.size(parts) == 2, F.get(parts, F.lit(0)) * 60 + F.get(parts, F.lit(1))).when(
-        F.size(parts) == 3,
-        F.get(parts, F.lit(0)) * 3600 + F.get(parts, F.lit(1)) * 60 + F.get(parts, F.lit(2)),
-    )
     plain = F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"),
                    text.try_cast("double").cast("long"))
-    return F.coalesce(plain, F.when(whole, clock))
+    return F.coalesce(plain, _clock(F.split(text, ":")))
 
 
 def raw_duration(value: Column) -> Column:

@@ -97,7 +97,7 @@ def peak_concurrency(log: DataFrame, block_seconds: int = HOUR) -> DataFrame:
     end = log.select((F.col("ts") + F.make_dt_interval(secs=micros / F.lit(1e6))).alias("ts"),
                      F.lit(-1).alias("delta"))
     steps = start.unionByName(end).groupBy("ts", "delta").agg(F.sum("delta").alias("step"))
-    level = running_total(steps, [], ["ts", "delta"], time_block("ts", block_seconds), F.col("step"), "in_flight")
+    level = running_total(steps, [], ["ts", "delta"], F.col("step"), "in_flight", time_block("ts", block_seconds))
     return level.agg(F.max("in_flight").alias("peak"))
 
 

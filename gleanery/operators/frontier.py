@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
-from gleanery.operators.running import id_block, ordered_index, running_total
+from gleanery.operators.running import ordered_index, running_total
 from gleanery.session import materialize, scratch_path
 
 
@@ -39,10 +39,10 @@ def max_pages_budget(frontier: DataFrame, max_pages: int) -> DataFrame:
 
 
 def crawl_schedule(frontier: DataFrame, rules: DataFrame | None = None, default_delay: float = 1.0,
-                   order: str = "seq", block_size: int = 100_000) -> DataFrame:
+                   order: str = "seq") -> DataFrame:
     """Earliest start of each URL: delay × number of earlier URLs of its host."""
     df = frontier.withColumn("host", urls.url_host(F.col("url")))
-    ranked = running_total(df, ["host"], [order], id_block(order, block_size), F.lit(1), "__rank")
+    ranked = running_total(df, ["host"], [order], F.lit(1), "__rank")
     delay = F.lit(default_delay)
     if rules is not None:
         ranked = ranked.join(rules.select("host", "crawl_delay"), "host", "left")

@@ -18,11 +18,21 @@ from gleanery.session import materialize
 _B = "__block"
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column,
-                  out: str) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over the rows of ``keys`` up to and including this one."""
+def _ranged(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with their range-partition number as block. Written once, so the number is fixed."""
+    return materialize(df.repartitionByRange(*columns).withColumn(_B, F.spark_partition_id()), "ranged")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+                  block: Column | None = None) -> DataFrame:
+    """Adds ``out`` = sum of ``value`` over the rows of ``keys`` up to and including this one.
+
+    Without a ``block`` expression the rows are range-partitioned by (keys, order) and each
+    partition is a block, whatever the spread of the values.
+    """
     keys = list(keys)
-    rows = df.withColumn(_B, block).withColumn("__v", value)
+    rows = df.withColumn("__v", value)
+    rows = _ranged(rows, [*keys, *order]) if block is None else rows.withColumn(_B, block)
     sums = rows.groupBy(*keys, _B).agg(F.sum("__v").alias("__s"))
     before = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*keys, _B, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
@@ -34,6 +44,11 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     )
 
 
+def ordered_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds ``out`` = 1, 2, 3 … over the whole frame in ``order``, without one task seeing it all."""
+    return running_total(df, [], order, F.lit(1), out)
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column,
                   out: str) -> DataFrame:
     """Adds ``out`` = ``value`` of the row just before this one within ``keys`` (null for the first)."""
@@ -50,22 +65,6 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     )
 
 
-def id_block(column: str, size: int) -> Column:
-    """Blocks of ``size`` consecutive ids."""
-    return F.floor(F.col(column) / F.lit(size))
-
-
 def time_block(column: str, seconds: int) -> Column:
     """Blocks of ``seconds`` of wall time."""
     return F.floor(F.unix_timestamp(F.col(column).cast("timestamp")) / F.lit(seconds))
-
-
-def ordered_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Adds ``out`` = 1, 2, 3 … over the whole frame in ``order``, without one task seeing it all.
-
-    Rows are range-partitioned and written once, so that the partition number is fixed and can
-    serve as the block of a running total.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    fixed = materialize(ranged, "ordered")
-    return running_total(fixed, [], order, F.col("__part"), F.lit(1), out).drop("__part")

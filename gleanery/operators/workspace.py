@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import blank_to_null, natural_sort_key
 from gleanery.functions.urls import strip_www, url_host
 from gleanery.operators.bm25 import top_k
-from gleanery.operators.running import id_block, running_total
+from gleanery.operators.running import running_total
 
 # Limits of the workspace views.
 MAX_ITEMS = 1000
@@ -210,9 +210,9 @@ def recent_media(items: DataFrame, k: int = RECENT_MEDIA, order: str = "item_id"
     return top_k(pictured, k, key="workspace_id", score="__neg", tie="url").drop("__neg")
 
 
-def pin_order(pins: DataFrame, order: str, block_size: int = 100_000) -> DataFrame:
+def pin_order(pins: DataFrame, order: str) -> DataFrame:
     """New pins get the next index of their workspace: count so far + 1."""
-    return running_total(pins, ["workspace_id"], [order], id_block(order, block_size), F.lit(1), "order_index")
+    return running_total(pins, ["workspace_id"], [order], F.lit(1), "order_index")
 
 
 def reorder(pins: DataFrame, listed: DataFrame) -> DataFrame:
@@ -223,8 +223,7 @@ def reorder(pins: DataFrame, listed: DataFrame) -> DataFrame:
         "order_index", F.coalesce((F.col("__i") + 1).cast("long"), F.col("order_index").cast("long"))).drop("__i")
 
 
-def bulk_add_items(existing: DataFrame, batch: DataFrame, cap: int = MAX_ITEMS, order: str = "seq",
-                   block_size: int = 100_000) -> DataFrame:
+def bulk_add_items(existing: DataFrame, batch: DataFrame, cap: int = MAX_ITEMS, order: str = "seq") -> DataFrame:
     """Status of each request (workspace_id, seq, url): created, duplicate or rejected.
 
     Requests count in order. A URL (trimmed, lower-cased) already in the workspace is a duplicate;
@@ -237,7 +236,7 @@ def bulk_add_items(existing: DataFrame, batch: DataFrame, cap: int = MAX_ITEMS,
     requests = batch.withColumn("__n", norm)
     firsts = requests.groupBy("workspace_id", "__n").agg(F.min(order).alias("__first"))
     fresh = firsts.join(have, ["workspace_id", "__n"], "left_anti")
-    ranked = running_total(fresh, ["workspace_id"], ["__first"], id_block("__first", block_size), F.lit(1), "__r")
+    ranked = running_total(fresh, ["workspace_id"], ["__first"], F.lit(1), "__r")
     room = F.lit(cap) - F.coalesce("__count", F.lit(0))
     fate = ranked.join(counts, "workspace_id", "left").select(
         "workspace_id", "__n", "__first", (F.col("__r") <= room).alias("__fits"))

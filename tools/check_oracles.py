@@ -61,8 +61,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     a, b = rows(df.columns, got), rows(names, want)
     if a == b:
         return "ok", len(a), took, f"duck {duck_took:.1f}s" if duck_took > 2 else ""
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
+    only_a = sorted(set(a) - set(b))[:2]
+    only_b = sorted(set(b) - set(a))[:2]
     return "DIFF", len(a), took, f"{len(a)} vs {len(b)}\n   spark {str(only_a)[:900]}\n   duck  {str(only_b)[:900]}"
 
 
