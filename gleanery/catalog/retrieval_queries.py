@@ -89,7 +89,7 @@ def _(view):
     from gleanery.session import scratch_path
     from gleanery.sources.index_store import write_index
 
-    built = _index(view)
+    built = index.build_index(view("v_corpus"), stage=True)
     stored = write_index(built, scratch_path(built.docs.sparkSession, "index"), with_positions=False)
 
     def part(df, name, value):

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokenize
+from gleanery.session import materialize
 
 FIELDS = ("title", "description", "content")
-TERM_BUCKETS = 64
+TERM_BUCKETS = 32
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,7 @@ def _fields(docs: DataFrame) -> DataFrame:
 
 def field_stats(fields: DataFrame) -> DataFrame:
     """Document count and mean field length; a missing field counts as length 0."""
-    length = F.coalesce(F.size("tokens"), F.lit(0))
-    length = F.when(F.col("tokens").isNull(), F.lit(0)).otherwise(length)
+    length = F.when(F.col("tokens").isNull(), F.lit(0)).otherwise(F.size("tokens"))
     return fields.groupBy("field").agg(
         F.count("*").alias("n_docs"), (F.sum(length) / F.count("*")).alias("avg_len"))
 
@@ -48,25 +48,31 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def build_index(pages: DataFrame) -> Index:
+def build_index(pages: DataFrame, stage: bool = False) -> Index:
     """Pages (doc_id, url, title, description, content) → index.
 
-    The text is hashed by document once; term counting then needs no further shuffle,
-    because every term row of a document is already in one partition.
+    The text is hashed by document once; term counting then needs no further shuffle, because
+    every term row of a document is already in one partition. ``stage=True`` keeps the token
+    lists in the shared folder, for when several tables of the index will be read: the text is
+    then tokenised once instead of once per table.
     """
     docs = pages.select("doc_id", "url", *FIELDS)
-    fields = _fields(docs.repartition("doc_id"))
+    if stage:
+        fields = materialize(_fields(docs.repartition("doc_id")), "tokens")
+        hashed = fields.repartition("doc_id")
+    else:
+        fields = hashed = _fields(docs.repartition("doc_id"))
     present = fields.where(F.col("tokens").isNotNull())
     postings = (
-        present.select("doc_id", "field", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+        hashed.where(F.col("tokens").isNotNull())
+        .select("doc_id", "field", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
         .groupBy("doc_id", "field", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
         .select("field", "term", "doc_id", "tf", "doc_len")
     )
-    scan = _fields(docs).where(F.col("tokens").isNotNull())
-    positions = scan.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term")).select(
+    positions = present.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term")).select(
         "field", "term", "doc_id", "pos")
-    lengths = scan.select("field", "doc_id", F.size("tokens").alias("len"))
-    return Index(docs, postings, positions, lengths, field_stats(_fields(docs)), term_stats(postings))
+    lengths = present.select("field", "doc_id", F.size("tokens").alias("len"))
+    return Index(docs, postings, positions, lengths, field_stats(fields), term_stats(postings))
 
 
 def with_postings(docs: DataFrame, postings: DataFrame, positions: DataFrame, lengths: DataFrame) -> Index:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import blank_to_null
@@ -91,32 +93,30 @@ def append_page(results: DataFrame, following: DataFrame, page: int, images: boo
     return results.unionByName(following.withColumn("page", F.lit(page)), allowMissingColumns=True)
 
 
+def _any_of(column: Column, parts: Sequence[str], test=F.contains) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | test(column, F.lit(part))
+    return out
+
+
 def facet(df: DataFrame) -> DataFrame:
     """Adds ``is_research``, ``is_discussion`` and ``is_official``."""
-    category = F.lower(F.coalesce("category", F.lit("")))
-    host = F.coalesce(url_host(F.col("url")), F.lit(""))
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit(""))))
-
-    def holds(column, parts):
-        test = F.lit(False)
-        for part in parts:
-            test = test | F.contains(column, F.lit(part))
-        return test
-
-    def ends(column, parts):
-        test = F.lit(False)
-        for part in parts:
-            test = test | F.endswith(column, F.lit(part))
-        return test
-
-    return (
-        df.withColumn("is_research", category.isin(*RESEARCH_CATEGORIES) | ends(host, (".edu",))
-                      | holds(host, RESEARCH_HOSTS) | holds(text, RESEARCH_TEXT))
-        .withColumn("is_discussion", holds(category, DISCUSSION_CATEGORY_PARTS)
-                    | category.isin(*DISCUSSION_CATEGORIES) | holds(host, DISCUSSION_HOSTS))
-        .withColumn("is_official", ends(host, OFFICIAL_HOST_ENDS) | holds(category, OFFICIAL_CATEGORY_PARTS)
-                    | category.isin(*OFFICIAL_CATEGORIES) | holds(host, OFFICIAL_HOSTS) | holds(text, OFFICIAL_TEXT))
-    )
+    # a projection of its own, so that the lower-cased texts are made once per row
+    staged = df.withColumns({
+        "__cat": F.lower(F.coalesce("category", F.lit(""))),
+        "__host": F.coalesce(url_host(F.col("url")), F.lit("")),
+        "__text": F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))),
+    })
+    category, host, text = F.col("__cat"), F.col("__host"), F.col("__text")
+    return staged.withColumns({
+        "is_research": category.isin(*RESEARCH_CATEGORIES) | _any_of(host, (".edu",), F.endswith)
+        | _any_of(host, RESEARCH_HOSTS) | _any_of(text, RESEARCH_TEXT),
+        "is_discussion": _any_of(category, DISCUSSION_CATEGORY_PARTS) | category.isin(*DISCUSSION_CATEGORIES)
+        | _any_of(host, DISCUSSION_HOSTS),
+        "is_official": _any_of(host, OFFICIAL_HOST_ENDS, F.endswith) | _any_of(category, OFFICIAL_CATEGORY_PARTS)
+        | category.isin(*OFFICIAL_CATEGORIES) | _any_of(host, OFFICIAL_HOSTS) | _any_of(text, OFFICIAL_TEXT),
+    }).drop("__cat", "__host", "__text")
 
 
 def thumbnail_of(df: DataFrame) -> DataFrame:

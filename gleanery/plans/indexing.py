@@ -16,7 +16,7 @@ def as_documents(pages: DataFrame) -> DataFrame:
 
 def update_index(index: Index, pages: DataFrame) -> Index:
     """Delete the documents of the given URLs, add the pages, work the statistics out again."""
-    added = build_index(pages)
+    added = build_index(pages, stage=True)
     gone = index.docs.select("doc_id", "url").join(pages.select("url"), "url", "left_semi").select("doc_id").unionByName(
         pages.select("doc_id")).distinct()
 

@@ -1,17 +1,18 @@
 """Index tables on disk.
 
 Postings and positions are laid out by term: a hash bucket of the term is the partition
-column, rows are range-partitioned by (bucket, term, document) so that one very frequent
-term spreads over several files, and sorted, so that row-group statistics prune by term.
-A search joins on the bucket too and dynamic partition pruning skips the other buckets.
+column and rows are sorted by term inside a file, so that row-group statistics prune by term.
+A search joins on the bucket too, and dynamic partition pruning skips the other buckets. The
+write is rebalanced: buckets heavy with one very frequent term are split over several tasks.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators.index import TERM_BUCKETS, Index, field_stats, term_stats, with_postings  # noqa: F401
+from gleanery.operators.index import TERM_BUCKETS, Index, term_stats
 
 _TABLES = ("docs", "postings", "positions", "doc_lengths", "field_stats", "term_stats")
 _SCHEMAS = {
@@ -33,21 +34,21 @@ def write_by_term(df: DataFrame, path: str, buckets: int = TERM_BUCKETS, mode: s
     keys = ["term_bucket", "term", *[c for c in ("doc_id", "pos") if c in df.columns]]
     (
         df.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .hint("rebalance", "term_bucket").sortWithinPartitions(*keys)
         .write.mode(mode).partitionBy("term_bucket").parquet(path)
     )
 
 
-def write_index(index: Index, path: str, with_positions: bool = True) -> Index:
+def write_index(index: Index, path: str, with_positions: bool = True, buckets: int = TERM_BUCKETS) -> Index:
     """Write every table once; statistics are computed from the written postings, not from the text."""
     spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    write_by_term(index.postings.select("field", "term", "doc_id", "tf", "doc_len"), f"{path}/postings")
+    write_by_term(index.postings.select("field", "term", "doc_id", "tf", "doc_len"), f"{path}/postings", buckets)
     if with_positions:
-        write_by_term(index.positions.select("field", "term", "doc_id", "pos"), f"{path}/positions")
+        write_by_term(index.positions.select("field", "term", "doc_id", "pos"), f"{path}/positions", buckets)
     index.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
     stored = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
-    write_by_term(term_stats(stored), f"{path}/term_stats")
+    write_by_term(term_stats(stored), f"{path}/term_stats", buckets)
     index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
     return read_index(spark, path)
 
@@ -58,6 +59,6 @@ def read_index(spark: SparkSession, path: str) -> Index:
               if name != "positions"}
     try:
         frames["positions"] = spark.read.schema(_SCHEMAS["positions"]).parquet(f"{path}/positions")
-    except Exception:  # an index written without positions answers everything but phrases
+    except AnalysisException:  # an index written without positions answers everything but phrases
         frames["positions"] = spark.createDataFrame([], _SCHEMAS["positions"])
     return Index(**frames)

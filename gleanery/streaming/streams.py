@@ -95,7 +95,7 @@ def stream_index(pages: DataFrame, root: str, checkpoint: str, available_now: bo
         else:
             from gleanery.operators.index import build_index
 
-            updated = build_index(fresh)
+            updated = build_index(fresh, stage=True)
         write_index(updated, states.path(batch_id))
         states.mark_done(batch_id)
 
