@@ -6,6 +6,7 @@ from gleanery.catalog.registry import query
 from gleanery.functions.text import tokenize
 from gleanery.operators import bm25, fusion, index, rerank, snippet, vector
 from gleanery.plans import indexing, search
+from gleanery.sources.pages import one_row
 
 _TOK = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) < 40)"
 
@@ -388,12 +389,9 @@ SELECT (SELECT count(*) FROM v_corpus) AS pages_indexed, (SELECT count(*) FROM p
        (SELECT count(*) FROM v_corpus) AS n_embeddings""")
 def _(view):
     pages, built, vectors = indexing.reindex_all(view("v_crawled"))
-    one = F.lit(1).alias("__one")
-    # three one-row counts side by side
-    a = pages.agg(F.count_if("indexed").alias("pages_indexed")).select("*", one)
-    b = built.postings.agg(F.count("*").alias("n_postings")).select("*", one)
-    c = vectors.agg(F.count("*").alias("n_embeddings")).select("*", one)
-    return a.join(b, "__one").join(c, "__one").drop("__one")
+    return one_row(
+        pages.agg(F.count_if("indexed").alias("pages_indexed")), built.postings.agg(F.count("*").alias("n_postings")),
+        vectors.agg(F.count("*").alias("n_embeddings")))
 
 
 @query("recover_missing_embeddings", """

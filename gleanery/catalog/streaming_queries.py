@@ -41,14 +41,19 @@ def stream_new_urls(spark, sf_dir):
 
 
 @stream_query("dedupe_within_ttl", """
-SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL""")
+WITH RECURSIVE c AS (
+  SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY ALL
+  UNION ALL
+  SELECT c.user_id, c.event_type, min(e.ts) FROM c JOIN events e ON e.user_id = c.user_id AND e.event_type = c.event_type
+    AND e.ts >= c.t + interval '3' day GROUP BY ALL)
+SELECT user_id, event_type, strftime(t, '%Y-%m-%d %H:%M:%S') AS computed_at FROM c""")
 def dedupe_within_ttl(spark, sf_dir):
-    """Whole-month lifetime, so that each (user, type) passes once."""
+    """Answers cached for three days per (user, type)."""
     events = streams.read_stream(
         spark, sf_dir, fixtures.BASE_SCHEMAS["events"].replace("TIMESTAMP_NTZ", "TIMESTAMP"), name_filter="events.parquet")
-    once = streams.dedupe_within_ttl(events, ["user_id", "event_type"], "ts", 40 * 86_400)
-    out = streams.run_to_table(once.select("user_id", "event_type"), scratch_path(spark, "ttl"))
-    return out.withColumn("seen", F.lit(True))
+    computed = streams.dedupe_within_ttl(events, ["user_id", "event_type"], "ts", 3 * 86_400)
+    out = streams.run_to_table(computed, scratch_path(spark, "ttl"))
+    return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("computed_at"))
 
 
 @stream_query("stream_error_rate", """

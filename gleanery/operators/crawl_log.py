@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.running import running_total, time_block, with_previous
+from gleanery.sources.pages import one_row
 
 HOUR = 3600
 MAX_RETRY_DELAY_MS = 30_000
@@ -80,8 +81,7 @@ def crawl_summary(log: DataFrame, frontier: DataFrame | None = None) -> DataFram
         return totals
     seen = frontier.agg(
         F.count_distinct("url").alias("urls_discovered"), F.count_if(~F.col("allowed")).alias("robots_blocked"))
-    # two one-row aggregates side by side
-    return totals.withColumn("__one", F.lit(1)).join(seen.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return one_row(totals, seen)
 
 
 def throughput(log: DataFrame) -> DataFrame:

@@ -78,11 +78,8 @@ def build_index(pages: DataFrame, stage: bool = False) -> Index:
 def with_postings(docs: DataFrame, postings: DataFrame, positions: DataFrame, lengths: DataFrame) -> Index:
     """An index whose statistics are worked out again from its parts."""
     totals = lengths.groupBy("field").agg(F.sum("len").alias("__total"))
-    n_docs = docs.agg(F.count("*").alias("n_docs")).withColumn("__one", F.lit(1))
-    names = docs.sparkSession.createDataFrame([(name,) for name in FIELDS], "field STRING")
-    # three field rows beside a one-row count
-    stats = (
-        names.join(totals, "field", "left").withColumn("__one", F.lit(1)).join(F.broadcast(n_docs), "__one")
-        .select("field", "n_docs", (F.coalesce("__total", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
-    )
+    counts = docs.select(F.explode(F.array(*[F.lit(name) for name in FIELDS])).alias("field")).groupBy("field").agg(
+        F.count("*").alias("n_docs"))
+    stats = counts.join(totals, "field", "left").select(
+        "field", "n_docs", (F.coalesce("__total", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
     return Index(docs, postings, positions, lengths, stats, term_stats(postings))

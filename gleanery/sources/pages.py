@@ -110,9 +110,15 @@ def mark_indexed(pages: DataFrame, ids: DataFrame) -> DataFrame:
 def page_counts(pages: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row: pages, indexed pages, embeddings."""
     a = pages.agg(F.count("*").alias("total_pages"), F.count_if("indexed").alias("indexed_pages"))
-    b = embeddings.agg(F.count("*").alias("embeddings"))
-    # two one-row aggregates side by side
-    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return one_row(a, embeddings.agg(F.count("*").alias("embeddings")))
+
+
+def one_row(*aggregates: DataFrame) -> DataFrame:
+    """One-row aggregates side by side: a union in which each column has a single value."""
+    both = aggregates[0]
+    for other in aggregates[1:]:
+        both = both.unionByName(other, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def shard_count(n: int) -> int:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,8 +70,6 @@ def stream_ingest(pages: DataFrame, root: str, checkpoint: str, schema, order: s
                   upsert: Callable[[DataFrame, DataFrame, str], DataFrame] = upsert_pages,
                   available_now: bool = False) -> StreamingQuery:
     """Upsert every micro-batch of pages into the snapshot table below ``root``."""
-    spark = pages.sparkSession
-
     def apply(batch: DataFrame, batch_id: int) -> None:
         states = Snapshots(batch.sparkSession, root)
         before = states.latest(before=batch_id)
@@ -79,7 +79,6 @@ def stream_ingest(pages: DataFrame, root: str, checkpoint: str, schema, order: s
 
     writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{FLUSH_SECONDS} seconds"}
-    del spark
     return writer.trigger(**trigger).start()
 
 
@@ -110,8 +109,37 @@ def stream_new_urls(urls: DataFrame) -> DataFrame:
 
 
 def dedupe_within_ttl(events: DataFrame, keys: list[str], ts: str, ttl_seconds: int) -> DataFrame:
-    """Drop repeats of a key inside ``ttl_seconds`` of event time; state is released as time passes."""
-    return events.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(keys)
+    """Events that a cache with this lifetime would have to compute → (keys…, ts).
+
+    The first event of a key is computed; later ones are served until ``ttl_seconds`` have passed
+    since that computation; the next one computes again. The state of a key is one time, released
+    when the watermark passes its end of life.
+    """
+    ttl = ttl_seconds * 1_000_000
+    fields = [events.schema[k] for k in keys] + [T.StructField("__micros", T.LongType())]
+
+    def compute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.sort(np.concatenate([pdf["__micros"].to_numpy() for pdf in batches]))
+        last = state.get[0] if state.exists else None
+        at = 0 if last is None else int(np.searchsorted(times, last + ttl))
+        computed = []
+        while at < len(times):
+            last = int(times[at])
+            computed.append(last)
+            at = int(np.searchsorted(times, last + ttl))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if computed:
+            yield pd.DataFrame({**{k: [v] * len(computed) for k, v in zip(keys, key)}, "__micros": computed})
+
+    rows = events.withWatermark(ts, f"{ttl_seconds} seconds").select(
+        *keys, ts, F.unix_micros(F.col(ts)).alias("__micros"))
+    out = rows.groupBy(*keys).applyInPandasWithState(
+        compute, T.StructType(fields), "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*keys, F.timestamp_micros("__micros").alias(ts))
 
 
 def stream_error_rate(log: DataFrame, width: str = "2 seconds", lateness: str = "10 seconds") -> DataFrame:
