@@ -18,7 +18,7 @@ _DOC_ITEMS = """
 it AS (SELECT doc_id AS item_id, cast(substring(source, 4) AS bigint) AS workspace_id, CASE WHEN length(content) > 4000
          THEN url || '.JPG' WHEN length(content) > 3000 THEN 'https://youtu.be/d' || cast(doc_id AS varchar) ELSE url END AS url,
          CASE WHEN length(content) < 300 THEN NULL ELSE title END AS title, description AS snippet, content,
-         cast(length(content) / 1000 AS int) AS order_index, length(content) > 450 AS success
+         cast(floor(length(content) / 1000) AS int) AS order_index, length(content) > 450 AS success
        FROM (SELECT c.*, d.source FROM v_corpus c JOIN documents d ON c.doc_id = d.doc_id) c)"""
 
 
@@ -30,7 +30,7 @@ def _doc_items(view):
         F.when(n > 4000, F.concat("url", F.lit(".JPG")))
         .when(n > 3000, F.concat(F.lit("https://youtu.be/d"), F.col("doc_id").cast("string"))).otherwise(F.col("url")).alias("url"),
         F.when(n >= 300, F.col("title")).alias("title"), F.col("description").alias("snippet"), "content",
-        F.round(n / 1000).cast("int").alias("order_index"), (n > 450).alias("success"),
+        F.floor(n / 1000).cast("int").alias("order_index"), (n > 450).alias("success"),
         F.lit(0).alias("created_at"))
 
 

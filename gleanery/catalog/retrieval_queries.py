@@ -44,8 +44,8 @@ def _ranked(source: str, name: str, k: int, value: str = "score", tie: str = "do
 _BM25 = f"{index_ctes()}, {_SCORES}"
 
 
-def _index(view):
-    return index.build_index(view("v_corpus"))
+def _index(view, stage=True):
+    return index.build_index(view("v_corpus"), stage)
 
 
 @query("tokenize", f"""
@@ -60,24 +60,24 @@ def _(view):
 @query("build_index", f"WITH {index_ctes()} SELECT p.field, term, p.doc_id, tf, l AS doc_len FROM post p "
                       "JOIN lens d ON p.field = d.field AND p.doc_id = d.doc_id")
 def _(view):
-    postings = _index(view).postings
+    postings = _index(view, stage=False).postings
     return postings.withColumn("tf", F.col("tf").cast("long")).withColumn("doc_len", F.col("doc_len").cast("long"))
 
 
 @query("index_positions", f"""
 WITH {index_ctes()} SELECT field, doc_id, unnest(tl) AS term, cast(generate_subscripts(tl, 1) - 1 AS bigint) AS pos FROM toks""")
 def _(view):
-    return _index(view).positions.withColumn("pos", F.col("pos").cast("long"))
+    return _index(view, stage=False).positions.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("document_frequency", f"WITH {index_ctes()} SELECT field, term, df FROM tstat")
 def _(view):
-    return _index(view).term_stats
+    return _index(view, stage=False).term_stats
 
 
 @query("field_stats", f"WITH {index_ctes()} SELECT field, n_docs, round(avg_len, 6) AS avg_len FROM fstat")
 def _(view):
-    return _index(view).field_stats.withColumn("avg_len", F.round("avg_len", 6))
+    return _index(view, stage=False).field_stats.withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query("write_read_index", f"""
@@ -90,7 +90,7 @@ def _(view):
     from gleanery.session import scratch_path
     from gleanery.sources.index_store import write_index
 
-    built = index.build_index(view("v_corpus"), stage=True)
+    built = _index(view)
     stored = write_index(built, scratch_path(built.docs.sparkSession, "index"), with_positions=False)
 
     def part(df, name, value):

@@ -52,9 +52,9 @@ def build_index(pages: DataFrame, stage: bool = False) -> Index:
     """Pages (doc_id, url, title, description, content) → index.
 
     The text is hashed by document once; term counting then needs no further shuffle, because
-    every term row of a document is already in one partition. ``stage=True`` keeps the token
-    lists in the shared folder, for when several tables of the index will be read: the text is
-    then tokenised once instead of once per table.
+    every term row of a document is already in one partition. ``stage=True`` keeps token lists
+    and postings in the shared folder, for when the index is read more than once: the text is
+    then tokenised once instead of once per read.
     """
     docs = pages.select("doc_id", "url", *FIELDS)
     if stage:
@@ -69,6 +69,8 @@ def build_index(pages: DataFrame, stage: bool = False) -> Index:
         .groupBy("doc_id", "field", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
         .select("field", "term", "doc_id", "tf", "doc_len")
     )
+    if stage:
+        postings = materialize(postings, "postings")
     positions = present.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term")).select(
         "field", "term", "doc_id", "pos")
     lengths = present.select("field", "doc_id", F.size("tokens").alias("len"))
