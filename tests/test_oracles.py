@@ -15,6 +15,8 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.load()
 # several minutes of index writing; the same path is covered by test_streaming
 SLOW = {"stream_index"}
+# at this scale the answer itself is empty: few texts match, and every document has a vector
+MAY_BE_EMPTY = {"phrase_matches", "bm25_search_filtered", "pages_missing_embeddings"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
 
@@ -28,7 +30,7 @@ def con():
 def test_query(spark, con, name):
     status, n, _, note = check_oracles.compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
     assert status in ("ok", "NOSQL"), note
-    assert n > 0 or name in {"phrase_matches", "bm25_search_filtered"}
+    assert n > 0 or name in MAY_BE_EMPTY
 
 
 def test_no_query_is_left_without_reason():
