@@ -137,9 +137,6 @@ def _(view):
     return bm25.match_counts(_index(view), view("v_queries"))
 
 
-_STRUCTURED = """sq AS (SELECT query_id, q, list_filter(string_split(lower(q), ' '), lambda w: length(w) > 2) AS ws FROM v_queries)"""
-
-
 @query("bm25_search_filtered", f"""
 WITH {index_ctes()},
 w AS (SELECT item_id AS query_id, text AS q, {_TOK.format('text')} AS tl FROM benchmark),
