@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import quality
+from gleanery.llm import quality, token_count, token_files
+from gleanery.session import scratch_path
+
+#: The folder of public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +19,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level token counts of every document."""
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's ids to token files, then reads them back."""
+    folder = scratch_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return token_files.read_token_files(spark, folder).drop("place")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op6_token_counts, op8_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
