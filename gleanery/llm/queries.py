@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import quality, token_count, token_files
-from gleanery.session import scratch_path
+from gleanery.llm import line_dedup, mixing, quality, token_count, token_files, url_filter
+from gleanery.llm.oracles import RULES
+from gleanery.session import materialize, scratch_path
 
 #: The folder of public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,11 +21,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of lines that came before; the text as a digest."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token counts of every document."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    documents = _table(spark, sf_dir, "documents")
+    # written once: the decisions need ids and sizes only
+    sizes = materialize(documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    mixed = mixing.mix_sources(sizes, sizes=sizes)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to token files, then reads them back."""
     folder = scratch_path(spark, "token-files")
@@ -37,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_token_counts, op8_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_url_filters, op4_line_dedup, op6_token_counts, op7_mixing, op8_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
