@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import line_dedup, mixing, quality, token_count, token_files, url_filter
+from gleanery.llm import decontaminate, language, line_dedup, mixing, quality, token_count, token_files, url_filter
 from gleanery.llm.oracles import RULES
 from gleanery.session import materialize, scratch_path
 
@@ -21,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit_languages(documents.filter(~out).select("lang", "text"))
+    found = language.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
@@ -32,6 +41,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(documents, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token counts of every document."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -59,7 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_url_filters, op4_line_dedup, op6_token_counts, op7_mixing, op8_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_language_id, op3_url_filters, op4_line_dedup, op5_decontamination, op6_token_counts, op7_mixing, op8_token_files,
+        op10_quality_rules,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
