@@ -77,3 +77,14 @@ class Pieces:
             combine(map(table.__getitem__, pieces)) if ok else self.whole(text)
             for text, ok, pieces in zip(texts, plain, split, strict=True)
         ]
+
+
+_held: dict[tuple, Pieces] = {}
+
+
+def held_pieces(name: tuple, make: Callable[[], Pieces]) -> Pieces:
+    """The tables of this worker process under ``name``: they outlive a task; another name replaces them."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

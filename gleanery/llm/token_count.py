@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as wd
-from gleanery.llm.pieces import BYTE_LEVEL, Pieces
+from gleanery.llm.pieces import BYTE_LEVEL, Pieces, held_pieces
 
 #: The shared table is filled from at most so many texts of at most so many characters, and holds at most
 #: so many pre-tokens. It only decides which tier answers: counts are the tokenizer's in any case.
@@ -41,10 +42,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, pattern: str = BY
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(texts.filter(F.col("text").isNotNull()), path, pattern))
+    name = uuid.uuid4().hex
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, pattern, len, frequent=shared.value)
+        pieces = held_pieces((path, pattern, name), lambda: Pieces(path, pattern, len, frequent=shared.value))
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             for start, stop in wd.chunks(text):

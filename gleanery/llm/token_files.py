@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as wd
-from gleanery.llm.pieces import WORD_LEVEL, Pieces
+from gleanery.llm.pieces import WORD_LEVEL, Pieces, held_pieces
 from gleanery.session import materialize
 
 _MANIFEST = "part int, ids_file string, offsets_file string, docs_file string, width int, n_docs long, n_null long, n_tokens long"
@@ -48,10 +48,14 @@ def _load(path: str, kind: str) -> np.ndarray:
 def encode(docs: DataFrame, path: str, end_id: int | None, pattern: str = WORD_LEVEL, lower: bool = True) -> DataFrame:
     """``doc_id`` and ``ids``: the bytes of the ids of every whole text (null: empty) and ``end_id``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Pieces:
         pieces = Pieces(path, pattern, None, lower=lower)
         kind = id_kind(pieces.tokenizer.get_vocab_size())
         pieces.value = lambda ids: np.array(ids, kind).tobytes()
+        return pieces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = held_pieces((path, pattern, lower), made)
         tail = b"" if end_id is None else pieces.value([end_id])
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
