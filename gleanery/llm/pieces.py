@@ -17,8 +17,14 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _UNUSUAL = regex.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ſ–—‘’“”…€]")
-#: Values of at most so many pre-tokens are held beside the shared table; then the worker starts afresh.
+# Byte-level vocabularies write each byte as a printable character: the printable ones of Latin-1 as they are,
+# the others as the characters from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Values of at most so many pre-tokens are held beside the shared table. Once so many more have found no room,
+#: the worker starts afresh.
 CACHE_ENTRIES = 150_000
+REFUSALS = 3_000_000
 #: Longer pre-tokens are not held.
 CACHED_CHARS = 64
 
@@ -34,6 +40,8 @@ class Pieces:
         self.value, self.lower = value, lower
         self.frequent = frequent or {}
         self.known = dict(self.frequent)
+        self.passing: list[str] = []
+        self.refused = 0
 
     def plain(self, text: str) -> bool:
         return not _UNUSUAL.search(text) and not any(x in text for x in self.added)
@@ -47,26 +55,22 @@ class Pieces:
 
     def look_up(self, pieces: list[str]) -> dict:
         """A table with an entry for each of ``pieces``."""
+        for piece in self.passing:
+            del self.known[piece]
+        self.passing = []
         missing = set(pieces).difference(self.known)
-        if not missing:
-            return self.known
-        if len(self.known) + len(missing) > CACHE_ENTRIES + len(self.frequent):
-            self.known = dict(self.frequent)
-            missing = set(pieces).difference(self.known)
-        asked = list(missing)
-        found = {
-            piece: self.value(encoding.ids)
-            for i in range(0, len(asked), 4096)
-            for piece, encoding in zip(
-                asked[i : i + 4096],
-                self.tokenizer.encode_batch_fast(asked[i : i + 4096], add_special_tokens=False),
-                strict=True,
-            )
-        }
-        room = CACHE_ENTRIES + len(self.frequent) - len(self.known)
-        short = [p for p in asked if len(p) <= CACHED_CHARS][:room]
-        self.known.update((p, found[p]) for p in short)
-        return self.known if len(short) == len(asked) else {**found, **{p: self.known[p] for p in set(pieces) - missing}}
+        merge = self.tokenizer.model.tokenize
+        self.known.update(
+            (p, self.value([t.id for t in merge(p.encode().decode("latin1").translate(_BYTE_SIGNS))])) for p in missing)
+        if len(self.known) > len(self.frequent) + CACHE_ENTRIES:
+            # full: these are held for this call only, and the cache starts afresh if that goes on
+            self.passing = list(missing)
+            self.refused += len(missing)
+            if self.refused > REFUSALS:
+                self.known, self.passing, self.refused = {**self.frequent, **{p: self.known[p] for p in set(pieces)}}, [], 0
+        else:
+            self.passing = [p for p in missing if len(p) > CACHED_CHARS]
+        return self.known
 
     def each(self, texts: list[str], combine: Callable) -> list:
         """``combine`` of the values of each text's pre-tokens, in order."""

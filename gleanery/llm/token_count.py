@@ -23,10 +23,10 @@ TABLE_ENTRIES = 16_384
 
 def frequent_lengths(texts: DataFrame, path: str, pattern: str = BYTE_LEVEL) -> dict[str, int]:
     """Token counts of frequent pre-tokens, from a bounded sample of the rows of ``texts`` (column ``text``)."""
-    sample = texts.filter(F.length("text") <= TABLE_TEXT_CHARS).select("text").limit(TABLE_TEXTS)
+    sample = texts.filter(F.length("text") <= TABLE_TEXT_CHARS).select("text").take(TABLE_TEXTS)
     pieces = Pieces(path, pattern, len)
     seen: Counter = Counter()
-    for (text,) in sample.toLocalIterator():
+    for (text,) in sample:
         if pieces.plain(text):
             seen.update(pieces.split(text))
     chosen = [p for p, _ in seen.most_common(TABLE_ENTRIES)]
