@@ -35,9 +35,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round is written once to the shared folder, so lost executors cost a read. The rounds grow with the
     logarithm of the longest path.
     """
-    ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull() | F.col(b).isNull())
+    whole = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ends = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(b)).filter("node is not null").distinct()
-    now = materialize(ends.filter(~F.col(ends.columns[2]) & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "edges")
+    now = materialize(ends.filter("u <> v").distinct(), "edges")
     before, state = None, _state(now)
     while state != before and state[0]:
         now = materialize(_contract(_contract(now, large=True), large=False), "edges")

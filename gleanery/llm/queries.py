@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, language, line_dedup, mixing, quality, token_count, token_files, url_filter
+from gleanery.llm import decontaminate, jaccard, language, line_dedup, mixing, quality, token_count, token_files, url_filter
 from gleanery.llm.oracles import RULES
 from gleanery.session import materialize, scratch_path
 
@@ -68,6 +68,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).drop("place")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_language_id, op3_url_filters, op4_line_dedup, op5_decontamination, op6_token_counts, op7_mixing, op8_token_files,
-        op10_quality_rules,
+        op9_jaccard_join, op10_quality_rules,
     )}
 
 
