@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, jaccard, language, line_dedup, mixing, quality, token_count, token_files, url_filter
+from gleanery.llm import decontaminate, jaccard, language, line_dedup, mixing, quality, substring, token_count, token_files, url_filter
 from gleanery.llm.oracles import RULES
 from gleanery.session import materialize, scratch_path
 
@@ -30,6 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that an earlier one has in the same run; the text as a digest."""
+    found = substring.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
@@ -80,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_language_id, op3_url_filters, op4_line_dedup, op5_decontamination, op6_token_counts, op7_mixing, op8_token_files,
+        op1_language_id, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_decontamination, op6_token_counts, op7_mixing, op8_token_files,
         op9_jaccard_join, op10_quality_rules,
     )}
 
