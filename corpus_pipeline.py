@@ -1,18 +1,66 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline over ``documents``: language, near duplicates, decontamination, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, works on all rows the one before kept, and
+returns the columns of ``documents`` but for the last, which returns what its files hold per document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.llm import decontaminate, jaccard, language, mixing, token_files
+from gleanery.llm.queries import TOKENIZERS
+from gleanery.session import materialize, scratch_path
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a clear margin; texts without letters and narrow cases go."""
+    model = language.fit_languages(docs.filter(~language.held_out(F.col("doc_id"))).select("lang", "text"))
+    return language.identify(docs, model).filter("not rejected").select(docs.columns)
+
+
+def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of five-word shingle sets linked at 0.8 or more."""
+    found = jaccard.jaccard_components(docs, k=5, percent=80)
+    gone = materialize(found.filter("component_id <> doc_id").select("doc_id"), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_leaks(docs, benchmark).filter("not contaminated").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a copy is a row."""
+    copies = mixing.mix_sources(docs).filter("copies > 0")
+    return copies.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: per row its id, start, ids with the end id, and their checksum."""
+    folder = scratch_path(spark, "token-files")
+    token_files.write_token_files(docs, folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return token_files.read_token_files(spark, folder).drop("place")
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", by_language),
+    ("n-gram Jaccard join", one_of_a_kind),
+    ("benchmark decontamination", uncontaminated),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", tokens),
+]
 
-#: Some stages cannot be said in SQL; tests/llm holds a brute-force version of the whole run.
+#: SQL has neither compressed sizes nor tokenizers; tests/llm holds a brute-force version of the run.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each on the rows the one before has written."""
+    """All stages over ``documents``; each reads the rows the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), stage.__name__)
+    return STAGES[-1][1](spark, docs, sf_dir)
