@@ -30,10 +30,10 @@ from gleanery.session import materialize
 SIGNATURE = 8
 #: Members of a chunk of a group, on average.
 CHUNK = 64
-#: A token is frequent if it stands in so many thousandths of the documents and in 8 at least. There are at most
-#: 1000 / FREQUENT times the mean set size of them, whatever the number of documents: they are broadcast.
-FREQUENT = 1
-FREQUENT_LEAST = 8
+#: A token is frequent if it leads in more than one of so many documents, and in more than 4. There are at most FREQUENT
+#: times the mean number of leading tokens of them, whatever the number of documents: they are broadcast.
+FREQUENT = 50_000
+FREQUENT_LEAST = 4
 
 _U = np.uint64
 
@@ -64,24 +64,31 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"))
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Tokens in FREQUENT thousandths of all documents: each task counts its own and hands on those that recur."""
+def _leading(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its first tokens a set of each size needs: a linked set has one of them, and among its own."""
+    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+
+
+def frequent_tokens(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """Tokens that lead in many documents when the order is by hash alone, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingle_sets(batch.column(0).slice(a, b - a), k)[1] for a, b in wd.chunks(batch.column(0))]
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, _U), np.zeros(0, int))
-            keep = n >= max(2, batch.num_rows * FREQUENT // 2000)
-            yield pa.RecordBatch.from_arrays([pa.array(wd.signed(token[keep])), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+            for start, stop in wd.chunks(batch.column(0)):
+                rows, tokens = shingle_sets(batch.column(0).slice(start, stop - start), k)
+                n = np.bincount(rows, minlength=stop - start)
+                first = np.concatenate([[0], np.cumsum(n)])
+                keep = np.arange(len(tokens)) - first[rows] < _leading(n, percent)[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(wd.signed(tokens[keep]))], names=["token"])
 
-    least = max(FREQUENT_LEAST, docs.count() * FREQUENT // 1000)
-    found = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    least = max(FREQUENT_LEAST, docs.count() // FREQUENT)
+    found = _texts(docs).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > least)
     return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], np.int64).view(_U))
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: set size, a 128-bit name of the set, min-hashes, and the first tokens in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -105,7 +112,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             names[j, filled] = np.add.reduceat(wd.mix(tokens + _U(0xA5A5 + j)), first[filled])
                         for j in range(SIGNATURE):
                             signs[filled, j] = np.minimum.reduceat(wd.mix(tokens ^ _U(0x9E3779B97F4A7C15 * (2 * j + 1) & (2**64 - 1))), first[filled])
-                leading = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                leading = _leading(n, percent)
                 keep = np.arange(len(tokens)) - first[rows] < leading[rows]
                 offsets = np.concatenate([[0], np.cumsum(leading)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -173,17 +180,19 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
     """(query, group) whose bound allows a link. ``rows``: documents with ``part`` (component), ``part_size``,
     ``grp`` and the leading tokens."""
     token = F.posexplode("leading").alias("at", "token")
-    matrix = rows.select("doc_id", "part", "part_size", "grp", token)
+    matrix = rows.select("doc_id", "part", "part_size", "grp", "n", token)
     held = matrix.groupBy("token").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max(F.struct("part_size", "part")).alias("top"))
     shared = held.filter("p0 <> p1").select("token", "top")
     met = materialize(matrix.join(shared, "token"), "matrix")
     # a query's component is smaller than the group's, so the largest component of a token asks nothing
     queries = met.filter(F.struct("part_size", "part") < F.col("top")).select(
-        "token", F.col("doc_id").alias("query"), F.col("at").alias("i"), F.struct("part_size", "part").alias("q_rank"))
-    unions = met.groupBy("token", "grp", "part", "part_size").agg(F.max("at").alias("j"))
-    groups = unions.select("token", "grp", "j", F.struct("part_size", "part").alias("g_rank"))
+        "token", F.col("doc_id").alias("query"), F.col("n").alias("q_n"), F.col("at").alias("i"), F.struct("part_size", "part").alias("q_rank"))
+    unions = met.groupBy("token", "grp", "part", "part_size").agg(
+        F.max("at").alias("j"), F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = unions.select("token", "grp", "j", "low", "high", F.struct("part_size", "part").alias("g_rank"))
     overlap = (
-        queries.join(groups, "token").filter(F.col("q_rank") < F.col("g_rank"))
+        queries.join(groups, "token").filter(
+            (F.col("q_rank") < F.col("g_rank")) & (100 * F.col("high") >= percent * F.col("q_n")) & (percent * F.col("low") <= 100 * F.col("q_n")))
         .groupBy("query", "grp").agg(F.count("*").alias("c"), (F.max("i") + 1).alias("upto"), (F.max("j") + 1).alias("upto_g"))
     )
     last = F.element_at("leading", -1)
