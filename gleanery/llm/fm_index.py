@@ -71,11 +71,20 @@ class FMIndex:
         self.size = n
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of equally long patterns (rows): the interval of ``order`` that begins with each."""
+        """Backward search of equally long patterns (rows) that occur: the interval of ``order`` that begins with each.
+
+        A search stops once one place is left: then the interval is that of the pattern's end, in the only text
+        that can hold the pattern.
+        """
         low = np.zeros(len(patterns), np.int64)
         high = np.full(len(patterns), self.size, np.int64)
+        going = np.arange(len(patterns))
         for j in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, j]
-            base, low, high = self.matrix.rank(symbol, low, high)
-            low, high = self.starts[symbol] + low - base, self.starts[symbol] + high - base
+            symbol = patterns[going, j]
+            base, a, b = self.matrix.rank(symbol, low[going], high[going])
+            a, b = self.starts[symbol] + a - base, self.starts[symbol] + b - base
+            low[going], high[going] = a, b
+            going = going[b - a > 1]
+            if not len(going):
+                break
         return low, high

@@ -161,14 +161,16 @@ def _earliest(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     for i in range(0, len(starts), STREAM):
         some = starts[i : i + STREAM]
         low, high = index.search(symbols[some[:, None] + np.arange(WINDOW)])
-        # intervals of equally long words are equal or apart
-        at, which = np.unique(low, return_inverse=True)
-        upto = np.zeros(len(at), np.int64)
-        upto[which] = high
-        cuts = np.empty(2 * len(at), np.int64)
-        cuts[0::2], cuts[1::2] = at, upto
-        padded = np.append(doc_by_place, _LAST)
-        least[i : i + STREAM] = np.minimum.reduceat(padded, cuts)[0::2][which]
+        found = doc_by_place[low]
+        many = np.flatnonzero(high - low > 1)
+        if len(many):
+            # intervals of equally long words are equal or apart
+            at, which = np.unique(low[many], return_inverse=True)
+            cuts = np.empty(2 * len(at), np.int64)
+            cuts[0::2] = at
+            cuts[1::2][which] = high[many]
+            found[many] = np.minimum.reduceat(np.append(doc_by_place, _LAST), cuts)[0::2][which]
+        least[i : i + STREAM] = found
     return np.split(least, np.cumsum(np.bincount(owner[starts], minlength=len(contents)))[:-1])
 
 
@@ -221,17 +223,22 @@ def _cut(rows: DataFrame) -> DataFrame:
                 for z, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     text = unpack(z)
                     words = text.split()
-                    own = [x for x in found or [] if x["name"] == _name(text)] if found else []
+                    own = [x for x in found if x["name"] == _name(text)] if found else []
+                    counts.append(len(words))
+                    if not own:
+                        gone.append(0)
+                        spans.append([])
+                        kept.append(b" ".join(words).decode())
+                        continue
                     marks = np.zeros(len(words) + 1, np.int64)
                     for x in own:
                         np.add.at(marks, x["starts"], 1)
                         np.add.at(marks, x["ends"], -1)
                     covered = np.cumsum(marks)[:-1] > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                    counts.append(len(words))
                     gone.append(int(covered.sum()))
                     spans.append([{"start": a, "end": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)])
-                    left = [w for w, c in zip(words, covered.tolist(), strict=True) if not c] if gone[-1] else words
+                    left = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                     kept.append(b" ".join(left).decode())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
