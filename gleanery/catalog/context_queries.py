@@ -42,7 +42,7 @@ b AS (SELECT workspace_id, n, '[' || cast(n AS varchar) || '] ' || CASE WHEN url
       CASE WHEN url LIKE '%.JPG' THEN '(Image — visual content, no text available)'
            WHEN url LIKE 'https://youtu%' THEN coalesce(nullif(snippet, ''), t)
            WHEN NOT success OR content = '' THEN '(Content not available)'
-           WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS block FROM r)
+           ELSE content END AS block FROM r)
 SELECT workspace_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS n_sources FROM b GROUP BY 1""")
 def _(view):
     items = _doc_items(view)
@@ -59,7 +59,7 @@ def _(view):
 @query("study_context", f"""
 WITH {_BM25}, {_ranked('scores', 'r', 5)}
 SELECT query_id, string_agg('Title: ' || title || chr(10) || 'URL: ' || url || chr(10) || chr(10) || 'Content:' || chr(10) ||
-  substring(content, 1, 1500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM r JOIN v_corpus c ON r.doc_id = c.doc_id WHERE rank < 4 AND length(content) > 300 GROUP BY query_id""")
 def _(view):
     built = _index(view)
@@ -69,7 +69,7 @@ def _(view):
 
 
 @query("summary_prompt", "SELECT doc_id, " + _sql_text(
-    context.ARTICLE_PROMPT, text="CASE WHEN length(text) > 8000 THEN substring(text, 1, 8000) || '...' ELSE text END")
+    context.ARTICLE_PROMPT, text="text")
     + " AS prompt FROM documents")
 def _(view):
     return view("documents").select("doc_id", context.summary_prompt(F.col("text")).alias("prompt"))
@@ -77,7 +77,7 @@ def _(view):
 
 @query("video_prompt", "SELECT doc_id, " + _sql_text(context.VIDEO_PROMPT, text=(
     "'Title: ' || title || CASE WHEN coalesce(description, '') <> '' THEN chr(10) || chr(10) || 'Description: ' || description "
-    "ELSE '' END || chr(10) || chr(10) || 'Transcript:' || chr(10) || substring(content, 1, 8000)"))
+    "ELSE '' END || chr(10) || chr(10) || 'Transcript:' || chr(10) || content"))
     + " AS prompt FROM v_corpus WHERE content <> ''")
 def _(view):
     prompt = context.video_prompt(F.col("title"), F.col("description"), F.col("content"))

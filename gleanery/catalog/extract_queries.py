@@ -35,7 +35,7 @@ _SP = r"[\s\x0b\x{85}\x{a0}]"
 
 def _visible(body: str) -> str:
     no_tags = rf"regexp_replace({body}, '<[^>]*(>|\z)', '', 'g')"
-    flat = f"substring(regexp_replace({no_tags}, '{_SP}+', ' ', 'g'), 1, 32768)"
+    flat = f"regexp_replace({no_tags}, '{_SP}+', ' ', 'g')"
     return rf"regexp_replace({flat}, '^{_SP}+|{_SP}+\z', '', 'g')"
 
 
@@ -180,11 +180,11 @@ def _(view):
 
 
 @query("is_boilerplate", r"""
-SELECT doc_id, regexp_matches(substring(t, 1, 300), '(?i)javascript\s+is\s+(disabled|blocked|required)|enable\s+javascript|not\s+compatible\s+with\s+your\s+web\s+browser|this\s+page\s+will\s+not\s+work\s+without|peer[-\s]?tube\s+is\s+not\s+compatible') AS boilerplate
-FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN substring(text, 1, 250) || ' Please ENABLE  JavaScript ' || text
+SELECT doc_id, regexp_matches(t, '(?i)javascript\s+is\s+(disabled|blocked|required)|enable\s+javascript|not\s+compatible\s+with\s+your\s+web\s+browser|this\s+page\s+will\s+not\s+work\s+without|peer[-\s]?tube\s+is\s+not\s+compatible') AS boilerplate
+FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' Please ENABLE  JavaScript ' || text
              ELSE text END AS t FROM documents) d""")
 def _(view):
-    t = F.when(F.col("lang") == "de", F.concat(F.substring("text", 1, 250), F.lit(" Please ENABLE  JavaScript "), "text"))
+    t = F.when(F.col("lang") == "de", F.concat("text", F.lit(" Please ENABLE  JavaScript "), "text"))
     return view("documents").select("doc_id", text.is_boilerplate(t.otherwise(F.col("text"))).alias("boilerplate"))
 
 

@@ -10,15 +10,15 @@ from gleanery.sources import metasearch
 
 
 @query("interleave_merge", f"""
-WITH {_SIDES}, turns AS (SELECT query_id, doc_id, 2 * rank AS turn FROM b WHERE rank < 10
-    UNION ALL SELECT query_id, doc_id, 2 * rank + 1 FROM v WHERE rank < 10),
+WITH {_SIDES}, turns AS (SELECT query_id, doc_id, 2 * rank AS turn FROM b
+    UNION ALL SELECT query_id, doc_id, 2 * rank + 1 FROM v),
 f AS (SELECT query_id, doc_id, min(turn) AS turn FROM turns GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn) - 1 AS rank, c.url,
        CASE WHEN turn % 2 = 0 THEN 'left' ELSE 'right' END AS side
-FROM f JOIN v_corpus c ON f.doc_id = c.doc_id QUALIFY rank < 12""")
+FROM f JOIN v_corpus c ON f.doc_id = c.doc_id""")
 def _(view):
-    left, right = (s.where("rank < 10").join(view("v_corpus").select("doc_id", "url"), "doc_id") for s in _sides(view))
-    return merge.interleave_merge(left, right, page_size=12)
+    left, right = (s.join(view("v_corpus").select("doc_id", "url"), "doc_id") for s in _sides(view))
+    return merge.interleave_merge(left, right, page_size=40)
 
 
 _T = """
@@ -207,9 +207,9 @@ SELECT cast(l_orderkey AS varchar) AS query, cast(pos AS int) AS pos, 'Line ' ||
        CASE WHEN l_tax > 0.02 THEN l_linestatus ELSE '' END AS snippet,
        CASE WHEN l_discount > 0.05 THEN 'bing' ELSE 'searxng' END AS source,
        cast(cast(l_quantity AS int) * 60 + 30 AS int) AS length_seconds
-FROM k WHERE pos < 4""")
+FROM k""")
 def _(view):
-    return metasearch.metasearch_results(_stored_responses(view), page_size=4).select(
+    return metasearch.metasearch_results(_stored_responses(view)).select(
         "query", "pos", "title", "url", "snippet", "source", "length_seconds")
 
 

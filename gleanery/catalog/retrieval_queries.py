@@ -8,7 +8,7 @@ from gleanery.operators import bm25, fusion, index, rerank, snippet, vector
 from gleanery.plans import indexing, search
 from gleanery.sources.pages import one_row
 
-_TOK = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) < 40)"
+_TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def index_ctes(docs: str = "v_corpus") -> str:
@@ -32,7 +32,7 @@ _CONTRIB = """qtf * CASE p.field WHEN 'title' THEN 2.5e0 WHEN 'description' THEN
 _MATCH = """post p JOIN tstat s ON p.field = s.field AND p.term = s.term JOIN fstat f ON p.field = f.field
     JOIN lens d ON p.field = d.field AND p.doc_id = d.doc_id"""
 _SCORES = f"""{_QT},
-scores AS (SELECT query_id, p.doc_id, round(sum({_CONTRIB}), 6) AS score
+scores AS (SELECT query_id, p.doc_id, round(sum({_CONTRIB}), 9) AS score
     FROM {_MATCH} JOIN qt ON p.term = qt.term GROUP BY ALL)"""
 
 
@@ -57,6 +57,11 @@ def _(view):
         "doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
+def _shown(hits):
+    """Ranks come from full scores; what is compared shows six digits."""
+    return hits.withColumns({c: F.round(c, 6) for c in ("score", "similarity") if c in hits.columns})
+
+
 @query("build_index", f"WITH {index_ctes()} SELECT p.field, term, p.doc_id, tf, l AS doc_len FROM post p "
                       "JOIN lens d ON p.field = d.field AND p.doc_id = d.doc_id")
 def _(view):
@@ -104,30 +109,30 @@ def _(view):
 
 
 @query("bm25_search", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, score FROM r""")
+WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
 def bm25_top10(view):
     """Flagship: top documents for each benchmark text."""
-    return bm25.bm25_search(_index(view), view("v_queries"), k=10)
+    return _shown(bm25.bm25_search(_index(view), view("v_queries"), k=10))
 
 
-@query("bm25_scores", f"WITH {_BM25} SELECT query_id, doc_id, score FROM scores")
+@query("bm25_scores", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
 def _(view):
-    return bm25.bm25_scores(_index(view), view("v_queries"))
+    return _shown(bm25.bm25_scores(_index(view), view("v_queries")))
 
 
 @query("top_docs", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 25)} SELECT r.query_id, r.rank, c.url, r.score FROM r JOIN v_corpus c ON r.doc_id = c.doc_id""")
+WITH {_BM25}, {_ranked('scores', 'r', 25)} SELECT r.query_id, r.rank, c.url, round(r.score, 6) AS score FROM r JOIN v_corpus c ON r.doc_id = c.doc_id""")
 def _(view):
     built = _index(view)
     top = bm25.bm25_search(built, view("v_queries"), k=25)
-    return top.join(built.docs.select("doc_id", "url"), "doc_id").select("query_id", "rank", "url", "score")
+    return _shown(top.join(built.docs.select("doc_id", "url"), "doc_id").select("query_id", "rank", "url", "score"))
 
 
 @query("page_of_hits", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 30)} SELECT query_id, rank, doc_id, score FROM r WHERE rank >= 20""")
+WITH {_BM25}, {_ranked('scores', 'r', 30)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank >= 20""")
 def _(view):
     top = bm25.bm25_search(_index(view), view("v_queries"), k=30)
-    return search.page(top, limit=10, offset=20)
+    return _shown(search.page(top, limit=10, offset=20))
 
 
 @query("total_hits", f"""
@@ -143,7 +148,7 @@ w AS (SELECT item_id AS query_id, text AS q, {_TOK.format('text')} AS tl FROM be
 c AS (SELECT query_id, unnest(tl) AS term, 'should' AS role FROM w
       UNION ALL SELECT query_id, tl[1], 'must' FROM w UNION ALL SELECT query_id, tl[len(tl)], 'not' FROM w),
 qr AS (SELECT query_id, term, role, count(*) AS qtf FROM c GROUP BY ALL),
-hit AS (SELECT query_id, p.doc_id, round(sum(CASE WHEN role <> 'not' THEN {_CONTRIB} END), 6) AS score,
+hit AS (SELECT query_id, p.doc_id, round(sum(CASE WHEN role <> 'not' THEN {_CONTRIB} END), 9) AS score,
         bool_or(role = 'must') AS must, bool_or(role = 'not') AS bad
         FROM {_MATCH} JOIN qr ON p.term = qr.term GROUP BY ALL),
 grams AS (SELECT doc_id, field, unnest(tl) AS a, unnest(list_concat(tl[2:], [''])) AS b FROM toks),
@@ -151,23 +156,27 @@ ph AS (SELECT DISTINCT w.query_id, g.doc_id FROM w JOIN grams g ON g.a = w.tl[2]
 ok AS (SELECT h.query_id, h.doc_id, h.score FROM hit h JOIN ph ON h.query_id = ph.query_id AND h.doc_id = ph.doc_id
        WHERE must AND NOT bad AND score IS NOT NULL),
 {_ranked('ok', 'r', 20)}
-SELECT query_id, rank, doc_id, score FROM r""")
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
 def _(view):
     tl = tokenize(F.col("q"))
     queries = view("v_queries").select(
         "query_id", "q", F.slice(tl, 1, 1).alias("must"), F.slice(tl, -1, 1).alias("must_not"),
         F.concat_ws(" ", F.get(tl, F.lit(1)), F.get(tl, F.lit(2))).alias("phrase"))
-    return bm25.bm25_search_filtered(_index(view), queries, k=20)
+    return _shown(bm25.bm25_search_filtered(_index(view), queries, k=20))
 
 
 @query("phrase_matches", f"""
-WITH {index_ctes()}, w AS (SELECT query_id, {_TOK.format('q')} AS tl FROM v_queries),
-grams AS (SELECT doc_id, field, unnest(tl) AS a, unnest(list_concat(tl[2:], [''])) AS b, unnest(list_concat(tl[3:], ['', ''])) AS c
-          FROM toks WHERE len(tl) > 2)
-SELECT DISTINCT w.query_id, g.doc_id FROM w JOIN grams g ON g.a = w.tl[1] AND g.b = w.tl[2] AND g.c = w.tl[3]""")
+WITH {index_ctes()}, w AS (SELECT doc_id AS query_id, {_TOK.format('title')} AS tl FROM v_corpus
+                           UNION ALL SELECT -1 - query_id, {_TOK.format('q')} FROM v_queries),
+p AS (SELECT query_id, ' ' || array_to_string(tl, ' ') || ' ' AS phrase, tl[1] AS head FROM w WHERE len(tl) > 0),
+t AS (SELECT doc_id, field, ' ' || array_to_string(tl, ' ') || ' ' AS body FROM toks),
+h AS (SELECT DISTINCT doc_id, field, term FROM post)
+SELECT DISTINCT p.query_id, t.doc_id FROM p JOIN h ON h.term = p.head JOIN t ON t.doc_id = h.doc_id AND t.field = h.field
+WHERE contains(t.body, p.phrase)""")
 def _(view):
-    phrases = view("v_queries").select(
-        "query_id", F.concat_ws(" ", F.slice(tokenize(F.col("q")), 1, 3)).alias("phrase"))
+    """Every title and benchmark text, whole, as a phrase."""
+    phrases = view("v_corpus").select(F.col("doc_id").alias("query_id"), F.col("title").alias("phrase")).unionByName(
+        view("v_queries").select((-1 - F.col("query_id")).alias("query_id"), F.col("q").alias("phrase")))
     return bm25.phrase_matches(_index(view), phrases)
 
 
@@ -186,21 +195,21 @@ def _centroids(view):
 
 
 _VEC = f"""{_CENTROIDS},
-sims AS (SELECT query_id, vec_id AS page_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity
+sims AS (SELECT query_id, vec_id AS page_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS similarity
     FROM embeddings, cq)"""
 
 
 @query("vector_search", f"""
-WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, similarity FROM r""")
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, round(similarity, 6) AS similarity FROM r""")
 def _(view):
-    return vector.vector_search(view("v_vectors"), _centroids(view), k=10)
+    return _shown(vector.vector_search(view("v_vectors"), _centroids(view), k=10))
 
 
 @query("vector_search_blocked", f"""
-WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, similarity FROM r""")
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, round(similarity, 6) AS similarity FROM r""")
 def _(view):
     """The same search as when the query set is too large to ship."""
-    return vector.vector_search(view("v_vectors"), _centroids(view), k=10, query_bytes_limit=0)
+    return _shown(vector.vector_search(view("v_vectors"), _centroids(view), k=10, query_bytes_limit=0))
 
 
 @query("embeddings_with_pages", """
@@ -224,7 +233,7 @@ hs AS (SELECT id, side, slot, sum(w) AS w FROM (
 unit AS (SELECT h.id, h.side, slot, (w / n)::FLOAT::DOUBLE AS v FROM hs h JOIN
     (SELECT id, side, sqrt(sum(w * w)) AS n FROM hs GROUP BY ALL) m ON h.id = m.id AND h.side = m.side),
 norms AS (SELECT id, side, sqrt(sum(v * v)) AS n FROM unit GROUP BY ALL),
-hsims AS (SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(s.dot, 0) / (q.n * d.n), 6) AS similarity
+hsims AS (SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(s.dot, 0) / (q.n * d.n), 9) AS similarity
     FROM norms q JOIN norms d ON q.side = 'q' AND d.side = 'd' LEFT JOIN
     (SELECT a.id AS qid, b.id AS did, sum(a.v * b.v) AS dot FROM unit a JOIN unit b ON a.slot = b.slot
      WHERE a.side = 'q' AND b.side = 'd' GROUP BY ALL) s ON s.qid = q.id AND s.did = d.id)"""
@@ -266,17 +275,17 @@ def _(view):
     return fusion.rank_hits(scored, 50, tie="doc_id").select("query_id", "doc_id", "rank")
 
 
-_RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1 / (60e0 + rank)), 6) AS score FROM
+_RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1 / (60e0 + rank)), 9) AS score FROM
     (SELECT query_id, doc_id, rank FROM b UNION ALL SELECT query_id, doc_id, rank FROM v) u GROUP BY ALL)"""
 
 
-@query("rrf_fuse", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, score FROM rrf")
+@query("rrf_fuse", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, round(score, 6) AS score FROM rrf")
 def _(view):
     left, right = _sides(view)
-    return fusion.rrf_fuse(left, right, key="doc_id")
+    return _shown(fusion.rrf_fuse(left, right, key="doc_id"))
 
 
-_WEIGHTED = """wf AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (
+_WEIGHTED = """wf AS (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM (
     SELECT query_id, doc_id, CASE WHEN max(score) OVER w > 0 THEN 0.7e0 * score / max(score) OVER w ELSE 0 END AS part FROM b
       WINDOW w AS (PARTITION BY query_id)
     UNION ALL
@@ -284,27 +293,27 @@ _WEIGHTED = """wf AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM
       WINDOW w AS (PARTITION BY query_id)) u GROUP BY ALL)"""
 
 
-@query("weighted_fuse", f"WITH {_SIDES}, {_WEIGHTED} SELECT query_id, doc_id, score FROM wf")
+@query("weighted_fuse", f"WITH {_SIDES}, {_WEIGHTED} SELECT query_id, doc_id, round(score, 6) AS score FROM wf")
 def _(view):
     left, right = _sides(view)
-    return fusion.weighted_fuse(left, right, 0.7, 0.3, key="doc_id")
+    return _shown(fusion.weighted_fuse(left, right, 0.7, 0.3, key="doc_id"))
 
 
-@query("fuse_selector", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, score FROM rrf")
+@query("fuse_selector", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, round(score, 6) AS score FROM rrf")
 def _(view):
     left, right = _sides(view)
-    return fusion.fuse(left, right, alpha=0.505, beta=0.495, key="doc_id")
+    return _shown(fusion.fuse(left, right, alpha=0.505, beta=0.495, key="doc_id"))
 
 
 @query("hybrid_search", f"""
 WITH {_SIDES}, {_RRF}, {_ranked('rrf', 'r', 20)}
 SELECT r.query_id, r.rank, c.url, c.title, CASE WHEN b.doc_id IS NOT NULL THEN c.description END AS description,
-       b.doc_id IS NOT NULL AS in_text, r.score
+       b.doc_id IS NOT NULL AS in_text, round(r.score, 6) AS score
 FROM r JOIN v_corpus c ON r.doc_id = c.doc_id LEFT JOIN b ON b.query_id = r.query_id AND b.doc_id = r.doc_id
 WHERE r.rank BETWEEN 10 AND 19""")
 def _(view):
     hits = search.hybrid_search(_index(view), _text_queries(view), _text_vectors(view), limit=10, offset=10)
-    return hits.select("query_id", "rank", "url", "title", "description", (F.col("snippet") != "").alias("in_text"), "score")
+    return _shown(hits.select("query_id", "rank", "url", "title", "description", (F.col("snippet") != "").alias("in_text"), "score"))
 
 
 @query("hybrid_total_hits", f"""
@@ -372,12 +381,12 @@ live AS (SELECT doc_id, url, title, description, content FROM v_corpus WHERE url
 
 @query("update_index", f"""
 WITH {_UPDATED}, {index_ctes('live')}, {_SCORES}, {_ranked('scores', 'r', 10)}
-SELECT query_id, rank, doc_id, score FROM r""")
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
 def _(view):
     changed = view("v_crawled").where("indexed").select(
         F.col("id").alias("doc_id"), "url", F.concat(F.lit("v2 "), "title").alias("title"), "description",
         F.concat(F.lit("changed "), "content").alias("content"))
-    return bm25.bm25_search(indexing.update_index(_index(view), changed), view("v_queries"), k=10)
+    return _shown(bm25.bm25_search(indexing.update_index(_index(view), changed), view("v_queries"), k=10))
 
 
 @query("reindex_all", f"""

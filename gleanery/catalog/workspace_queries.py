@@ -19,7 +19,7 @@ def _(view):
 SELECT workspace_id, 'item' AS object_type, item_id AS object_id, coalesce(title, '') AS title, snippet, url FROM v_items
 WHERE contains(lower(title), 'gent') OR contains(lower(snippet), 'gent')
 UNION ALL
-SELECT workspace_id, 'note', note_id, title, substring(content, 1, 200), NULL FROM v_notes
+SELECT workspace_id, 'note', note_id, title, content, NULL FROM v_notes
 WHERE contains(lower(title), 'gent') OR contains(lower(content), 'gent')""")
 def _(view):
     return ws.workspace_search(view("v_items"), view("v_notes"), "GENT")
@@ -322,7 +322,7 @@ def _(view):
 @query("profiles_by_name", """
 SELECT c_custkey, row_number() OVER (ORDER BY n, c_custkey) AS place FROM (
   SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'anonymous' ELSE
-    lower(c_mktsegment) || ' ' || lpad(cast(cast(floor(c_acctbal) AS bigint) AS varchar), 12, '0') END AS n FROM customer) u""")
+    lower(c_mktsegment) || ' ' || lpad(cast(length(d) AS varchar), 10, '0') || d END AS n FROM (SELECT *, cast(cast(floor(c_acctbal) AS bigint) AS varchar) AS d FROM customer) c) u""")
 def _(view):
     from gleanery.operators.running import ordered_index
 

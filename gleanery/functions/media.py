@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import trim_space
+
 # Image file endings and video page addresses.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico")
 VIDEO_PATTERN = r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/shorts/)([\w-]+)"
@@ -35,7 +37,7 @@ def video_thumbnail(url: Column) -> Column:
 
 
 def _clean(value: Column) -> Column:
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(trim_space(value), F.lit(""))
 
 
 def _clock(parts: Column) -> Column:

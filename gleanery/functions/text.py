@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TOKEN_BYTES = 40
 WORDS_PER_MINUTE = 200
 
 # Signs of a page that only says "turn scripts on".
@@ -16,7 +15,6 @@ BOILERPLATE_PATTERNS = (
     r"this\s+page\s+will\s+not\s+work\s+without",
     r"peer[-\s]?tube\s+is\s+not\s+compatible",
 )
-BOILERPLATE_WINDOW = 300
 
 # Phrases of a model reply that holds no summary.
 FILLER_PHRASES = (
@@ -41,10 +39,10 @@ FAILED_SUMMARY_PREFIXES = ("Summary generation failed", "Failed to fetch page",
 SPACE = r"[\s\x0b\x{85}\x{a0}]"
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-cased alphanumeric runs shorter than 40 bytes, in text order."""
+def tokenize(text: Column, max_bytes: int | None = None) -> Column:
+    """Lower-cased alphanumeric runs in text order; with ``max_bytes`` only the shorter ones."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(words, lambda w: F.octet_length(w) < MAX_TOKEN_BYTES)
+    return words if max_bytes is None else F.filter(words, lambda w: F.octet_length(w) < max_bytes)
 
 
 def trim_space(text: Column) -> Column:
@@ -64,9 +62,10 @@ def collapse_keep_newlines(text: Column) -> Column:
     return F.regexp_replace(squeezed, r"\n(?:[^\S\n]*\n)*[^\S\n]*", "\n")
 
 
-def is_boilerplate(text: Column) -> Column:
+def is_boilerplate(text: Column, window: int | None = None) -> Column:
+    """Signs of a scripts-only page anywhere in the text, or in its first ``window`` characters."""
     pattern = "(?i)" + "|".join(BOILERPLATE_PATTERNS)
-    return F.substring(text, 1, BOILERPLATE_WINDOW).rlike(pattern)
+    return (text if window is None else F.substring(text, 1, window)).rlike(pattern)
 
 
 def is_filler_response(text: Column) -> Column:
@@ -96,8 +95,10 @@ def clean_video_description(text: Column) -> Column:
     return trim_space(out)
 
 
-def truncate(text: Column, limit: int, tail: str = "...") -> Column:
-    """Text cut at ``limit`` characters with ``tail`` appended when something was cut."""
+def truncate(text: Column, limit: int | None, tail: str = "...") -> Column:
+    """Text cut at ``limit`` characters with ``tail`` appended when something was cut; whole without a limit."""
+    if limit is None:
+        return text
     cut = F.concat(F.substring(text, 1, limit), F.lit(tail))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
@@ -106,9 +107,12 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def natural_sort_key(text: Column, width: int = 12) -> Column:
-    """Lower-cased text with every digit run zero-padded, so that 'a10' sorts after 'a9'."""
+def natural_sort_key(text: Column) -> Column:
+    """Lower-cased text with every digit run led by its length, so that 'a10' sorts after 'a9'.
+
+    Leading zeros do not count; runs of any length keep their order.
+    """
     runs = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, width, "0")).otherwise(r)), ""
-    )
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, "^0+(?=[0-9])", ""))
+    return F.array_join(F.transform(bare, lambda r: F.when(
+        r.rlike("^[0-9]"), F.concat(F.lpad(F.length(r).cast("string"), 10, "0"), r)).otherwise(r)), "")

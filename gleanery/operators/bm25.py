@@ -17,7 +17,8 @@ K1 = 1.2
 B = 0.75
 BOOSTS = {"title": 2.5, "description": 1.5, "content": 1.0}
 
-SCORE_DIGITS = 6
+# float sums come in any order: equal documents must tie. Query outputs round further.
+SCORE_DIGITS = 9
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def bm25_search_filtered(index: Index, queries: DataFrame, k: int = 10, offset:
     """BM25 with required words, excluded words and a phrase.
 
     ``queries`` is (query_id, q, must ARRAY, must_not ARRAY, phrase); each of the last three may
-    be null. Required words score as well; a document is dropped when it lacks one of them, holds
+    be null; a phrase without words counts as none. Required words score as well; a document is dropped when it lacks one of them, holds
     an excluded word, or lacks the phrase.
     """
     def words(column: str) -> Column:
@@ -133,7 +134,7 @@ def bm25_search_filtered(index: Index, queries: DataFrame, k: int = 10, offset:
     )).alias("c")).select("query_id", "c.term", "c.role")
     terms = clauses.groupBy("query_id", "term", "role").agg(F.count("*").alias("qtf"))
     needed = queries.select("query_id", F.size(F.array_distinct(words("must"))).alias("n_must"),
-                            F.col("phrase").isNotNull().alias("has_phrase"))
+                            (F.size(tokenize(F.coalesce("phrase", F.lit("")))) > 0).alias("has_phrase"))
     weights = term_weights(index, terms, boosts)
     matched = index.postings.join(weights, _join_keys(index.postings, weights))
     scored = matched.groupBy("query_id", "doc_id").agg(

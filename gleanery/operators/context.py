@@ -9,14 +9,10 @@ from gleanery import schemas
 from gleanery.functions.media import content_type
 from gleanery.functions.text import blank_to_null, is_filler_response, keep_summary, trim_space, truncate
 from gleanery.operators.bm25 import top_k
-from gleanery.operators.workspace import latest_k
 
-# How much goes into a context.
+# How many sources go into a context.
 CHAT_SOURCES = 5
-CHAT_CHARS = 500
 STUDY_SOURCES = 4
-STUDY_CHARS = 1500
-SUMMARY_CHARS = 8000
 
 # Prompt texts. {text}, {sources} and {question} are filled in.
 ARTICLE_PROMPT = (
@@ -58,9 +54,15 @@ CHAT_PROMPT = (
     "QUESTION: {question}\n\n"
     "Provide a clear answer. Reference source numbers like [1] when using information from a source."
 )
+NO_CONTENT = "(Content not available)"
+IMAGE_NOTICE = "(Image — visual content, no text available)"
 NO_SUMMARY = "Could not generate a meaningful summary from the available information."
 
 
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def fill(template: str, **parts: Column) -> Column:
     """A template with its named gaps filled by columns."""
     pieces: list[Column] = []
@@ -76,8 +78,8 @@ def fill(template: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def chat_context(items: DataFrame, contents: DataFrame, k: int = CHAT_SOURCES, chars: int = CHAT_CHARS) -> DataFrame:
-    """(workspace_id, context, n_sources) from the first ``k`` items of each workspace.
+def chat_context(items: DataFrame, contents: DataFrame, k: int = CHAT_SOURCES, chars: int | None = None) -> DataFrame:
+    """(workspace_id, context, n_sources) from the first ``k`` items of each workspace, texts whole unless ``chars`` is given.
 
     ``contents`` is (url, content, success). Only chosen items meet their text.
     """
@@ -90,9 +92,9 @@ def chat_context(items: DataFrame, contents: DataFrame, k: int = CHAT_SOURCES, c
     label = F.when(kind == "image", F.concat(F.lit("[Image] "), title)).when(
         kind == "video", F.concat(F.lit("[Video] "), title)).otherwise(title)
     body = (
-        F.when(kind == "image", F.lit("(Image — visual content, no text available)"))
+        F.when(kind == "image", F.lit(IMAGE_NOTICE))
         .when(kind == "video", F.coalesce(blank_to_null(F.col("snippet")), title))
-        .otherwise(F.coalesce(truncate(F.col("__text"), chars), F.lit("(Content not available)")))
+        .otherwise(F.coalesce(truncate(F.col("__text"), chars), F.lit(NO_CONTENT)))
     )
     block = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] "), label, F.lit(" ("), F.col("url"),
                      F.lit(")\n"), body)
@@ -107,29 +109,29 @@ def chat_prompt(context: Column, question: Column) -> Column:
     return fill(CHAT_PROMPT, sources=context, question=question)
 
 
-def study_context(results: DataFrame, contents: DataFrame, k: int = STUDY_SOURCES, chars: int = STUDY_CHARS) -> DataFrame:
+def study_context(results: DataFrame, contents: DataFrame, k: int = STUDY_SOURCES, chars: int | None = None) -> DataFrame:
     """(query_id, context) from those of the first ``k`` results whose page could be read."""
     first = results.where(F.col("rank") < k)
     texts = contents.where("success").select("url", blank_to_null(F.col("content")).alias("__text")).where(
         F.col("__text").isNotNull())
     block = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\nURL: "), F.col("url"),
-                     F.lit("\n\nContent:\n"), F.substring("__text", 1, chars))
+                     F.lit("\n\nContent:\n"), _head(F.col("__text"), chars))
     # at most k blocks per query
     return first.join(texts, "url").groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]),
                      "\n\n---\n\n").alias("context"))
 
 
-def summary_prompt(content: Column, max_chars: int = SUMMARY_CHARS) -> Column:
+def summary_prompt(content: Column, max_chars: int | None = None) -> Column:
     return fill(ARTICLE_PROMPT, text=truncate(content, max_chars))
 
 
-def video_prompt(title: Column, description: Column, transcript: Column, max_chars: int = SUMMARY_CHARS) -> Column:
+def video_prompt(title: Column, description: Column, transcript: Column, max_chars: int | None = None) -> Column:
     """Title, then description and transcript where there are any."""
     text = F.concat_ws(
         "\n\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit("Unknown"))),
         F.concat(F.lit("Description: "), blank_to_null(description)),
-        F.concat(F.lit("Transcript:\n"), F.substring(blank_to_null(transcript), 1, max_chars)))
+        F.concat(F.lit("Transcript:\n"), _head(blank_to_null(transcript), max_chars)))
     return fill(VIDEO_PROMPT, text=text)
 
 
@@ -160,7 +162,3 @@ def chat_history(messages: DataFrame) -> DataFrame:
     """Messages with their source list parsed; unreadable lists are empty."""
     return messages.withColumn("sources", F.coalesce(
         F.from_json("sources_json", schemas.CHAT_SOURCES), F.array().cast(schemas.CHAT_SOURCES)))
-
-
-def latest_messages(messages: DataFrame, k: int) -> DataFrame:
-    return latest_k(messages, "workspace_id", k, ["turn", "message_id"])

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import media, text, urls
 
-MAX_LIGHT_CONTENT = 32_768
-
 # Elements that separate text.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "dd", "details", "dialog", "div", "dl", "dt",
@@ -20,22 +18,20 @@ _BLOCK = r"(?i)</?(?:" + "|".join(BLOCK_TAGS + _ALSO_SEPARATE) + r")(?:[^a-z0-9>
 
 _BODY = r"(?is)<{0}(?:[^a-z0-9>][^>]*)?>.*?(?:</{0}[^>]*(?:>|\z)|\z)"
 _HREF = r"""(?i)href=[ \t\r\n\f]*("[^"]*"|'[^']*')"""
-_META_FIRST = (
-    r"""(?i)<meta\s+(?:property|name)=["'](?:og:)?description["']\s+content=["']([^"']+)["']"""
-)
-_META_SECOND = (
-    r"""(?i)<meta\s+content=["']([^"']+)["']\s+(?:property|name)=["'](?:og:)?description["']"""
-)
+# A tag ends at the first ">" outside a quoted value.
+_META_TAG = r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_META_NAMES = ("description", "og:description")
 
 
-def strip_html(html: Column, max_chars: int = MAX_LIGHT_CONTENT, glue: bool = False) -> Column:
-    """Visible text of a page. ``glue=True`` joins text across tags with no space."""
+def strip_html(html: Column, max_chars: int | None = None, glue: bool = False) -> Column:
+    """Visible text of a page, whole unless ``max_chars`` is given. ``glue=True`` joins text across tags with no space."""
     body = F.regexp_replace(html, _BODY.format("script"), "")
     body = F.regexp_replace(body, _BODY.format("style"), "")
     if not glue:
         body = F.regexp_replace(body, _BLOCK, " ")
     body = F.regexp_replace(body, r"<[^>]*(?:>|\z)", "")
-    return text.trim_space(F.substring(text.collapse_space(body), 1, max_chars))
+    flat = text.collapse_space(body)
+    return text.trim_space(flat if max_chars is None else F.substring(flat, 1, max_chars))
 
 
 def title_light(html: Column) -> Column:
@@ -44,10 +40,18 @@ def title_light(html: Column) -> Column:
 
 
 def meta_description(html: Column) -> Column:
-    """Description from a meta element, in either attribute order."""
-    first = text.blank_to_null(F.regexp_extract(html, _META_FIRST, 1))
-    second = text.blank_to_null(F.regexp_extract(html, _META_SECOND, 1))
-    return text.trim_space(F.coalesce(first, second))
+    """The first description of a meta element that is not empty, whatever the order of its attributes."""
+    tags = F.regexp_extract_all(html, F.lit(_META_TAG), F.lit(0))
+    named = F.filter(tags, lambda t: F.lower(F.coalesce(
+        text.blank_to_null(attribute(t, "name")), attribute(t, "property"))).isin(*_META_NAMES))
+    values = F.filter(F.transform(named, lambda t: attribute(t, "content")), lambda v: v != "")
+    return text.trim_space(F.get(values, F.lit(0)))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of one attribute of a tag, ended by its own kind of quote; empty when it has none."""
+    quoted = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
 
 
 def hrefs_light(html: Column) -> Column:

@@ -28,11 +28,6 @@ def fresh_links(links: DataFrame, visited: DataFrame) -> DataFrame:
         visited.select("url"), "url", "left_anti")
 
 
-def page_links(extracted: DataFrame, depth: int) -> DataFrame:
-    """Outgoing links of crawled pages as candidates one level down."""
-    return extracted.select(F.explode("outgoing_links").alias("url"), F.lit(depth + 1).alias("depth"))
-
-
 def max_pages_budget(frontier: DataFrame, max_pages: int) -> DataFrame:
     """The first ``max_pages`` rows by (depth, url)."""
     return ordered_index(frontier, ["depth", "url"], "__n").where(F.col("__n") <= max_pages).drop("__n")

@@ -51,10 +51,6 @@ def interleave_merge(left: DataFrame, right: DataFrame, page_size: int) -> DataF
     return merged.select("query_id", "rank", "url", side.alias("side"))
 
 
-def merged_total(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("query_id").agg(F.count("*").alias("total_results"))
-
-
 def collect_transfer_sources(results: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
     """Results, then images, then videos as saved items, one per lower-cased URL."""
     def part(df: DataFrame, priority: int, media) -> DataFrame:

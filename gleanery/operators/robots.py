@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
+from gleanery.functions.text import trim_space
 
 
 def parse_robots(df: DataFrame, agent: str) -> DataFrame:
@@ -14,11 +15,11 @@ def parse_robots(df: DataFrame, agent: str) -> DataFrame:
     Every user-agent line opens its own group. The first group naming the agent wins, else
     the first ``*`` group, else everything is allowed. One row in, one row out.
     """
-    lines = F.transform(F.split("content", r"\r?\n"), lambda ln: F.trim(ln))
+    lines = F.transform(F.split("content", r"\r?\n"), trim_space)
     lines = F.filter(lines, lambda ln: ~F.startswith(ln, F.lit("#")) & F.contains(ln, F.lit(":")))
     entries = F.transform(lines, lambda ln: F.struct(
-        F.lower(F.trim(F.substring_index(ln, ":", 1))).alias("key"),
-        F.trim(F.regexp_replace(ln, "^[^:]*:", "")).alias("value"),
+        F.lower(trim_space(F.substring_index(ln, ":", 1))).alias("key"),
+        trim_space(F.regexp_replace(ln, "^[^:]*:", "")).alias("value"),
     ))
     groups = F.filter(
         F.transform(F.col("__e"), lambda e, i: F.struct(

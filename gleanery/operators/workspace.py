@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import blank_to_null, natural_sort_key
+from gleanery.functions.text import blank_to_null, natural_sort_key, trim_space
 from gleanery.functions.urls import strip_www, url_host
 from gleanery.operators.bm25 import top_k
 from gleanery.operators.running import running_total
 
 # Limits of the workspace views.
 MAX_ITEMS = 1000
-NOTE_SNIPPET = 200
 DOMAIN_PILLS = 4
 RECENT_SOURCES = 4
 RECENT_READS = 3
@@ -35,14 +34,18 @@ def _holds(column: Column, needle: str) -> Column:
     return F.coalesce(F.contains(F.lower(column), F.lit(needle.lower())), F.lit(False))
 
 
-def workspace_search(items: DataFrame, notes: DataFrame, q: str) -> DataFrame:
-    """Items by title or snippet, notes by title or content; case-insensitive substring."""
+def workspace_search(items: DataFrame, notes: DataFrame, q: str, note_chars: int | None = None) -> DataFrame:
+    """Items by title or snippet, notes by title or content; case-insensitive substring.
+
+    A note shows its whole content, or its first ``note_chars`` characters.
+    """
+    shown = F.col("content") if note_chars is None else F.substring("content", 1, note_chars)
     found = items.where(_holds(F.col("title"), q) | _holds(F.col("snippet"), q)).select(
         "workspace_id", F.lit("item").alias("object_type"), F.col("item_id").alias("object_id"),
         F.coalesce("title", F.lit("")).alias("title"), "snippet", "url")
     noted = notes.where(_holds(F.col("title"), q) | _holds(F.col("content"), q)).select(
         "workspace_id", F.lit("note").alias("object_type"), F.col("note_id").alias("object_id"), "title",
-        F.substring("content", 1, NOTE_SNIPPET).alias("snippet"), F.lit(None).cast("string").alias("url"))
+        shown.alias("snippet"), F.lit(None).cast("string").alias("url"))
     return found.unionByName(noted)
 
 
@@ -155,24 +158,24 @@ def partial_update(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 # --- order -------------------------------------------------------------------------------------
 
 def list_items_order(items: DataFrame) -> DataFrame:
-    return items.orderBy(F.asc("order_index"), F.desc("created_at"))
+    return items.orderBy(F.asc("order_index"), F.desc("created_at"), F.asc("item_id"))
 
 
 def list_workspaces_order(workspaces: DataFrame) -> DataFrame:
-    return workspaces.orderBy(F.desc("updated_at"))
+    return workspaces.orderBy(F.desc("updated_at"), F.asc("workspace_id"))
 
 
 def home_workspaces_order(counted: DataFrame) -> DataFrame:
-    return counted.orderBy(F.desc("created_at"), F.desc("item_count"))
+    return counted.orderBy(F.desc("created_at"), F.desc("item_count"), F.asc("workspace_id"))
 
 
 def list_users_order(users: DataFrame) -> DataFrame:
-    return users.orderBy(F.desc("created_at"))
+    return users.orderBy(F.desc("created_at"), F.asc("session_id"))
 
 
 def profiles_order(profiles: DataFrame) -> DataFrame:
     """Most recently active first."""
-    return profiles.orderBy(F.desc("last_active"))
+    return profiles.orderBy(F.desc("last_active"), F.asc("session_id"))
 
 
 def profile_name_key(username: Column) -> Column:
@@ -230,7 +233,7 @@ def bulk_add_items(existing: DataFrame, batch: DataFrame, cap: int = MAX_ITEMS,
     a new URL is created while there is room; a repeat shares the fate of its first request,
     as a duplicate of a created one or rejected again.
     """
-    norm = F.lower(F.trim("url"))
+    norm = F.lower(trim_space(F.col("url")))
     have = existing.select("workspace_id", norm.alias("__n")).distinct().withColumn("__have", F.lit(True))
     counts = existing.groupBy("workspace_id").agg(F.count("*").alias("__count"))
     requests = batch.withColumn("__n", norm)

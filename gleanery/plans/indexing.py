@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators.index import Index, build_index, with_postings
 from gleanery.operators.vector import Embedder, embed_pages, hashing_embedder
+from gleanery.session import materialize
 from gleanery.sources.pages import pages_missing_embeddings, upsert_embeddings
 
 
@@ -15,7 +16,13 @@ def as_documents(pages: DataFrame) -> DataFrame:
 
 
 def update_index(index: Index, pages: DataFrame) -> Index:
-    """Delete the documents of the given URLs, add the pages, work the statistics out again."""
+    """Delete the documents of the given URLs, add the pages, work the statistics out again.
+
+    Of pages with the same URL the one with the greatest ``doc_id`` counts; of those the same row, once.
+    """
+    # the winners are found on narrow rows; only then do texts move
+    last = pages.groupBy("url").agg(F.max("doc_id").alias("doc_id"))
+    pages = materialize(pages.join(last, ["url", "doc_id"], "left_semi").select(pages.columns).dropDuplicates(["doc_id"]), "changed")
     added = build_index(pages, stage=True)
     gone = index.docs.select("doc_id", "url").join(pages.select("url"), "url", "left_semi").select("doc_id").unionByName(
         pages.select("doc_id")).distinct()

@@ -14,17 +14,6 @@ PAGE = _struct(
     ("id", _L), ("url", _S), ("title", _S), ("description", _S), ("content", _S),
     ("crawled_at", _NTZ), ("indexed", _B),
 )
-EMBEDDING = _struct(
-    ("page_id", _L), ("chunk_index", _I), ("model", _S), ("dimension", _I),
-    ("embedding", T.ArrayType(T.FloatType())),
-)
-RAW_PAGE = _struct(("page_id", _L), ("url", _S), ("html", _S))
-FRONTIER = _struct(("url", _S), ("depth", _I), ("retry_count", _I))
-SEARCH_RESULT = _struct(
-    ("title", _S), ("url", _S), ("snippet", _S), ("source", _S), ("img_src", _S),
-    ("thumbnail", _S), ("published_date", _S), ("category", _S), ("engine", _S),
-    ("length_seconds", _I), ("length_raw", _S),
-)
 METASEARCH_RESPONSE = _struct(
     ("query", _S), ("number_of_results", _L),
     ("results", T.ArrayType(_struct(
@@ -35,13 +24,3 @@ METASEARCH_RESPONSE = _struct(
     ("infoboxes", T.ArrayType(T.MapType(_S, _S))),
 )
 CHAT_SOURCES = T.ArrayType(_struct(("url", _S), ("title", _S)))
-ACTIVITY = _struct(
-    ("id", _L), ("session_id", _S), ("action_type", _S), ("details", _S), ("created_at", _NTZ),
-)
-FETCH_LOG = _struct(
-    ("event_id", _L), ("host", _S), ("ts", _NTZ), ("ok", _B), ("message", _S), ("retry_count", _I),
-)
-POSTING = _struct(
-    ("field", _S), ("term", _S), ("doc_id", _L), ("tf", _I), ("doc_len", _I),
-    ("positions", T.ArrayType(_I)),
-)

@@ -10,7 +10,6 @@ from gleanery.functions.media import parse_duration, raw_duration
 
 # Fixed value: source name of results that do not name their engine.
 DEFAULT_SOURCE = "searxng"
-DEFAULT_PAGE_SIZE = 10
 
 
 def read_metasearch_json(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +17,10 @@ def read_metasearch_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.METASEARCH_RESPONSE).json(path)
 
 
-def metasearch_results(responses: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Responses → one row per result with a URL, at most ``page_size`` per response, renamed to our columns."""
+def metasearch_results(responses: DataFrame, page_size: int | None = None) -> DataFrame:
+    """Responses → one row per result with a URL, renamed to our columns; ``page_size`` keeps that many per response."""
     with_url = F.filter("results", lambda r: r["url"].isNotNull() & (r["url"] != ""))
-    rows = responses.select("query", F.posexplode(F.slice(with_url, 1, page_size)).alias("pos", "r"))
+    rows = responses.select("query", F.posexplode(with_url if page_size is None else F.slice(with_url, 1, page_size)).alias("pos", "r"))
     return rows.select(
         "query", "pos",
         F.coalesce("r.title", F.lit("")).alias("title"),
@@ -36,7 +35,7 @@ def metasearch_results(responses: DataFrame, page_size: int = DEFAULT_PAGE_SIZE)
     )
 
 
-def metasearch_totals(responses: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+def metasearch_totals(responses: DataFrame, page_size: int) -> DataFrame:
     """Reported total, or results kept plus one page when none is reported."""
     kept = F.least(
         F.size(F.filter("results", lambda r: r["url"].isNotNull() & (r["url"] != ""))), F.lit(page_size))

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from gleanery import schemas
 
-# Fixed value: pages per indexing batch.
-INDEX_BATCH = 500
-
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """All crawled pages in id order."""
@@ -26,8 +23,8 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def unindexed_batch(pages: DataFrame, limit: int | None = INDEX_BATCH) -> DataFrame:
-    """The next pages to index, by id; all of them with ``limit=None``."""
+def unindexed_batch(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The pages to index, by id; the first ``limit`` of them if given."""
     waiting = pages.where(~F.col("indexed")).orderBy("id")
     return waiting if limit is None else waiting.limit(limit)
 
@@ -38,11 +35,6 @@ def first_per_key(batch: DataFrame, keys: Sequence[str], order: str) -> DataFram
     return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
-def last_per_key(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
-
-
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overwrite the columns the (key-unique) batch shares with matching target rows; add the new rows.
 
@@ -51,14 +43,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFram
     keys = list(keys)
     values = [c for c in batch.columns if c in target.columns and c not in keys]
     incoming = batch.select(*keys, F.struct(*values).alias("__new"))
-    changed = target.join(incoming, keys, "left")
+    # one full join: each side is read and shuffled once
+    both = target.join(incoming, keys, "full")
     hit = F.col("__new").isNotNull()
-    updated = changed.select([
+    return both.select([
         F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in target.columns
     ])
-    added = batch.join(target.select(*keys), keys, "left_anti").select(*keys, *values)
-    return updated.unionByName(added, allowMissingColumns=True).select(target.columns)
 
 
 def upsert_pages(target: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -67,8 +58,8 @@ def upsert_pages(target: DataFrame, batch: DataFrame, order: str = "seq") -> Dat
 
 
 def upsert_embeddings(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Upsert by (page_id, chunk_index)."""
-    return upsert(target, batch, ["page_id", "chunk_index"])
+    """Upsert by (page_id, chunk_index); of repeated keys in the batch one row counts."""
+    return upsert(target, batch.dropDuplicates(["page_id", "chunk_index"]), ["page_id", "chunk_index"])
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:

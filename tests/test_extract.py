@@ -50,9 +50,20 @@ def test_strip_html(spark, html, glued, spaced):
     assert tuple(row) == (glued, spaced)
 
 
-def test_strip_html_limit(spark):
-    row = spark.createDataFrame([("é" * 40000,)], "html STRING").select(extract.strip_html(F.col("html"))).first()
-    assert row[0] == "é" * 32768
+def test_strip_html_is_whole_without_a_limit(spark):
+    page = spark.createDataFrame([("<p>" + "é " * 200_000 + "last</p>",)], "html STRING")
+    whole, cut = page.select(extract.strip_html(F.col("html")), extract.strip_html(F.col("html"), max_chars=4)).first()
+    assert whole.endswith("é last") and len(whole) == 400_004 and cut == "é é"
+
+
+@pytest.mark.parametrize("html, want", [
+    ("""<meta name="description" content="it's > fine">""", "it's > fine"),
+    ("""<META content='say "hi"' property='og:description'/>""", 'say "hi"'),
+    ("""<meta name="description" content=""><meta charset="x" content="two" lang="en" name='Description'>""", "two"),
+    ("""<meta name="keywords" content="no"><p content="no">""", None),
+])
+def test_meta_description_by_attributes(spark, html, want):
+    assert spark.createDataFrame([(html,)], "html STRING").select(extract.meta_description(F.col("html"))).first()[0] == want
 
 
 @pytest.mark.parametrize("html, want", [

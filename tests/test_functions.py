@@ -58,8 +58,9 @@ def test_crawlable_extension(spark):
 
 def test_tokenize(spark):
     cases = [("The Quick-brown fox's 2nd!", ["the", "quick", "brown", "fox", "s", "2nd"]), ("", []), (None, None),
-             ("x" * 40 + " ok " + "y" * 39, ["ok", "y" * 39]), ("Été ß_x", ["été", "ß", "x"])]
+             ("x" * 400 + " ok " + "y" * 39, ["x" * 400, "ok", "y" * 39]), ("Été ß_x", ["été", "ß", "x"])]
     assert values(spark, [(c[0],) for c in cases], "t STRING", text.tokenize(F.col("t"))) == [c[1] for c in cases]
+    assert values(spark, [("x" * 40 + " ok " + "y" * 39,)], "t STRING", text.tokenize(F.col("t"), max_bytes=40)) == [["ok", "y" * 39]]
 
 
 def test_collapse_keep_newlines(spark):
@@ -76,7 +77,8 @@ def test_reading_time(spark):
 
 def test_boilerplate_and_filler(spark):
     assert values(spark, [("Please ENABLE JavaScript",), ("x" * 300 + "enable javascript",), ("fine",)], "t STRING",
-                  text.is_boilerplate(F.col("t"))) == [True, False, False]
+                  text.is_boilerplate(F.col("t"))) == [True, True, False]
+    assert values(spark, [("x" * 300 + "enable javascript",)], "t STRING", text.is_boilerplate(F.col("t"), window=300)) == [False]
     assert values(spark, [("short",), ("A real summary of a page about tea.",), ("Sorry, I'm unable to do this at all.",)],
                   "t STRING", text.is_filler_response(F.col("t"))) == [True, False, True]
 
@@ -104,6 +106,9 @@ def test_natural_sort_key(spark):
     names = ["user10", "User9", "user 1", "b", "a20b3", "a20b12"]
     keys = values(spark, [(n,) for n in names], "n STRING", text.natural_sort_key(F.col("n")))
     assert [n for _, n in sorted(zip(keys, names))] == ["a20b3", "a20b12", "b", "user 1", "User9", "user10"]
+    runs = ["a1234567890129", "a12345678901299", "a1234567890123", "a0007", "a6"]
+    keys = values(spark, [(n,) for n in runs], "n STRING", text.natural_sort_key(F.col("n")))
+    assert [n for _, n in sorted(zip(keys, runs))] == ["a6", "a0007", "a1234567890123", "a1234567890129", "a12345678901299"]
 
 
 def test_cosine(spark):

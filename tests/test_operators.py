@@ -176,7 +176,55 @@ def test_batch_scorer(spark):
     scorer = rerank.batch_scorer(lambda q, t: t.str.len())
     assert [r.text for r in rerank.rerank(df, scorer).orderBy("rank").collect()] == ["a b", "b"]
     broken = rerank.batch_scorer(lambda q, t: 1 / 0)
-    assert [r.text for r in rerank.rerank(df, broken).orderBy("rank").collect()] == ["b", "a b"]
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        rerank.rerank(df, broken).collect()
+
+
+def test_rerank_keeps_a_list_with_a_score_missing(spark):
+    rows = [(q, r, f"u{r}", 10.0 - r, s) for q, scores in ((1, [0.1, None, 0.9]), (2, [0.1, 0.5, 0.9])) for r, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "query_id INT, rank BIGINT, url STRING, score DOUBLE, model DOUBLE")
+    out = rerank.rerank(df, F.col("model"), top=3).orderBy("query_id", "rank").collect()
+    assert [r.url for r in out] == ["u0", "u1", "u2", "u2", "u1", "u0"]
+    assert [r.score for r in out[:3]] == [10.0, 9.0, 8.0]
+
+
+def test_white_space_around_values_does_not_count(spark):
+    from gleanery.operators import robots
+
+    text = "User-agent:\t*\r\nDisallow:\t/private \u00a0\nCrawl-delay:\t3"
+    rules = robots.parse_robots(spark.createDataFrame([("h", text)], "host STRING, content STRING"), "bot").first()
+    assert (rules.disallows, rules.crawl_delay) == (["/private"], 3.0)
+    existing = spark.createDataFrame([(1, "http://a/")], "workspace_id INT, url STRING")
+    batch = spark.createDataFrame([(1, 1, "\thttp://A/\n"), (1, 2, "http://b/"), (1, 3, "http://b/\x0b")], "workspace_id INT, seq INT, url STRING")
+    got = workspace.bulk_add_items(existing, batch).orderBy("seq").collect()
+    assert [r.status for r in got] == ["duplicate", "created", "duplicate"]
+
+
+def test_update_index_with_a_url_twice(spark):
+    from gleanery.plans.indexing import update_index
+
+    schema = "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING"
+    old = index.build_index(spark.createDataFrame([(1, "u1", "t", None, "old words"), (2, "u2", "t", None, "other")], schema), stage=True)
+    changed = spark.createDataFrame([(3, "u1", "t", None, "first"), (4, "u1", "t", None, "second"), (4, "u1", "t", None, "second")], schema)
+    new = update_index(old, changed)
+    assert sorted(r.doc_id for r in new.docs.collect()) == [2, 4]
+    found = new.postings.where("field = 'content' AND doc_id = 4").collect()
+    assert [(r.term, r.tf, r.doc_len) for r in found] == [("second", 1, 1)]
+
+
+def test_a_phrase_without_words_is_no_phrase(spark):
+    schema = "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING"
+    built = index.build_index(spark.createDataFrame([(1, "u1", "t", None, "old words"), (2, "u2", "t", None, "old")], schema), stage=True)
+    asked = spark.createDataFrame([(1, "old", None, None, ""), (2, "old", None, None, " - "), (3, "old", None, None, "old words")],
+                                  "query_id BIGINT, q STRING, must ARRAY<STRING>, must_not ARRAY<STRING>, phrase STRING")
+    hits = bm25.bm25_search_filtered(built, asked).collect()
+    assert sorted((r.query_id, r.doc_id) for r in hits) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)]
+
+
+def test_rrf_tells_thousands_of_ranks_apart(spark):
+    ranked = spark.range(5000).select(F.lit(1).alias("query_id"), F.col("id").alias("rank"), F.format_string("u%05d", "id").alias("url"))
+    fused = fusion.rrf_fuse(ranked, ranked.limit(0))
+    assert fused.select("score").distinct().count() == 5000
 
 
 def test_best_fragment():
