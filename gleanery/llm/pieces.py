@@ -7,16 +7,17 @@ other text, and any that spells an added token, goes to the tokenizer whole. Bot
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
-import regex
 from tokenizers import Tokenizer
 
-#: The split patterns written in the two vocabulary files.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-_UNUSUAL = regex.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ſ–—‘’“”…€]")
+# The letters and numbers among the characters that count as well known.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼½¾"
+_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ſ–—‘’“”…€]")
+#: The split patterns of the two vocabulary files, for texts of such characters.
+BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
 # Byte-level vocabularies write each byte as a printable character: the printable ones of Latin-1 as they are,
 # the others as the characters from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -36,7 +37,7 @@ class Pieces:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        self.find = regex.compile(pattern).findall
+        self.find = re.compile(pattern).findall
         self.value, self.lower = value, lower
         self.frequent = frequent or {}
         self.known = dict(self.frequent)

@@ -12,6 +12,7 @@ so a lost executor leaves at most an unlisted file.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -50,8 +51,8 @@ def encode(docs: DataFrame, path: str, end_id: int | None, pattern: str = WORD_L
 
     def made() -> Pieces:
         pieces = Pieces(path, pattern, None, lower=lower)
-        kind = id_kind(pieces.tokenizer.get_vocab_size())
-        pieces.value = lambda ids: np.array(ids, kind).tobytes()
+        sign = "H" if id_kind(pieces.tokenizer.get_vocab_size()) == "<u2" else "I"
+        pieces.value = lambda ids: struct.pack(f"<{len(ids)}{sign}", *ids)
         return pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
