@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **extra: str
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_gleanery_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # read by the driver's own file server only
+    archive = Path(tempfile.mkdtemp(prefix="gleanery-")).resolve() / "gleanery.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._gleanery_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", "")

@@ -142,9 +142,9 @@ def dedupe_within_ttl(events: DataFrame, keys: list[str], ts: str, ttl_seconds:
     return out.select(*keys, F.timestamp_micros("__micros").alias(ts))
 
 
-def stream_error_rate(log: DataFrame, width: str = "2 seconds", lateness: str = "10 seconds") -> DataFrame:
-    """The error-rate windows of a live log."""
-    return error_rate_windows(log.withWatermark("ts", lateness), width)
+def stream_error_rate(log: DataFrame, width: str = "2 seconds", lateness: str | None = None) -> DataFrame:
+    """The error-rate windows of a live log. Late rows count; with ``lateness`` windows are closed and let go."""
+    return error_rate_windows(log if lateness is None else log.withWatermark("ts", lateness), width)
 
 
 _WAITS = "host STRING, event_id BIGINT, wait_seconds DOUBLE"
@@ -155,18 +155,17 @@ def stream_politeness(requests: DataFrame, default_delay: float = 1.0) -> DataFr
 
     def wait(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["micros", "event_id"])
-            micros = pdf["micros"].to_numpy()
-            gaps = pd.Series(micros, index=pdf.index).diff()
-            if last is not None:
-                gaps.iloc[0] = micros[0] - last
-            delay = pdf["delay"].fillna(default_delay)
-            waits = (delay - gaps / 1e6).clip(lower=0.0).fillna(0.0)
-            last = int(micros[-1])
-            yield pd.DataFrame({"host": key[0], "event_id": pdf["event_id"], "wait_seconds": waits})
+        # Arrow batches of a group come in no order
+        pdf = pd.concat(list(batches)).sort_values(["micros", "event_id"], ignore_index=True)
+        gaps = pdf["micros"].diff()
         if last is not None:
-            state.update((last,))
+            gaps.iloc[0] = pdf["micros"].iloc[0] - last
+        # a late request came before the last one: nothing has passed since
+        gaps = gaps.clip(lower=0)
+        waits = (pdf["delay"].fillna(default_delay) - gaps / 1e6).clip(lower=0.0).fillna(0.0)
+        newest = int(pdf["micros"].iloc[-1])
+        state.update((newest if last is None else max(last, newest),))
+        yield pd.DataFrame({"host": key[0], "event_id": pdf["event_id"], "wait_seconds": waits})
 
     delay = F.col("crawl_delay") if "crawl_delay" in requests.columns else F.lit(None)
     rows = requests.select(
@@ -177,14 +176,17 @@ def stream_politeness(requests: DataFrame, default_delay: float = 1.0) -> DataFr
 
 
 def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into Parquet below ``root``, and read the result."""
+    """Run a stream over what is there now, into Parquet below ``root``, and read the result.
+
+    In ``complete`` mode a batch replaces the ones before it.
+    """
     spark = stream.sparkSession
     if mode == "append":
         query = stream.writeStream.format("parquet").outputMode("append").option(
             "checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/data").trigger(availableNow=True).start()
     else:
         def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+            batch.write.mode("overwrite").parquet(f"{root}/data" if mode == "complete" else f"{root}/data/batch={batch_id}")
 
         query = stream.writeStream.foreachBatch(keep).outputMode(mode).option(
             "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()

@@ -119,8 +119,8 @@ def test_hybrid_without_vectors_is_bm25(docs, queries):
     assert {(r.query_id, r.doc_id) for r in hits.collect()} == set(brute_bm25(DOCS, QUERIES))
 
 
-@pytest.mark.parametrize("limit_bytes", [1 << 30, 0])
-def test_vector_brute_force(spark, limit_bytes):
+@pytest.mark.parametrize("query_block", [2048, 3])
+def test_vector_brute_force(spark, query_block):
     rng = np.random.default_rng(7)
     pages = rng.normal(size=(300, 8)).astype(np.float32)
     pages[5] = 0
@@ -130,10 +130,10 @@ def test_vector_brute_force(spark, limit_bytes):
                                 "page_id BIGINT, chunk_index INT, embedding ARRAY<FLOAT>").repartition(5)
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id BIGINT, embedding ARRAY<FLOAT>")
     got = defaultdict(list)
-    for r in vector.vector_search(emb, qs, 6, limit_bytes).orderBy("query_id", "rank").collect():
+    for r in vector.vector_search(emb, qs, 6, query_block=query_block).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.page_id, r.similarity))
     for q, v in enumerate(asked.astype(float)):
-        sims = {i: round(float(p @ v / np.sqrt((p @ p) * (v @ v))), 6) for i, p in enumerate(pages.astype(float))
+        sims = {i: round(float(p @ v / np.sqrt((p @ p) * (v @ v))), vector.SCORE_DIGITS) for i, p in enumerate(pages.astype(float))
                 if i != 5 and i % 50 != 49}
         want = sorted(sims.items(), key=lambda x: (-x[1], x[0]))[:6]
         assert [i for i, _ in got[q]] == [i for i, _ in want]
@@ -146,9 +146,13 @@ def test_block_sizes_do_not_matter(spark, monkeypatch):
                                 "page_id BIGINT, chunk_index INT, embedding ARRAY<DOUBLE>")
     qs = emb.where("page_id < 30").select(F.col("page_id").alias("query_id"), "embedding")
     want = sorted(map(tuple, vector.vector_search(emb, qs, 5).collect()))
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vector, "VECTOR_BLOCK", 11)
-    assert sorted(map(tuple, vector.vector_search(emb, qs, 5, 0).collect())) == want
+    monkeypatch.setattr(vector, "TILE", 11)
+    assert sorted(map(tuple, vector.vector_search(emb, qs, 5, query_block=7).collect())) == want
+    # vectors of another width are searched among themselves
+    wide = spark.createDataFrame([(500, 0, [1.0, 2.0]), (501, 0, [2.0, -1.0])], emb.schema)
+    both = vector.vector_search(emb.union(wide), qs.union(wide.select("page_id", "embedding")), 5).collect()
+    assert sorted(tuple(r) for r in both if r.query_id < 500) == want
+    assert [(r.page_id, r.similarity) for r in both if r.query_id == 500] == [(500, 1.0), (501, 0.0)]
 
 
 def test_fuse_selector(spark):
