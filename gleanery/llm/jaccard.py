@@ -125,7 +125,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Compressed texts of the documents in ``wanted`` (``doc_id``), one per id."""
+    """Compressed texts of the documents in ``wanted`` (``doc_id``). The joins are alike at every size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
@@ -133,7 +133,7 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [press((x or "").encode()) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "z"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, z binary").join(wanted.distinct(), "doc_id", "left_semi")
+    return _texts(docs).mapInArrow(run, "doc_id long, z binary").join(wanted.distinct().hint("merge"), "doc_id", "left_semi")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,9 +176,18 @@ def _typical_pairs(heads: DataFrame) -> DataFrame:
     return votes.groupBy(F.col("doc_id").alias("a")).agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
 
 
+def _fits(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets of sizes ``n`` and ``m`` that share ``overlap`` tokens are linked."""
+    return (100 + percent) * overlap >= percent * (n + m)
+
+
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(query, group) whose bound allows a link. ``rows``: documents with ``part`` (component), ``part_size``,
-    ``grp`` and the leading tokens."""
+    """(query, group, n) whose bound allows a link. ``rows``: documents with ``part`` (component), ``part_size``,
+    ``grp`` and the leading tokens.
+
+    Tokens stand in one order everywhere. The first one that a query shares with a member has only tokens
+    before it that the other lacks, which bounds their overlap; a pair without such a token has no link.
+    """
     token = F.posexplode("leading").alias("at", "token")
     matrix = rows.select("doc_id", "part", "part_size", "grp", "n", token)
     held = matrix.groupBy("token").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max(F.struct("part_size", "part")).alias("top"))
@@ -187,30 +196,38 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
     # a query's component is smaller than the group's, so the largest component of a token asks nothing
     queries = met.filter(F.struct("part_size", "part") < F.col("top")).select(
         "token", F.col("doc_id").alias("query"), F.col("n").alias("q_n"), F.col("at").alias("i"), F.struct("part_size", "part").alias("q_rank"))
-    unions = met.groupBy("token", "grp", "part", "part_size").agg(
-        F.max("at").alias("j"), F.min("n").alias("low"), F.max("n").alias("high"))
-    groups = unions.select("token", "grp", "j", "low", "high", F.struct("part_size", "part").alias("g_rank"))
-    overlap = (
-        queries.join(groups, "token").filter(
-            (F.col("q_rank") < F.col("g_rank")) & (100 * F.col("high") >= percent * F.col("q_n")) & (percent * F.col("low") <= 100 * F.col("q_n")))
-        .groupBy("query", "grp").agg(F.count("*").alias("c"), (F.max("i") + 1).alias("upto"), (F.max("j") + 1).alias("upto_g"))
+    groups = met.groupBy("token", "grp", "part", "part_size").agg(
+        F.max("at").alias("j"), F.min("n").alias("low"), F.max("n").alias("high")
+    ).select("token", "grp", "j", "low", "high", F.struct("part_size", "part").alias("g_rank"), (F.col("part_size") == 1).alias("alone"))
+    q_n, low = F.col("q_n"), F.col("low")
+    may = (
+        (F.col("q_rank") < F.col("g_rank")) & (100 * F.col("high") >= percent * q_n) & (percent * low <= 100 * q_n)
+        & _fits(q_n - F.col("i"), q_n, low, percent) & (~F.col("alone") | _fits(low - F.col("j"), q_n, low, percent))
     )
-    last = F.element_at("leading", -1)
-    facts = rows.select("doc_id", "grp", "n", F.size("leading").alias("p"), last.alias("last"))
-    of_query = facts.select(F.col("doc_id").alias("query"), "n", "p", "last")
-    of_group = facts.groupBy("grp").agg(
-        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("last").alias("g_last"), F.min("p").alias("g_p"))
-    full = overlap.join(of_query, "query").join(of_group, "grp")
-    # tokens of the query that no member holds: all its first ones outside the union, as far as the union is known
-    out_q = F.greatest(F.lit(0), F.when(F.col("last") <= F.col("g_last"), F.col("p")).otherwise(F.col("upto")) - F.col("c"))
-    alone = F.col("members") == 1
-    out_g = F.when(alone, F.greatest(F.lit(0), F.when(F.col("g_last") <= F.col("last"), F.col("g_p")).otherwise(F.col("upto_g")) - F.col("c"))).otherwise(0)
-    size = F.greatest("low", F.floor((F.col("n") * percent + 99) / 100))
-    most = F.least(F.col("n") - F.col("out_q"), F.col("high") - F.col("out_g"))
-    return full.withColumns({"out_q": out_q, "out_g": out_g}).filter(
-        (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-        & ((100 + percent) * most >= percent * (F.col("n") + size))
-    ).select("query", "grp", "n")
+    # tokens up to the last one found here that are not counted are known to lie outside
+    found = queries.join(groups, "token").filter(may).groupBy("query", "grp").agg(
+        F.count("*").alias("c"), (F.max("i") + 1).alias("upto"), (F.max("j") + 1).alias("upto_g"),
+        F.first("q_n").alias("n"), F.first("alone").alias("alone"), F.min("low").alias("low"))
+    out_q = F.greatest(F.lit(0), F.col("upto") - F.col("c"))
+    out_g = F.when(F.col("alone"), F.greatest(F.lit(0), F.col("upto_g") - F.col("c"))).otherwise(0)
+    overlap = F.least(F.col("n") - out_q, F.when(F.col("alone"), F.col("low") - out_g).otherwise(F.col("n")))
+    likely = found.withColumns({"out_q": out_q, "out_g": out_g}).filter(
+        _fits(overlap, F.col("n"), F.greatest("low", F.floor((F.col("n") * percent + 99) / 100)), percent)
+        & _fits((F.col("n") + F.col("low") - out_q - out_g) / 2, F.col("n"), F.col("low"), percent) | ~F.col("alone"))
+    likely = materialize(likely, "likely")
+
+    # single documents: all their leading tokens, shortened to 15 bits; what has no equal there has none at all
+    short = F.transform("leading", lambda t: F.shiftright(t, 8).bitwiseAND(F.lit(0x7FFF)).cast("short"))
+    facts = rows.select("doc_id", "grp", short.alias("short"), F.element_at("leading", -1).alias("last"))
+    of_query = facts.select(F.col("doc_id").alias("query"), F.col("short").alias("q_short"), F.col("last").alias("q_last"))
+    of_group = facts.select("grp", F.col("short").alias("g_short"), F.col("last").alias("g_last"))
+    single = likely.filter("alone").join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
+    shorter = F.col("q_last") <= F.col("g_last")
+    more_q = F.when(shorter, F.size(F.array_except("q_short", "g_short"))).otherwise(0)
+    more_g = F.when(~shorter, F.size(F.array_except("g_short", "q_short"))).otherwise(0)
+    outside = F.greatest("out_q", more_q) + F.greatest("out_g", more_g)
+    single = single.filter(_fits((F.col("n") + F.col("low") - outside) / 2, F.col("n"), F.col("low"), percent))
+    return single.select("query", "grp", "n").union(likely.filter("not alone").select("query", "grp", "n"))
 
 
 def _grouped(heads: DataFrame, links: DataFrame) -> DataFrame:
@@ -241,7 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # narrow rows: the copies that do not go on
     others = profiles.select("doc_id", "name1", "name2", "n").join(names.filter("rows > 1"), ["name1", "name2", "n"]).filter(
         "doc_id <> head").select("doc_id", "name1", "name2")
-    heads = profiles.filter("n > 0 and doc_id is not null").join(others, ["doc_id", "name1", "name2"], "left_anti")
+    heads = profiles.filter("n > 0 and doc_id is not null").join(others.hint("merge"), ["doc_id", "name1", "name2"], "left_anti")
     heads = materialize(heads.select("doc_id", "n", "signs", "leading"), "heads")
 
     near = materialize(_typical_pairs(heads), "typical")
