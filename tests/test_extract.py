@@ -80,9 +80,17 @@ def test_reader_text():
     assert dom.reader_text(html) == "T\n\nHead\n\nOne two\n\na\n\nb\n\ntail"
 
 
-def test_dom_prefers_first_root():
-    title, description, content, _ = dom.parse_document("<main>in<header>no</header></main><p>out</p>")
-    assert (title, description, content) == (None, None, "in")
+def test_reader_text_counts_hidden_elements():
+    html = "<!DOCTYPE html><p>a &amp; b</p><footer><nav>x</nav>no</footer></nav><div>c</div><!-- <p>no --><noscript>no"
+    assert dom.reader_text(html) == "a & b\n\nc"
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<main>in<header>no</header></main><p>out</p>", "in\nout"), ("<html><p>Hello</p>", "Hello"),
+    ("<article><p>a</p></article><p>rest</p>", "a\nrest"), ("<title>T</title><body><p>x</p><main>y</main></body>", "x\ny"),
+])
+def test_dom_has_a_body_in_any_case(html, want):
+    assert dom.parse_document(html)[2].strip() == want
 
 
 ROBOTS = [
