@@ -182,8 +182,8 @@ def _fits(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(query, group, n) whose bound allows a link. ``rows``: documents with ``part`` (component), ``part_size``,
-    ``grp`` and the leading tokens.
+    """(a, b): query and member of a group whose bounds allow a link. ``rows``: documents with ``part`` (component),
+    ``part_size``, ``grp`` and the leading tokens.
 
     Tokens stand in one order everywhere. The first one that a query shares with a member has only tokens
     before it that the other lacks, which bounds their overlap; a pair without such a token has no link.
@@ -216,18 +216,26 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         & _fits((F.col("n") + F.col("low") - out_q - out_g) / 2, F.col("n"), F.col("low"), percent) | ~F.col("alone"))
     likely = materialize(likely, "likely")
 
-    # single documents: all their leading tokens, shortened to 15 bits; what has no equal there has none at all
+    # all leading tokens, shortened to 15 bits: what has no equal on the other side has none at all
     short = F.transform("leading", lambda t: F.shiftright(t, 8).bitwiseAND(F.lit(0x7FFF)).cast("short"))
-    facts = rows.select("doc_id", "grp", short.alias("short"), F.element_at("leading", -1).alias("last"))
+    facts = rows.select("doc_id", "grp", "n", short.alias("short"), F.element_at("leading", -1).alias("last"))
     of_query = facts.select(F.col("doc_id").alias("query"), F.col("short").alias("q_short"), F.col("last").alias("q_last"))
-    of_group = facts.select("grp", F.col("short").alias("g_short"), F.col("last").alias("g_last"))
-    single = likely.filter("alone").join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
-    shorter = F.col("q_last") <= F.col("g_last")
-    more_q = F.when(shorter, F.size(F.array_except("q_short", "g_short"))).otherwise(0)
-    more_g = F.when(~shorter, F.size(F.array_except("g_short", "q_short"))).otherwise(0)
-    outside = F.greatest("out_q", more_q) + F.greatest("out_g", more_g)
-    single = single.filter(_fits((F.col("n") + F.col("low") - outside) / 2, F.col("n"), F.col("low"), percent))
-    return single.select("query", "grp", "n").union(likely.filter("not alone").select("query", "grp", "n"))
+    # a group is opened in its row: members that may link leave it, the others never become rows
+    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "short", "last")).alias("members"))
+    full = likely.join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
+
+    def may_link(m: Column) -> Column:
+        n, shorter = F.col("n"), F.col("q_last") <= m["last"]
+        more_q = F.when(shorter, F.size(F.array_except("q_short", m["short"]))).otherwise(0)
+        more_g = F.when(~shorter, F.size(F.array_except(m["short"], F.col("q_short")))).otherwise(0)
+        out_m = F.when(F.col("alone"), F.col("out_g")).otherwise(0)
+        outside = F.greatest("out_q", more_q) + F.greatest(out_m, more_g)
+        return (
+            (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n) & _fits((n + m["n"] - outside) / 2, n, m["n"], percent)
+            & _fits(F.least(n - more_q, m["n"] - more_g), n, m["n"], percent)
+        )
+
+    return full.select(F.col("query").alias("a"), F.explode(F.filter("members", may_link)).alias("m")).select("a", F.col("m.doc_id").alias("b"))
 
 
 def _grouped(heads: DataFrame, links: DataFrame) -> DataFrame:
@@ -264,11 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     near = materialize(_typical_pairs(heads), "typical")
     links = materialize(_verified(docs, near, k, percent), "links")
     grouped = materialize(_grouped(heads, links).drop("signs"), "grouped")
-    open_groups = _qualifying(grouped, percent)
-    members = grouped.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    pairs = materialize(open_groups.join(members, "grp").filter(
-        (100 * F.col("m") >= percent * F.col("n")) & (percent * F.col("m") <= 100 * F.col("n"))
-    ).select(F.col("query").alias("a"), "b").distinct(), "pairs")
+    pairs = materialize(_qualifying(grouped, percent).distinct(), "pairs")
     more = _verified(docs, pairs, k, percent)
     parts = connected_components(materialize(links.union(more), "all-links"))
 
