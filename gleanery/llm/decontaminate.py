@@ -91,7 +91,7 @@ class Pieces:
     def matches(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, int]]:
         """Per document (its words start at ``first``): item id → least distance, within the item's budget."""
         out: list[dict[int, int]] = [{} for _ in range(len(first) - 1)]
-        tried: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int, int]] = set()  # by the whole window: clipped at the document's start, other alignments end elsewhere
         for length, (keys, flags, rows) in self.by_length.items():
             win = wd.windows(words, length)
             at = np.flatnonzero(flags[win & np.uint64(_BITS - 1)])
@@ -107,9 +107,9 @@ class Pieces:
                     room = self.budget[k]
                     begin = max(int(first[doc]), position - low - room)
                     end = min(int(first[doc + 1]), position - low + len(item) + room)
-                    if (doc, k, begin) in tried or out[doc].get(item_id) == 0 or position + length > int(first[doc + 1]):
+                    if (doc, k, begin, end) in tried or out[doc].get(item_id) == 0 or position + length > int(first[doc + 1]):
                         continue
-                    tried.add((doc, k, begin))
+                    tried.add((doc, k, begin, end))
                     distance = infix_distance(item.tolist(), words[begin:end].tolist())
                     if distance <= room:
                         out[doc][item_id] = min(distance, out[doc].get(item_id, distance))

@@ -237,6 +237,32 @@ def test_leaks_with_edits(spark):
     assert decontaminate.find_leaks(table, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_leaks_after_a_chance_hit_at_the_start(spark):
+    """Hits of several alignments whose windows all begin at the document's first word."""
+    item = [f"item{i}" for i in range(30)]
+    texts = [item[17:21] + item, item[25:30] + item, item[4:8] + ["x"] + item[:12] + ["y"] + item[13:], item[17:21] + item[:20]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["distance"]) for r in decontaminate.find_leaks(table, bench).collect()}
+    assert got == {0: ([1], 0), 1: ([1], 0), 2: ([1], 1), 3: ([], None)}
+
+
+def test_leaks_like_exhaustive_distance():
+    rng = np.random.default_rng(8)
+    seen = 0
+    for _ in range(200):
+        item = [f"w{x}" for x in rng.integers(0, 25, rng.integers(5, 40))]
+        edited = [w if rng.random() > 0.1 else "z" for w in item]
+        low = int(rng.integers(0, len(item)))
+        text = item[low : low + int(rng.integers(0, 9))] + edited + item[: int(rng.integers(0, 9))]
+        words, wanted = decontaminate.word_hashes(" ".join(text)), decontaminate.word_hashes(" ".join(item))
+        distance = decontaminate.infix_distance(wanted.tolist(), words.tolist())
+        got = decontaminate.Pieces([(1, " ".join(item))], 5).matches(words, np.array([0, len(words)]))
+        assert got == [{1: distance} if distance <= len(item) // 5 else {}]
+        seen += distance <= len(item) // 5
+    assert 50 < seen < 200
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
