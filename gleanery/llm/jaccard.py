@@ -208,8 +208,8 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
     found = queries.join(groups, "token").filter(may).groupBy("query", "grp").agg(
         F.count("*").alias("c"), (F.max("i") + 1).alias("upto"), (F.max("j") + 1).alias("upto_g"),
         F.first("q_n").alias("n"), F.first("alone").alias("alone"), F.min("low").alias("low"))
-    out_q = F.greatest(F.lit(0), F.col("upto") - F.col("c"))
-    out_g = F.when(F.col("alone"), F.greatest(F.lit(0), F.col("upto_g") - F.col("c"))).otherwise(0)
+    # of several members, a token may lie in one behind its own leading tokens: only may_link counts, by member
+    out_q, out_g = (F.when(F.col("alone"), F.greatest(F.lit(0), F.col(upto) - F.col("c"))).otherwise(0) for upto in ("upto", "upto_g"))
     overlap = F.least(F.col("n") - out_q, F.when(F.col("alone"), F.col("low") - out_g).otherwise(F.col("n")))
     likely = found.withColumns({"out_q": out_q, "out_g": out_g}).filter(
         _fits(overlap, F.col("n"), F.greatest("low", F.floor((F.col("n") * percent + 99) / 100)), percent)
@@ -228,8 +228,7 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         n, shorter = F.col("n"), F.col("q_last") <= m["last"]
         more_q = F.when(shorter, F.size(F.array_except("q_short", m["short"]))).otherwise(0)
         more_g = F.when(~shorter, F.size(F.array_except(m["short"], F.col("q_short")))).otherwise(0)
-        out_m = F.when(F.col("alone"), F.col("out_g")).otherwise(0)
-        outside = F.greatest("out_q", more_q) + F.greatest(out_m, more_g)
+        outside = F.greatest("out_q", more_q) + F.greatest("out_g", more_g)
         return (
             (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n) & _fits((n + m["n"] - outside) / 2, n, m["n"], percent)
             & _fits(F.least(n - more_q, m["n"] - more_g), n, m["n"], percent)

@@ -381,6 +381,32 @@ def test_jaccard_like_brute_force(spark, documents, monkeypatch):
         assert got == _components(rows, k, percent)
 
 
+def test_jaccard_bounds_hold_in_groups_of_mixed_sizes(spark):
+    """Every linked pair of different components is opened, whatever the components are."""
+    percent, rng, sets, parts = 85, np.random.default_rng(6), {}, {}
+    for family in range(60):
+        pool = rng.permutation(2_000)[:400]
+        for member in range(6):
+            i = 10 * family + member
+            sets[i] = set((pool[: rng.integers(85, 120)] if member else pool[:100]).tolist())
+            sets[i] = {x for x in sets[i] if rng.random() > 0.02} | set(pool[rng.integers(120, 400, rng.integers(0, 9))].tolist())
+            parts[i] = 10 * family + (0, 1, 1, 1, 4, 4)[member]
+    # the query has s0 to s15 first; y has 13 of its own before s0 to s3; z, in one group with y, has s12 among its first
+    shared, own = [5_000 + x for x in range(97)], [9_000 + x for x in range(100)]
+    sets |= {1_000: {*shared, *own[:3]}, 1_001: {*range(3_000, 3_013), *shared}, 1_002: {*range(4_000, 4_012), shared[12], *own[20:92]}}
+    parts |= {1_000: 1_000, 1_001: 1_001, 1_002: 1_001}
+    sizes = collections.Counter(parts.values())
+    rows = [
+        (i, parts[i], sizes[parts[i]], (parts[i], 0), len(x), [256 * t for t in sorted(x)[: jaccard._leading(np.array(len(x)), percent)]])
+        for i, x in sets.items()
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, part long, part_size long, grp struct<part: long, chunk: long>, n long, leading array<long>")
+    got = {(min(r), max(r)) for r in jaccard._qualifying(table, percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and parts[a] != parts[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert (1_000, 1_001) in want and len(want) > 100
+    assert want - got == set()
+
+
 # 10 quality
 
 def test_quality_keeps_clean_documents(spark):
