@@ -187,6 +187,41 @@ def test_aliases_of_blocked_pages(spark):
     assert url_filter.filter_urls(pages.limit(0), RULES).count() == 0
 
 
+def test_aliases_by_another_spelling(spark):
+    """Both ends of an alias edge have one name: empty path, entities, encoded letters, ports and dot segments."""
+    link = '<link rel="canonical" href="{}">'
+    plain = ["http://one.org", "http://two.org/p?a=1&b=2", "http://three.org/ä b", "http://four.org:80/x", "https://five.org/a/../b", "http://six.org/%c3%a4"]
+    spelled = ["http://one.org/", "http://two.org/p?a=1&amp;b=2", "/%C3%A4%20b", "http://four.org/x", "https://five.org:443/./b", "//six.org/&#228;"]
+    rows = [(i, url, None) for i, url in enumerate(plain)]
+    # each plain page is a link target of a page that also redirects to a blocked host
+    rows += [(100 + i, plain[i].split("/", 3)[0] + "//" + plain[i].split("/")[2] + f"/from{i}", link.format(t)) for i, t in enumerate(spelled)]
+    rows += [(200, "http://seven.org/y", link.format("http://seven.org/z")), (201, "http://seven.org/z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame(
+        [(r[1], "http://net:80") for r in rows if 100 <= r[0] < 200] + [("http://eight.org:80", "http://net/é")], "from_url string, to_url string")
+    pages = pages.union(spark.createDataFrame([(300, "http://eight.org/", None)], pages.schema))
+    got = {r["page_id"]: (r["verdict"], r["via_alias"]) for r in url_filter.filter_urls(pages, RULES, redirects).collect()}
+    assert got == {r[0]: ("block", True) if r[0] < 200 else ("allow", False) for r in rows} | {300: ("block", True)}
+    raw = {r["page_id"]: (r["host"], r["path"]) for r in url_filter.filter_urls(pages, RULES).collect()}
+    assert (raw[0], raw[2], raw[3]) == (("one.org", ""), ("three.org", "/ä b"), ("four.org:80", "/x"))
+
+
+def test_aliases_of_pages_blocked_as_they_stand(spark):
+    pages = spark.createDataFrame([
+        (1, "http://a.org/ü/1", None), (2, "http://b.org/2", '<link rel=canonical href="http://a.org/&uuml;/1">'),
+        (3, "http://a.org/ü/../3", None), (4, "http://b.org/4", '<link rel=canonical href="http://a.org/3">'),
+        (5, "http://b.org/5", '<link rel=canonical href="http://a.org/%c3%bc/5">')], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["via_alias"]) for r in url_filter.filter_urls(pages, [("block", "a.org/ü/")]).collect()}
+    assert got == {1: ("block", False), 2: ("block", True), 3: ("block", False), 4: ("block", True), 5: ("block", True)}
+
+
+def test_references_of_attributes(spark):
+    texts = ["?a=1&amp;b&copy=2&copy;&lt&#228;&#xE4;x", "&#0;&#x110000;&#150;&#x1F600;&#99999999999;", "&unknown;&&#;&", "a", "&#38", "", None, "&notit;"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [r["x"] for r in table.orderBy("i").select(url_filter.decoded(F.col("t")).alias("x")).collect()]
+    assert got == ["?a=1&b&copy=2©<ääx", "\ufffd\ufffd–😀\ufffd", "&unknown;&&#;&", "a", "&", "", None, "&notit;"]
+
+
 def test_components_like_union_find(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (7, 7)]
