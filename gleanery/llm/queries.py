@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, jaccard, language, line_dedup, mixing, quality, substring, token_count, token_files, url_filter
+from gleanery.llm import (
+    conversation, decontaminate, jaccard, language, line_dedup, merkle, mixing, quality, substring, token_count, token_files, topk, url_filter,
+)
 from gleanery.llm.oracles import RULES
 from gleanery.session import materialize, scratch_path
 
@@ -84,14 +86,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after planted damage."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation.repaired_conversations(rows, conversation.damage(rows))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and a verified proof of every document; half of them are tampered with."""
+    documents = _table(spark, sf_dir, "documents")
+
+    def leaf(text: Column) -> Column:
+        return merkle.digest(*(merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)))
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    claim = F.when(tampered, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    # the texts are read once: everything after works on digests
+    leaves = materialize(documents.select("source", "doc_id", leaf(F.col("text")).alias("leaf"), claim.alias("claim")), "digests")
+    found = merkle.certify(leaves)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows with the largest inner product for every hundredth vector."""
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_language_id, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_decontamination, op6_token_counts, op7_mixing, op8_token_files,
-        op9_jaccard_join, op10_quality_rules,
+        op9_jaccard_join, op10_quality_rules, op11_conversation_repair, op12_merkle_manifest, op13_exact_top_k,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    from gleanery.llm import oracles
+    from gleanery.llm import oracles, oracles_trees
 
-    return dict(oracles.SQL)
+    return oracles.SQL | oracles_trees.SQL
