@@ -22,7 +22,7 @@ def _(view):
     return _state(P.read_pages(spark, path))
 
 
-@query("unindexed_batch", f"SELECT {_STATE} FROM v_crawled WHERE NOT indexed ORDER BY id LIMIT 500")
+@query("unindexed_batch", f"SELECT {_STATE} FROM v_crawled WHERE NOT indexed ORDER BY id")
 def _(view):
     return _state(P.unindexed_batch(view("v_crawled")))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.catalog.registry import query
 from gleanery.functions.text import tokenize
-from gleanery.operators import bm25, fusion, index, rerank, snippet, vector
+from gleanery.operators import block_max, bm25, clauses, fusion, index, rerank, snippet, vector
 from gleanery.plans import indexing, search
 from gleanery.sources.pages import one_row
 
@@ -88,6 +88,7 @@ def _(view):
 @query("write_read_index", f"""
 WITH {index_ctes()}
 SELECT 'postings' AS part, count(*) AS n, cast(sum(tf) AS bigint) AS total FROM post
+UNION ALL SELECT 'positions', cast(sum(len(tl)) AS bigint), cast(sum(len(tl) * (len(tl) - 1) / 2) AS bigint) FROM toks
 UNION ALL SELECT 'doc_lengths', count(*), cast(sum(l) AS bigint) FROM lens
 UNION ALL SELECT 'term_stats', count(*), cast(sum(df) AS bigint) FROM tstat
 UNION ALL SELECT 'docs', count(*), cast(sum(length(content)) AS bigint) FROM v_corpus""")
@@ -96,13 +97,14 @@ def _(view):
     from gleanery.sources.index_store import write_index
 
     built = _index(view)
-    stored = write_index(built, scratch_path(built.docs.sparkSession, "index"), with_positions=False)
+    stored = write_index(built, scratch_path(built.docs.sparkSession, "index"))
 
     def part(df, name, value):
         return df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum(value).cast("long").alias("total"))
 
     return (
-        part(stored.postings, "postings", "tf").unionByName(part(stored.doc_lengths, "doc_lengths", "len"))
+        part(stored.postings, "postings", "tf").unionByName(part(stored.positions, "positions", "pos"))
+        .unionByName(part(stored.doc_lengths, "doc_lengths", "len"))
         .unionByName(part(stored.term_stats, "term_stats", "df"))
         .unionByName(part(stored.docs, "docs", F.length("content")))
     )
@@ -165,6 +167,89 @@ def _(view):
     return _shown(bm25.bm25_search_filtered(_index(view), queries, k=20))
 
 
+# Clauses of every benchmark text: its words; three phrases, one of them required for even ids; a word that may not
+# stand in the title, and one required anywhere.
+_CLAUSES = f"""
+w AS (SELECT query_id, {_TOK.format('q')} AS tl FROM v_queries),
+cl AS (
+  SELECT query_id, [unnest(tl)] AS words, NULL AS scope, 'should' AS occur, 1e0 AS own FROM w
+  UNION ALL SELECT query_id, tl[1:2], NULL, 'should', 2e0 FROM w
+  UNION ALL SELECT query_id, tl[3:5], 'content', 'should', 1.5e0 FROM w
+  UNION ALL SELECT query_id, tl[4:5], 'content', CASE WHEN query_id % 2 = 0 THEN 'must' ELSE 'should' END, 1e0 FROM w
+  UNION ALL SELECT query_id, tl[2:2], NULL, 'must', 1e0 FROM w
+  UNION ALL SELECT query_id, tl[len(tl):len(tl)], 'title', 'must_not', 1e0 FROM w),
+clauses AS (SELECT query_id, words, scope, occur, sum(own) AS own FROM cl WHERE len(words) > 0 GROUP BY ALL),
+lit AS (SELECT DISTINCT words FROM clauses),
+places AS (SELECT field, doc_id, l, unnest(tl) AS t1, unnest(list_concat(tl[2:], [''])) AS t2, unnest(list_concat(tl[3:], ['', ''])) AS t3
+           FROM toks JOIN lens USING (field, doc_id)),
+occurs AS (
+  SELECT words, field, doc_id, l, count(*) AS tf FROM lit JOIN places ON t1 = words[1]
+  WHERE (len(words) < 2 OR t2 = words[2]) AND (len(words) < 3 OR t3 = words[3]) GROUP BY ALL),
+single AS (SELECT words, field, ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) AS idf
+           FROM (SELECT words, unnest(words) AS term FROM lit) JOIN tstat USING (term) JOIN fstat USING (field)),
+summed AS (SELECT words, field, sum(idf) AS idf FROM single GROUP BY ALL),
+counted AS (SELECT words, field, ln(1 + (n_docs - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf
+            FROM occurs JOIN fstat USING (field) WHERE tf > 0 GROUP BY words, field, n_docs)"""
+
+
+def _clause_sql(rarity: str) -> str:
+    return f"""
+WITH {index_ctes()}, {_CLAUSES},
+parts AS (
+  SELECT query_id, doc_id, occur, words, scope, sum(own * CASE field WHEN 'title' THEN 2.5e0 WHEN 'description' THEN 1.5e0 ELSE 1e0 END
+         * idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / avg_len))) AS part
+  FROM occurs JOIN {rarity} USING (words, field) JOIN fstat USING (field) JOIN clauses USING (words)
+  WHERE tf > 0 AND (scope IS NULL OR scope = field) GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, round(sum(part) FILTER (WHERE occur <> 'must_not'), 12) AS score,
+                  count(*) FILTER (WHERE occur = 'must') AS got, count(*) FILTER (WHERE occur = 'must_not') AS bad FROM parts GROUP BY ALL),
+ok AS (SELECT query_id, doc_id, score FROM scored JOIN
+       (SELECT query_id, count(*) FILTER (WHERE occur = 'must') AS needed FROM clauses GROUP BY ALL) USING (query_id)
+       WHERE bad = 0 AND got = needed AND score IS NOT NULL),
+{_ranked('ok', 'r', 20)}
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r"""
+
+
+def _benchmark_clauses(view):
+    tl = tokenize(F.col("q"))
+
+    def clause(first, count, field, occur, boost):
+        words = F.slice(tl, first, count) if first > 0 else F.slice(tl, -1, 1)
+        return F.struct(F.array_join(words, " ").alias("text"), F.lit(field).cast("string").alias("field"),
+                        (occur if not isinstance(occur, str) else F.lit(occur)).alias("occur"), F.lit(boost).alias("boost"))
+
+    even = F.when(F.col("query_id") % 2 == 0, "must").otherwise("should")
+    rows = view("v_queries").where(F.size(tl) > 0).select("query_id", F.explode(F.array(
+        clause(1, 2, None, "should", 2.0), clause(3, 3, "content", "should", 1.5), clause(4, 2, "content", even, 1.0),
+        clause(2, 1, None, "must", 1.0), clause(0, 1, "title", "must_not", 1.0))).alias("c")).select("query_id", "c.*")
+    return rows.unionByName(clauses.word_clauses(view("v_queries")), allowMissingColumns=True)
+
+
+@query("bm25_clauses", _clause_sql("summed"))
+def _(view):
+    """Optional, required and excluded words and phrases, in all fields or one."""
+    return _shown(clauses.bm25_clauses(_index(view), _benchmark_clauses(view), k=20))
+
+
+@query("bm25_clauses_phrase_rarity", _clause_sql("(SELECT * FROM counted WHERE len(words) > 1 UNION ALL SELECT * FROM summed WHERE len(words) = 1)"))
+def _(view):
+    """The same with phrases rated by the documents that hold them."""
+    return _shown(clauses.bm25_clauses(_index(view), _benchmark_clauses(view), k=20, rarity="phrase"))
+
+
+@query("bm25_search_blocks", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
+def _(view):
+    """Top documents from a stored index of posting blocks that are opened only if they can hold one."""
+    from gleanery.session import scratch_path
+    from gleanery.sources.index_store import write_index
+
+    built = _index(view)
+    path = scratch_path(built.docs.sparkSession, "index")
+    stored = write_index(built, path, with_positions=False)
+    blocks = block_max.write_blocks(stored, f"{path}/blocks")
+    return _shown(block_max.bm25_search_blocks(stored, blocks, view("v_queries"), k=10))
+
+
 @query("phrase_matches", f"""
 WITH {index_ctes()}, w AS (SELECT doc_id AS query_id, {_TOK.format('title')} AS tl FROM v_corpus
                            UNION ALL SELECT -1 - query_id, {_TOK.format('q')} FROM v_queries),
@@ -367,7 +452,7 @@ SELECT qt.query_id, qt.term, round(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)),
 FROM qt JOIN tstat s ON s.term = qt.term AND s.field = 'content' JOIN fstat f ON f.field = 'content'""")
 def _(view):
     built = _index(view)
-    terms = snippet.query_snippet_terms(view("v_queries"), built.term_stats, built.field_stats)
+    terms = snippet.query_snippet_terms(view("v_queries"), built)
     return terms.select("query_id", F.explode("terms").alias("t")).select(
         "query_id", "t.term", F.round("t.weight", 6).alias("weight"))
 

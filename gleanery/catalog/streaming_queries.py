@@ -3,13 +3,13 @@
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gleanery import schemas
 from gleanery.catalog import fixtures
 from gleanery.catalog.registry import ORACLES, QUERIES
 from gleanery.catalog.retrieval_queries import _BM25, _ranked
 from gleanery.operators.bm25 import bm25_search
+from gleanery.plans.index_log import open_log
 from gleanery.session import scratch_path
-from gleanery.sources.index_store import read_index
+from gleanery.sources.page_log import newest_pages, read_log
 from gleanery.streaming import streams
 
 
@@ -82,28 +82,41 @@ def stream_politeness(spark, sf_dir):
     return out.select("event_id", F.round("wait_seconds", 6).alias("wait_seconds"))
 
 
-@stream_query("stream_ingest", """
-SELECT url, title, md5(content) AS digest FROM v_page_batch QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1""")
+def _arrivals(spark: SparkSession, df, arrival: str, parts: int) -> str:
+    """Rows written as files that arrive one after the other, by the number that ``arrival`` gives."""
+    path = scratch_path(spark, "arrivals")
+    for i in range(parts):
+        # a stream takes files by their time of change
+        df.where(f"({arrival}) = {i}").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_ARRIVAL = "CASE WHEN seq >= 10000000 THEN 2 WHEN floor(seq / 2) % 2 = 0 THEN 0 ELSE seq % 2 END"
+
+
+@stream_query("stream_ingest", f"""
+WITH a AS (SELECT *, {_ARRIVAL} AS arrival FROM v_page_batch)
+SELECT url, title, md5(content) AS digest FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival DESC, seq) = 1""")
 def stream_ingest(spark, sf_dir):
-    """All changes in one arrival, so that the first of each URL is the first overall."""
-    path, schema = _as_files(spark, sf_dir, "v_page_batch", 1)
-    root = scratch_path(spark, "ingest")
-    arrivals = streams.read_stream(spark, path, schema)
-    table = schemas.PAGE
-    streams.stream_ingest(
-        arrivals.withColumn("crawled_at", F.col("crawled_at").cast("timestamp_ntz")), f"{root}/table",
-        f"{root}/checkpoint", table, available_now=True).awaitTermination()
-    latest = streams.Snapshots(spark, f"{root}/table").latest()
-    pages = spark.read.schema(table).parquet(latest)
+    """Three arrivals with repeated URLs: the last arrival with a URL counts, and in it the first row."""
+    changes = fixtures.view(spark, sf_dir, "v_page_batch")
+    changes = changes.withColumn("crawled_at", F.col("crawled_at").cast("timestamp_ntz"))
+    path, root = _arrivals(spark, changes, _ARRIVAL, 3), scratch_path(spark, "ingest")
+    arrivals = streams.read_stream(spark, path, changes.schema, files_per_trigger=1)
+    streams.stream_ingest(arrivals, f"{root}/log", f"{root}/checkpoint", available_now=True).awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.schema if f.name != "seq")
+    pages = newest_pages(read_log(spark, f"{root}/log", schema))
     return pages.select("url", "title", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@stream_query("stream_index", f"WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, score FROM r")
+@stream_query("stream_index", f"WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def stream_index(spark, sf_dir):
-    """Documents arrive in two micro-batches; searching the stored index equals the batch result."""
-    path, schema = _as_files(spark, sf_dir, "v_corpus", 2)
-    root = scratch_path(spark, "index-stream")
-    arrivals = streams.read_stream(spark, path, schema, files_per_trigger=1)
-    streams.stream_index(arrivals, f"{root}/index", f"{root}/checkpoint").awaitTermination()
-    stored = read_index(spark, streams.Snapshots(spark, f"{root}/index").latest())
-    return bm25_search(stored, fixtures.view(spark, sf_dir, "v_queries"), k=10)
+    """Documents arrive in three micro-batches, the first two with some that later ones replace."""
+    corpus = fixtures.view(spark, sf_dir, "v_corpus")
+    stale = corpus.where("doc_id % 3 = 1").withColumn("content", F.concat(F.lit("stale "), "content")).withColumn("at", F.lit(0))
+    arrivals = corpus.withColumn("at", F.col("doc_id") % 3).unionByName(stale)
+    path, root = _arrivals(spark, arrivals, "at", 3), scratch_path(spark, "index-stream")
+    read = streams.read_stream(spark, path, corpus.schema, files_per_trigger=1)
+    streams.stream_index(read, f"{root}/index", f"{root}/checkpoint").awaitTermination()
+    hits = bm25_search(open_log(spark, f"{root}/index"), fixtures.view(spark, sf_dir, "v_queries"), k=10)
+    return hits.withColumn("score", F.round("score", 6))

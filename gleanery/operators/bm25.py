@@ -40,6 +40,24 @@ def _join_keys(left: DataFrame, right: DataFrame) -> list[str]:
     return keys
 
 
+def read_terms(table: DataFrame, terms: DataFrame, index: Index, name: str) -> DataFrame:
+    """The rows of a table of terms that hold one of ``terms``, read from their buckets only.
+
+    The terms are written out first: a search has few, and a stored table gives the planner its true size.
+    """
+    wanted, keys = index.by_term(terms)
+    # the comparison keeps all rows and marks this side as a filter for partition pruning
+    return table.join(materialize(wanted, name).where(F.length("term") > 0), keys)
+
+
+def term_statistics(index: Index, terms: DataFrame, name: str = "terms") -> DataFrame:
+    """The rows of ``term_stats`` of some terms; differences are added up for these terms only."""
+    if index.term_deltas is None:
+        return read_terms(index.term_stats, terms, index, name)
+    found = read_terms(index.term_deltas, terms, index, name)
+    return found.groupBy(*[c for c in found.columns if c != "df"]).agg(F.sum("df").alias("df")).where("df > 0")
+
+
 def term_weights(index: Index, terms: DataFrame, boosts: Mapping[str, float] = BOOSTS) -> DataFrame:
     """Weight of every (query, field, term) that occurs in the corpus.
 
@@ -50,7 +68,7 @@ def term_weights(index: Index, terms: DataFrame, boosts: Mapping[str, float] = B
     # field_stats has one row per field, three at most
     stats = index.field_stats.where(F.col("field").isin(*boosts))
     weighted = (
-        index.term_stats.join(terms, "term").join(F.broadcast(stats), "field")
+        term_statistics(index, terms).join(F.broadcast(stats), "field")
         .withColumn("weight", boost[F.col("field")] * F.col("qtf") * idf(F.col("n_docs"), F.col("df")))
     )
     keep = [c for c in ("term_bucket",) if c in weighted.columns]
@@ -91,10 +109,8 @@ def bm25_search(index: Index, queries: DataFrame, k: int = 10, offset: int = 0,
 
 def match_counts(index: Index, queries: DataFrame) -> DataFrame:
     """Documents matching each query, zero included."""
-    terms = query_terms(queries)
-    wanted = materialize(terms, "terms")
     counts = (
-        index.postings.join(wanted, "term").select("query_id", "doc_id").distinct()
+        read_terms(index.postings, query_terms(queries), index, "terms").select("query_id", "doc_id").distinct()
         .groupBy("query_id").agg(F.count("*").alias("total_hits"))
     )
     return queries.select("query_id").join(counts, "query_id", "left").na.fill(0, ["total_hits"])
@@ -107,9 +123,8 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     a vote from every word is a match. Each start collects at most one row per word.
     """
     words = phrases.select("query_id", tokenize(F.col("phrase")).alias("words")).where(F.size("words") > 0)
-    parts = materialize(
-        words.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "term")), "phrases")
-    votes = index.positions.join(parts, "term").withColumn("start", F.col("pos") - F.col("i"))
+    parts = words.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
+    votes = read_terms(index.positions, parts, index, "phrases").withColumn("start", F.col("pos") - F.col("i"))
     return (
         votes.groupBy("query_id", "doc_id", "field", "start", "n").agg(F.count("*").alias("hits"))
         .where(F.col("hits") == F.col("n")).select("query_id", "doc_id").distinct()

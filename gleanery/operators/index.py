@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokenize
 from gleanery.session import materialize
 
 FIELDS = ("title", "description", "content")
-TERM_BUCKETS = 32
 
 
 @dataclass(frozen=True)
@@ -24,9 +23,30 @@ class Index:
     doc_lengths: DataFrame   # field, doc_id, len
     field_stats: DataFrame   # field, n_docs, avg_len
     term_stats: DataFrame    # field, term, df
+    #: hash buckets of the terms and of the documents, if the tables are laid out by them
+    term_buckets: int | None = None
+    doc_buckets: int | None = None
+    #: rows of ``term_stats`` still to be added up, where the index grows by batches
+    term_deltas: DataFrame | None = None
 
+    def by_term(self, terms: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``terms`` and the keys to join them with a table of terms, so that a stored table is read by bucket."""
+        if self.term_buckets is None:
+            return terms, ["term"]
+        return terms.withColumn("term_bucket", hash_bucket(F.col("term"), self.term_buckets)), ["term_bucket", "term"]
 
-def _fields(docs: DataFrame) -> DataFrame:
+    def by_doc(self, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The same for ``docs`` and the stored documents."""
+        if self.doc_buckets is None:
+            return docs, ["doc_id"]
+        return docs.withColumn("doc_bucket", hash_bucket(F.col("doc_id"), self.doc_buckets)), ["doc_bucket", "doc_id"]
+
+
+def hash_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def field_tokens(docs: DataFrame) -> DataFrame:
     """One row per document and field; ``tokens`` is null where the field is."""
     return docs.select(
         "doc_id",
@@ -58,10 +78,10 @@ def build_index(pages: DataFrame, stage: bool = False) -> Index:
     """
     docs = pages.select("doc_id", "url", *FIELDS)
     if stage:
-        fields = materialize(_fields(docs.repartition("doc_id")), "tokens")
+        fields = materialize(field_tokens(docs.repartition("doc_id")), "tokens")
         hashed = fields.repartition("doc_id")
     else:
-        fields = hashed = _fields(docs.repartition("doc_id"))
+        fields = hashed = field_tokens(docs.repartition("doc_id"))
     present = fields.where(F.col("tokens").isNotNull())
     postings = (
         hashed.where(F.col("tokens").isNotNull())

@@ -1,64 +1,87 @@
 """Index tables on disk.
 
-Postings and positions are laid out by term: a hash bucket of the term is the partition
-column and rows are sorted by term inside a file, so that row-group statistics prune by term.
-A search joins on the bucket too, and dynamic partition pruning skips the other buckets. The
-write is rebalanced: buckets heavy with one very frequent term are split over several tasks.
+Postings, positions and term statistics are laid out by term: a hash bucket of the term is the partition
+column and rows are sorted by term inside a file, so that row-group statistics prune by term. Documents are laid out
+by a bucket of their id in the same way. The number of buckets follows the size of the text and is stored; searches put
+the bucket on their side of each join, and dynamic partition pruning skips the other buckets. Writes are rebalanced:
+buckets heavy with one very frequent term are split over several tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators.index import TERM_BUCKETS, Index, term_stats
+from gleanery.operators.index import Index, hash_bucket, term_stats
 
-_TABLES = ("docs", "postings", "positions", "doc_lengths", "field_stats", "term_stats")
 _SCHEMAS = {
-    "docs": "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING",
+    "docs": "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING, doc_bucket INT",
     "postings": "field STRING, term STRING, doc_id BIGINT, tf INT, doc_len INT, term_bucket INT",
     "positions": "field STRING, term STRING, doc_id BIGINT, pos INT, term_bucket INT",
     "doc_lengths": "field STRING, doc_id BIGINT, len INT",
     "field_stats": "field STRING, n_docs BIGINT, avg_len DOUBLE",
     "term_stats": "field STRING, term STRING, df BIGINT, term_bucket INT",
 }
-_BY_TERM = ("postings", "positions", "term_stats")
+_LAYOUT = "term_buckets INT, doc_buckets INT"
+#: Words in a bucket of terms, documents in a bucket of documents, and the least number of buckets.
+TOKENS_PER_BUCKET, DOCS_PER_BUCKET, LEAST_BUCKETS = 1 << 25, 1 << 17, 8
 
 
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _power_of_two(n: float) -> int:
+    return max(LEAST_BUCKETS, 1 << max(0, int(n) - 1).bit_length())
 
 
-def write_by_term(df: DataFrame, path: str, buckets: int = TERM_BUCKETS, mode: str = "overwrite") -> None:
-    keys = ["term_bucket", "term", *[c for c in ("doc_id", "pos") if c in df.columns]]
+def buckets_for(field_stats: DataFrame) -> tuple[int, int]:
+    """Numbers of term and document buckets that keep a bucket at a few hundred MB; from one row per field."""
+    size = field_stats.agg(F.sum(F.col("n_docs") * F.col("avg_len")), F.max("n_docs")).first()
+    return _power_of_two((size[0] or 0) / TOKENS_PER_BUCKET), _power_of_two((size[1] or 0) / DOCS_PER_BUCKET)
+
+
+def write_by_term(df: DataFrame, path: str, buckets: int, mode: str = "overwrite") -> None:
+    keys = ["term_bucket", "term", *[c for c in ("doc_block", "doc_id", "pos") if c in df.columns]]
     (
-        df.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        df.withColumn("term_bucket", hash_bucket(F.col("term"), buckets))
         .hint("rebalance", "term_bucket").sortWithinPartitions(*keys)
         .write.mode(mode).partitionBy("term_bucket").parquet(path)
     )
 
 
-def write_index(index: Index, path: str, with_positions: bool = True, buckets: int = TERM_BUCKETS) -> Index:
-    """Write every table once; statistics are computed from the written postings, not from the text."""
+def write_by_doc(docs: DataFrame, path: str, buckets: int) -> None:
+    (
+        docs.withColumn("doc_bucket", hash_bucket(F.col("doc_id"), buckets))
+        .hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "doc_id")
+        .write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+    )
+
+
+def write_index(index: Index, path: str, with_positions: bool = True, buckets: int | None = None) -> Index:
+    """Write every table once; statistics are computed from the written postings, not from the text.
+
+    ``buckets`` (of terms) is chosen by the size of the text unless given.
+    """
     spark = index.docs.sparkSession
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
+    by_size, doc_buckets = buckets_for(spark.read.schema(_SCHEMAS["field_stats"]).parquet(f"{path}/field_stats"))
+    buckets = buckets or by_size
+    write_by_doc(index.docs.select("doc_id", "url", "title", "description", "content"), f"{path}/docs", doc_buckets)
     write_by_term(index.postings.select("field", "term", "doc_id", "tf", "doc_len"), f"{path}/postings", buckets)
     if with_positions:
         write_by_term(index.positions.select("field", "term", "doc_id", "pos"), f"{path}/positions", buckets)
     index.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
     stored = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
     write_by_term(term_stats(stored), f"{path}/term_stats", buckets)
-    index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
+    spark.createDataFrame([(buckets, doc_buckets)], _LAYOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Reopen a stored index. Files are read when a query needs them."""
-    frames = {name: spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}") for name in _TABLES
+    """Reopen a stored index. Files are read when a query needs them; only its one-row layout is read at once."""
+    frames = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _SCHEMAS.items()
               if name != "positions"}
     try:
         frames["positions"] = spark.read.schema(_SCHEMAS["positions"]).parquet(f"{path}/positions")
     except AnalysisException:  # an index written without positions answers everything but phrases
         frames["positions"] = spark.createDataFrame([], _SCHEMAS["positions"])
-    return Index(**frames)
+    layout = spark.read.schema(_LAYOUT).parquet(f"{path}/layout").first()
+    return Index(**frames, term_buckets=layout[0], doc_buckets=layout[1])

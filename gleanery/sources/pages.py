@@ -30,9 +30,23 @@ def unindexed_batch(pages: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def first_per_key(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the first in ``order``. An aggregate, so copies combine before the shuffle."""
-    rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
+    """One row per key: the first in ``order`` (null last), of equal ones that with the least digest.
+
+    The winner is found on keys, order and digest alone, by aggregates that combine before the shuffle; texts move
+    once, to meet it.
+    """
+    keys = list(keys)
+    rows = batch.withColumn("__h", F.xxhash64(*batch.columns))
+    narrow = rows.groupBy(*keys, order).agg(F.min("__h").alias("__h"))
+    best = narrow.groupBy(*keys).agg(
+        F.min(order).alias("__o"), F.coalesce(F.min_by("__h", order), F.min("__h")).alias("__w"))
+    on = (F.col("__h") == F.col("__w")) & F.col(order).eqNullSafe(F.col("__o"))
+    for k in keys:
+        best = best.withColumnRenamed(k, f"__k_{k}")
+        on &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    found = rows.join(best, on, "left_semi").drop("__h")
+    # rows that agree in every column are one; they stand side by side, so this adds no second copy of the text
+    return found.dropDuplicates(keys).select(*keys, *[c for c in batch.columns if c not in keys])
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,11 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.crawl_log import error_rate_windows
-from gleanery.operators.index import Index
-from gleanery.plans.indexing import update_index
-from gleanery.session import materialize
-from gleanery.sources.index_store import read_index, write_index
-from gleanery.sources.pages import upsert_pages
+from gleanery.plans.index_log import append_batch
+from gleanery.sources.page_log import append_pages
 
 # Write cadence of the page stream and lifetimes of cached answers, in seconds.
 FLUSH_SECONDS = 5
@@ -35,72 +32,20 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-class Snapshots:
-    """Numbered states of a table below one folder. A state is visible once it is complete.
-
-    The number is the batch id, so a batch that runs again after a failure rewrites its own state.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v{version:012d}"
-
-    def latest(self, before: int | None = None) -> str | None:
-        if not self._fs.exists(self._path(self.root)):
-            return None
-        found = []
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            done = self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")) or self._fs.exists(
-                self._path(f"{self.root}/{name}/DONE"))
-            if done and (before is None or name < f"v{before:012d}"):
-                found.append(name)
-        return f"{self.root}/{max(found)}" if found else None
-
-    def mark_done(self, version: int) -> None:
-        self._fs.create(self._path(f"{self.path(version)}/DONE"), True).close()
-
-
-def stream_ingest(pages: DataFrame, root: str, checkpoint: str, schema, order: str = "seq",
-                  upsert: Callable[[DataFrame, DataFrame, str], DataFrame] = upsert_pages,
-                  available_now: bool = False) -> StreamingQuery:
-    """Upsert every micro-batch of pages into the snapshot table below ``root``."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        states = Snapshots(batch.sparkSession, root)
-        before = states.latest(before=batch_id)
-        old = batch.sparkSession.read.schema(schema).parquet(before) if before else \
-            batch.sparkSession.createDataFrame([], schema)
-        upsert(old, batch, order).write.mode("overwrite").parquet(states.path(batch_id))
-
-    writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{FLUSH_SECONDS} seconds"}
     return writer.trigger(**trigger).start()
 
 
+def stream_ingest(pages: DataFrame, root: str, checkpoint: str, order: str = "seq", available_now: bool = False) -> StreamingQuery:
+    """Append every micro-batch of pages to the page log below ``root``; see ``page_log.newest_pages``."""
+    return _start(pages, lambda batch, batch_id: append_pages(batch, root, batch_id, order), checkpoint, available_now)
+
+
 def stream_index(pages: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Fold every micro-batch of documents (doc_id, url, title, description, content) into a stored index."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        states = Snapshots(batch.sparkSession, root)
-        before = states.latest(before=batch_id)
-        fresh = materialize(batch, "batch")
-        if before:
-            updated: Index = update_index(read_index(batch.sparkSession, before), fresh)
-        else:
-            from gleanery.operators.index import build_index
-
-            updated = build_index(fresh, stage=True)
-        write_index(updated, states.path(batch_id))
-        states.mark_done(batch_id)
-
-    writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if available_now else {"processingTime": f"{FLUSH_SECONDS} seconds"}
-    return writer.trigger(**trigger).start()
+    """Append every micro-batch of documents (doc_id, url, title, description, content) to the index log below ``root``."""
+    return _start(pages, lambda batch, batch_id: append_batch(batch, root, batch_id), checkpoint, available_now)
 
 
 def stream_new_urls(urls: DataFrame) -> DataFrame:

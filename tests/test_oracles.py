@@ -13,8 +13,6 @@ from gleanery.catalog import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.load()
-# several minutes of index writing; the same path is covered by test_streaming
-SLOW = {"stream_index"}
 # at this scale the answer itself is empty: few texts match, and every document has a vector
 MAY_BE_EMPTY = {"phrase_matches", "bm25_search_filtered", "pages_missing_embeddings"}
 
@@ -26,7 +24,7 @@ def con():
     return check_oracles.duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     status, n, _, note = check_oracles.compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
     assert status in ("ok", "NOSQL"), note

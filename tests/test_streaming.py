@@ -1,36 +1,81 @@
 """A stream over the same rows gives the batch result."""
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from gleanery.operators import bm25, index
-from gleanery.sources.index_store import read_index
+from gleanery.plans import index_log
+from gleanery.sources.page_log import newest_pages, read_log
 from gleanery.streaming import streams
 
 DOCS = "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING"
 
 
 def test_ingest_later_batches_win(spark, tmp_path):
+    """The newest row of a URL counts; a batch writes its own rows and leaves the folders of the others alone."""
     schema = "seq INT, url STRING, title STRING"
-    for i, rows in enumerate([[(1, "a", "one"), (2, "a", "two"), (3, "b", "b1")], [(4, "a", "newer"), (5, "c", "c1")]]):
+    batches = [[(1, "a", "one"), (2, "a", "two"), (3, "b", "b1")], [(4, "a", "newer"), (5, "c", "c1"), (5, "c", "c1")], [(6, "b", None)]]
+    sizes = []
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
         source = streams.read_stream(spark, str(tmp_path / "in" / "*"), schema)
-        streams.stream_ingest(source, str(tmp_path / "table"), str(tmp_path / "cp"), "url STRING, title STRING",
-                              available_now=True).awaitTermination()
-    latest = streams.Snapshots(spark, str(tmp_path / "table")).latest()
-    got = {r.url: r.title for r in spark.read.schema("url STRING, title STRING").parquet(latest).collect()}
-    assert got == {"a": "newer", "b": "b1", "c": "c1"}
+        streams.stream_ingest(source, str(tmp_path / "log"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+        sizes.append(sorted(f.name for f in (tmp_path / "log" / "batch=0").glob("part-*")))
+    assert sizes[0] == sizes[1] == sizes[2]
+    log = read_log(spark, str(tmp_path / "log"), "url STRING, title STRING")
+    assert {r.batch: r.n for r in log.groupBy("batch").agg(F.count("*").alias("n")).collect()} == {0: 2, 1: 2, 2: 1}
+    assert {r.url: r.title for r in newest_pages(log).collect()} == {"a": "newer", "b": None, "c": "c1"}
 
 
 def test_index_stream_equals_batch(spark, tmp_path):
     rows = [(1, "u1", "tea", None, "green tea leaves"), (2, "u2", "milk", "x", "cold milk"), (3, "u3", None, None, "tea with milk")]
-    for i, part in enumerate((rows[:2], rows[2:])):
+    stale = [(7, "u3", "old tea tea tea", None, "gone"), (2, "u9", "another milk", None, "")]
+    for i, part in enumerate((stale, rows[:2], rows[2:])):
         spark.createDataFrame(part, DOCS).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     source = streams.read_stream(spark, str(tmp_path / "in" / "*"), DOCS, files_per_trigger=1)
     streams.stream_index(source, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination()
-    stored = read_index(spark, streams.Snapshots(spark, str(tmp_path / "ix")).latest())
-    queries = spark.createDataFrame([(1, "tea milk")], "query_id INT, q STRING")
-    want = bm25.bm25_scores(index.build_index(spark.createDataFrame(rows, DOCS)), queries)
-    assert sorted(map(tuple, bm25.bm25_scores(stored, queries).collect())) == sorted(map(tuple, want.collect()))
+    assert_same_index(spark, index_log.open_log(spark, str(tmp_path / "ix")), rows)
+    index_log.compact(spark, str(tmp_path / "ix"), str(tmp_path / "one"))
+    assert_same_index(spark, index_log.open_log(spark, str(tmp_path / "one")), rows)
+
+
+def assert_same_index(spark, got, rows):
+    want = index.build_index(spark.createDataFrame(rows, DOCS))
+    for name, columns in (("docs", ["doc_id", "url", "content"]), ("postings", ["field", "term", "doc_id", "tf", "doc_len"]),
+                          ("positions", ["field", "term", "doc_id", "pos"]), ("doc_lengths", ["field", "doc_id", "len"]),
+                          ("field_stats", ["field", "n_docs", "avg_len"]), ("term_stats", ["field", "term", "df"])):
+        a, b = (sorted(map(tuple, getattr(i, name).select(*columns).collect())) for i in (got, want))
+        assert a == b, name
+    queries = spark.createDataFrame([(1, "tea milk"), (2, "nothing")], "query_id INT, q STRING")
+    assert sorted(map(tuple, bm25.bm25_scores(got, queries).collect())) == sorted(map(tuple, bm25.bm25_scores(want, queries).collect()))
+
+
+def test_a_batch_that_did_not_commit_is_invisible_and_runs_again(spark, tmp_path):
+    root = str(tmp_path / "ix")
+    first = [(1, "u1", "tea", None, "green tea")]
+    index_log.append_batch(spark.createDataFrame(first, DOCS), root, 0)
+    index_log.append_batch(spark.createDataFrame([(2, "u2", "milk", None, "milk")], DOCS), root, 1)
+    shutil.rmtree(tmp_path / "ix" / "commits" / "batch=1")
+    assert_same_index(spark, index_log.open_log(spark, root), first)
+    again = [(1, "u5", "tea", "new", "black tea"), (1, "u5", "tea", "new", "black tea"), (0, "u5", "x", None, "x")]
+    for _ in range(2):
+        index_log.append_batch(spark.createDataFrame(again, DOCS), root, 1)
+    assert_same_index(spark, index_log.open_log(spark, root), again[:1])
+    index_log.append_batch(spark.createDataFrame([], DOCS), root, 2)
+    assert_same_index(spark, index_log.open_log(spark, root), again[:1])
+
+
+def test_what_a_batch_writes_depends_on_the_batch(spark, tmp_path):
+    root = str(tmp_path / "ix")
+    many = [(i, f"u{i}", f"title {i}", None, f"word{i} and word{i + 1} in text {i} " * 5) for i in range(400)]
+    index_log.append_batch(spark.createDataFrame(many, DOCS), root, 0)
+    index_log.append_batch(spark.createDataFrame([(3, "u3", "new", None, "short")], DOCS), root, 1)
+
+    def rows(batch):
+        return sum(spark.read.parquet(f"{root}/{t}/batch={batch}").count() for t in ("docs", "postings", "positions", "doc_lengths", "term_deltas"))
+
+    assert rows(1) < 40 < rows(0) / 50
 
 
 def test_ttl_lets_a_key_pass_again(spark, tmp_path):
