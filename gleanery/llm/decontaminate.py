@@ -127,6 +127,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
     spark = docs.sparkSession
     rows = docs.drop("item_ids", "distance", "contaminated")
     names = rows.columns
+    # a text goes to the worker once, as the column that is handed on; only another type needs a copy to be read
+    copied = rows.schema["text"].dataType.simpleString() != "string"
+    at = len(names) + 2 if copied else names.index("text")
     kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
     carried = "__ids array<bigint>, __least bigint"
     rows = rows.withColumns({"__ids": F.array().cast("array<bigint>"), "__least": F.lit(None).cast("bigint")})
@@ -136,18 +139,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces = Pieces(shared.value, per_error)
             for batch in batches:
-                for start, stop in wd.chunks(batch.column(0)):
+                for start, stop in wd.chunks(batch.column(at)):
                     part = batch.slice(start, stop - start)
-                    data, starts = wd.joined(part.column(0), lower=True)
+                    data, starts = wd.joined(part.column(at), lower=True)
                     begin, end = wd.bounds(data)
                     found = pieces.matches(wd.hashes(data, begin, end), np.searchsorted(begin, starts))
-                    ids, least = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                    ids, least = part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()
                     ids = [sorted({*a, *b}) for a, b in zip(ids, found, strict=True)]
                     least = [min([*([] if a is None else [a]), *b.values()], default=None) for a, b in zip(least, found, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[1:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int64())],
+                        [*part.columns[:len(names)], pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int64())],
                         names=[*names, "__ids", "__least"])
 
-        rows = rows.select(F.col("text").cast("string").alias("__text"), "*").mapInArrow(run, kept + carried)
+        sent = rows.withColumn("__text", F.col("text").cast("string")) if copied else rows
+        rows = sent.mapInArrow(run, kept + carried)
     return rows.withColumns({"item_ids": F.col("__ids"), "distance": F.col("__least"), "contaminated": F.size("__ids") > 0}).drop(
         "__ids", "__least")

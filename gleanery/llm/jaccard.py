@@ -1,12 +1,12 @@
 """Exact Jaccard join of word-shingle sets by a token-group matrix.
 
 1. Documents with the same set are one class; only its smallest document goes on.
-2. Groups: each document is compared with the most typical one among those that agree with it in a min-hash.
-   Those that link form the groups; a large group is kept as chunks of bounded size.
+2. Groups: each document stands with the most typical one among those that agree with it in a min-hash, whether
+   or not the two link; a large group is kept as chunks of bounded size. Links found on the way make components.
 3. Matrix: per token the groups whose union holds it. Only the tokens that stand first in a global order are
    needed: a linked pair shares one among the first n - ceil(t n) + 1 of each. Very frequent tokens stand last.
-4. Bound: a query document and a group of another component meet where they share such a token. How many of
-   the query's first tokens lie outside the group's union bounds its overlap with every member.
+4. Bound: a query document and a group that holds a larger component meet where they share such a token, once per
+   token and group. For a group of one, how many of the first tokens lie outside the other bounds the overlap.
 5. Only groups that may hold a link are opened: members and query are compared exactly.
 
 Links inside a component change nothing, so no step lists the pairs of a group.
@@ -183,22 +183,23 @@ def _fits(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): query and member of a group whose bounds allow a link. ``rows``: documents with ``part`` (component),
-    ``part_size``, ``grp`` and the leading tokens.
+    ``part_size``, ``grp``, ``grp_size`` and the leading tokens.
 
     Tokens stand in one order everywhere. The first one that a query shares with a member has only tokens
-    before it that the other lacks, which bounds their overlap; a pair without such a token has no link.
+    before it that the other lacks, which bounds their overlap; a pair without such a token has no link. Of two
+    components the smaller asks the larger, so a pair is met once.
     """
-    token = F.posexplode("leading").alias("at", "token")
-    matrix = rows.select("doc_id", "part", "part_size", "grp", "n", token)
-    held = matrix.groupBy("token").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max(F.struct("part_size", "part")).alias("top"))
-    shared = held.filter("p0 <> p1").select("token", "top")
+    rank = F.struct("part_size", "part")
+    matrix = rows.select("doc_id", rank.alias("rank"), "grp", "grp_size", "n", F.posexplode("leading").alias("at", "token"))
+    held = matrix.groupBy("token").agg(F.min("rank").alias("least"), F.max("rank").alias("top"))
+    shared = held.filter("least <> top").select("token", "top")
     met = materialize(matrix.join(shared, "token"), "matrix")
-    # a query's component is smaller than the group's, so the largest component of a token asks nothing
-    queries = met.filter(F.struct("part_size", "part") < F.col("top")).select(
-        "token", F.col("doc_id").alias("query"), F.col("n").alias("q_n"), F.col("at").alias("i"), F.struct("part_size", "part").alias("q_rank"))
-    groups = met.groupBy("token", "grp", "part", "part_size").agg(
-        F.max("at").alias("j"), F.min("n").alias("low"), F.max("n").alias("high")
-    ).select("token", "grp", "j", "low", "high", F.struct("part_size", "part").alias("g_rank"), (F.col("part_size") == 1).alias("alone"))
+    queries = met.filter(F.col("rank") < F.col("top")).select(
+        "token", F.col("doc_id").alias("query"), F.col("n").alias("q_n"), F.col("at").alias("i"), F.col("rank").alias("q_rank"))
+    # one row per token and group, however many components its members belong to
+    groups = met.groupBy("token", "grp").agg(
+        F.max("at").alias("j"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rank").alias("g_rank"),
+        (F.max("grp_size") == 1).alias("alone"))
     q_n, low = F.col("q_n"), F.col("low")
     may = (
         (F.col("q_rank") < F.col("g_rank")) & (100 * F.col("high") >= percent * q_n) & (percent * low <= 100 * q_n)
@@ -218,10 +219,11 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
 
     # all leading tokens, shortened to 15 bits: what has no equal on the other side has none at all
     short = F.transform("leading", lambda t: F.shiftright(t, 8).bitwiseAND(F.lit(0x7FFF)).cast("short"))
-    facts = rows.select("doc_id", "grp", "n", short.alias("short"), F.element_at("leading", -1).alias("last"))
-    of_query = facts.select(F.col("doc_id").alias("query"), F.col("short").alias("q_short"), F.col("last").alias("q_last"))
+    facts = rows.select("doc_id", "grp", "n", rank.alias("rank"), short.alias("short"), F.element_at("leading", -1).alias("last"))
+    of_query = facts.select(
+        F.col("doc_id").alias("query"), F.col("rank").alias("q_rank"), F.col("short").alias("q_short"), F.col("last").alias("q_last"))
     # a group is opened in its row: members that may link leave it, the others never become rows
-    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "short", "last")).alias("members"))
+    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "rank", "short", "last")).alias("members"))
     full = likely.join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
 
     def may_link(m: Column) -> Column:
@@ -230,22 +232,27 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         more_g = F.when(~shorter, F.size(F.array_except(m["short"], F.col("q_short")))).otherwise(0)
         outside = F.greatest("out_q", more_q) + F.greatest("out_g", more_g)
         return (
-            (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n) & _fits((n + m["n"] - outside) / 2, n, m["n"], percent)
+            (F.col("q_rank") < m["rank"]) & (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n) & _fits((n + m["n"] - outside) / 2, n, m["n"], percent)
             & _fits(F.least(n - more_q, m["n"] - more_g), n, m["n"], percent)
         )
 
     return full.select(F.col("query").alias("a"), F.explode(F.filter("members", may_link)).alias("m")).select("a", F.col("m.doc_id").alias("b"))
 
 
-def _grouped(heads: DataFrame, links: DataFrame) -> DataFrame:
-    """Heads with their component so far (``part``), its size, and their chunk of it (``grp``)."""
+def _grouped(heads: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+    """Heads with their component so far (``part``) and its size, and their chunk of the documents around one typical
+    document (``grp``) with the number of those documents."""
     parts = materialize(connected_components(links), "parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("part_size"))
     known = parts.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "part_size")
-    chunk: Column = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("part_size") / CHUNK))
-    return heads.join(known, "doc_id", "left").withColumns({
-        "part": F.coalesce("part", "doc_id"), "part_size": F.coalesce("part_size", F.lit(1)),
-    }).withColumn("grp", F.struct("part", chunk.alias("chunk")))
+    stars = heads.select("doc_id").join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").withColumn("centre", F.coalesce("b", "doc_id"))
+    stars = materialize(stars.select("doc_id", "centre"), "stars")
+    # a typical document that stands with another one has a group of the others still; of these it is no member
+    around = stars.groupBy("centre").agg(F.count("*").alias("grp_size"))
+    placed = stars.join(around, "centre").withColumn(
+        "grp", F.struct("centre", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("grp_size") / CHUNK)).alias("chunk"))).drop("centre")
+    return heads.join(placed, "doc_id").join(known, "doc_id", "left").withColumns({
+        "part": F.coalesce("part", "doc_id"), "part_size": F.coalesce("part_size", F.lit(1))})
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -270,7 +277,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     near = materialize(_typical_pairs(heads), "typical")
     links = materialize(_verified(docs, near, k, percent), "links")
-    grouped = materialize(_grouped(heads, links).drop("signs"), "grouped")
+    grouped = materialize(_grouped(heads.drop("signs"), near, links), "grouped")
     pairs = materialize(_qualifying(grouped, percent).distinct(), "pairs")
     more = _verified(docs, pairs, k, percent)
     parts = connected_components(materialize(links.union(more), "all-links"))

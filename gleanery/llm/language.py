@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ LEVEL = 9
 MARGIN = 0.01
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of Unicode category L.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def letters(text: str) -> bytes:
@@ -48,7 +49,8 @@ def fit_languages(labelled: DataFrame) -> list[tuple[str, bytes]]:
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("slot", F.pmod(F.shiftright("h", 8), F.lit(SAMPLE_TEXTS)))
     chosen = rows.groupBy("lang", "slot").agg(F.min("h").alias("h"), F.count("*").alias("n"))
     frequency = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    sample = rows.join(chosen.select("lang", "h"), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(
+    # at most SAMPLE_TEXTS rows a language, so the texts stay where they are
+    sample = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(
         F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in sample.collect():
@@ -93,22 +95,25 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """
     own = docs.drop("lang_pred", "score", "rejected")
     names = own.columns
+    # a text goes to the worker once, as the column that is handed on; only another type needs a copy to be read
+    sent, at = own, names.index("text")
+    if own.schema["text"].dataType.simpleString() != "string":
+        sent, at = own.withColumn("__text", F.col("text").cast("string")), len(names)
     # dictionaries are bounded by the constants above times the number of languages
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(shared.value)
         for batch in batches:
-            text = batch.column(0)
+            text = batch.column(at)
             for start, stop in wd.chunks(pc.fill_null(text, "")):
                 found = [judge.predict(t) for t in text.slice(start, stop - start).to_pylist()]
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
+                    [*part.columns[:len(names)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                      pa.array([x[2] for x in found], pa.bool_())],
                     names=[*names, "lang_pred", "score", "rejected"],
                 )
 
-    rows = own.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in names))
     kept = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in names)
-    return rows.mapInArrow(run, kept + "lang_pred string, score double, rejected boolean")
+    return sent.mapInArrow(run, kept + "lang_pred string, score double, rejected boolean")

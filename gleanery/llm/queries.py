@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from gleanery.llm.oracles import RULES
 from gleanery.session import materialize, scratch_path
 
 #: The folder of public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = public_tokenizers.path("").rstrip("/")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -416,8 +416,9 @@ def test_jaccard_like_brute_force(spark, documents, monkeypatch):
         assert got == _components(rows, k, percent)
 
 
-def test_jaccard_bounds_hold_in_groups_of_mixed_sizes(spark):
-    """Every linked pair of different components is opened, whatever the components are."""
+@pytest.mark.parametrize("mixed", [False, True])
+def test_jaccard_bounds_hold_in_groups_of_mixed_sizes(spark, mixed):
+    """Every linked pair of different components is opened, whatever the components are and whether groups mix them."""
     percent, rng, sets, parts = 85, np.random.default_rng(6), {}, {}
     for family in range(60):
         pool = rng.permutation(2_000)[:400]
@@ -431,11 +432,13 @@ def test_jaccard_bounds_hold_in_groups_of_mixed_sizes(spark):
     sets |= {1_000: {*shared, *own[:3]}, 1_001: {*range(3_000, 3_013), *shared}, 1_002: {*range(4_000, 4_012), shared[12], *own[20:92]}}
     parts |= {1_000: 1_000, 1_001: 1_001, 1_002: 1_001}
     sizes = collections.Counter(parts.values())
+    group = {i: i // 20 if mixed else parts[i] for i in sets}
+    members = collections.Counter(group.values())
     rows = [
-        (i, parts[i], sizes[parts[i]], (parts[i], 0), len(x), [256 * t for t in sorted(x)[: jaccard._leading(np.array(len(x)), percent)]])
+        (i, parts[i], sizes[parts[i]], (group[i], 0), members[group[i]], len(x), [256 * t for t in sorted(x)[: jaccard._leading(np.array(len(x)), percent)]])
         for i, x in sets.items()
     ]
-    table = spark.createDataFrame(rows, "doc_id long, part long, part_size long, grp struct<part: long, chunk: long>, n long, leading array<long>")
+    table = spark.createDataFrame(rows, "doc_id long, part long, part_size long, grp struct<centre: long, chunk: long>, grp_size long, n long, leading array<long>")
     got = {(min(r), max(r)) for r in jaccard._qualifying(table, percent).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and parts[a] != parts[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert (1_000, 1_001) in want and len(want) > 100
@@ -510,3 +513,57 @@ def test_stages_return_the_columns_of_documents(spark, documents):
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert isinstance(out := stage(spark, documents, SF).schema, T.StructType) and out.names == documents.columns
+
+
+@pytest.mark.parametrize("text", ["½", "² ³", "①", "12 _ -", "٣"])
+def test_numbers_and_signs_are_no_letters(docs, text):
+    assert not language.letters(text)
+    assert language.letters(f"{text} é") == " é ".encode()
+
+
+def test_one_of_a_kind_counts_rows(spark):
+    """Null ids, repeated rows and repeated ids: one row of each class, that with the smallest id; extra columns stay."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, a), (3, a + " more"), (3, a), (3, a), (None, b), (None, b), (9, "only"), (9, "only"), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("component_id", F.lit("x"))
+    got = corpus_pipeline.one_of_a_kind(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [x for x in kept if x[1] and x[1].startswith("w")] in ([(3, a)], [(3, a + " more")])
+    assert sorted((x for x in kept if not (x[1] and x[1].startswith("w"))), key=str) == sorted([(None, b), (9, "only"), (4, None), (4, None), (None, "")], key=str)
+    none = corpus_pipeline.one_of_a_kind(spark, docs.limit(0), "")
+    assert none.collect() == [] and none.columns == docs.columns
+
+
+def test_jaccard_of_documents_that_share_a_passage(spark):
+    """Documents with one long passage in common meet in groups; only those that agree at large are linked."""
+    import random
+
+    from gleanery.llm import jaccard
+
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(220):
+        own = [f"o{i // 4 if i % 3 else i}x{j}" for j in range(30)]
+        if i % 5 == 0:
+            own[rng.randrange(30)] = "changed"
+        rows.append((i, " ".join((own + passage) if i % 2 else (passage + own))))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70).collect()}
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(58)} for _, t in rows]
+    lead = list(range(len(rows)))
+
+    def root(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 70 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = sorted((root(x), root(y)))
+                lead[q] = p
+    assert got == {i: root(i) for i in range(len(rows))}
