@@ -360,7 +360,7 @@ def _(view):
     return fusion.rank_hits(scored, 50, tie="doc_id").select("query_id", "doc_id", "rank")
 
 
-_RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1 / (60e0 + rank)), 9) AS score FROM
+_RRF = """rrf AS (SELECT query_id, doc_id, sum(1 / (60e0 + rank)) AS score FROM
     (SELECT query_id, doc_id, rank FROM b UNION ALL SELECT query_id, doc_id, rank FROM v) u GROUP BY ALL)"""
 
 
@@ -370,7 +370,7 @@ def _(view):
     return _shown(fusion.rrf_fuse(left, right, key="doc_id"))
 
 
-_WEIGHTED = """wf AS (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM (
+_WEIGHTED = """wf AS (SELECT query_id, doc_id, sum(part) AS score FROM (
     SELECT query_id, doc_id, CASE WHEN max(score) OVER w > 0 THEN 0.7e0 * score / max(score) OVER w ELSE 0 END AS part FROM b
       WINDOW w AS (PARTITION BY query_id)
     UNION ALL
@@ -401,6 +401,22 @@ def _(view):
     return _shown(hits.select("query_id", "rank", "url", "title", "description", (F.col("snippet") != "").alias("in_text"), "score"))
 
 
+@query("search_responses", f"""
+WITH {_BM25}, {_ranked('scores', 'r', 15)},
+n AS (SELECT query_id, count(*) AS total_hits FROM scores GROUP BY 1)
+SELECT q.query_id, q.q AS query, 'bm25' AS mode, 10 AS "limit", 5 AS "offset", coalesce(total_hits, 0) AS total_hits, FALSE AS reranked,
+       count(r.doc_id) AS n_hits, coalesce(string_agg(c.url, ' ' ORDER BY r.rank), '') AS urls, coalesce(round(sum(r.score), 5), 0e0) AS score_sum
+FROM v_queries q LEFT JOIN n USING (query_id) LEFT JOIN r ON r.query_id = q.query_id AND r.rank >= 5 LEFT JOIN v_corpus c ON c.doc_id = r.doc_id
+GROUP BY ALL""")
+def _(view):
+    """Whole responses: what was asked, the total, and the page of hits in order."""
+    out = search.search_responses(_index(view), view("v_queries"), mode="bm25", limit=10, offset=5)
+    total = F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["score"])
+    return out.select(
+        "query_id", "query", "mode", "limit", "offset", "total_hits", "reranked", F.size("hits").cast("long").alias("n_hits"),
+        F.array_join(F.transform("hits", lambda h: h["url"]), " ").alias("urls"), F.round(total, 5).alias("score_sum"))
+
+
 @query("hybrid_total_hits", f"""
 WITH {_SIDES}, {_RRF}, n AS (SELECT query_id, count(*) AS n_ranked FROM rrf GROUP BY 1),
 m AS (SELECT query_id, count(*) AS n_match FROM scores GROUP BY 1)
