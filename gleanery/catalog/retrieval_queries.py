@@ -57,9 +57,14 @@ def _(view):
         "doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
+def six_digits(value):
+    """Rounded by plain arithmetic: engines disagree about ``round`` half-way between two values."""
+    return F.floor(value * 1e6 + 0.5) / 1e6
+
+
 def _shown(hits):
-    """Ranks come from full scores; what is compared shows six digits."""
-    return hits.withColumns({c: F.round(c, 6) for c in ("score", "similarity") if c in hits.columns})
+    """Ranks come from full scores; what is compared shows six digits, cut alike on both sides."""
+    return hits.withColumns({c: six_digits(F.col(c)) for c in ("score", "similarity") if c in hits.columns})
 
 
 @query("build_index", f"WITH {index_ctes()} SELECT p.field, term, p.doc_id, tf, l AS doc_len FROM post p "
@@ -111,19 +116,19 @@ def _(view):
 
 
 @query("bm25_search", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
+WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r""")
 def bm25_top10(view):
     """Flagship: top documents for each benchmark text."""
     return _shown(bm25.bm25_search(_index(view), view("v_queries"), k=10))
 
 
-@query("bm25_scores", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
+@query("bm25_scores", f"WITH {_BM25} SELECT query_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM scores")
 def _(view):
     return _shown(bm25.bm25_scores(_index(view), view("v_queries")))
 
 
 @query("top_docs", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 25)} SELECT r.query_id, r.rank, c.url, round(r.score, 6) AS score FROM r JOIN v_corpus c ON r.doc_id = c.doc_id""")
+WITH {_BM25}, {_ranked('scores', 'r', 25)} SELECT r.query_id, r.rank, c.url, floor(r.score * 1e6 + 0.5e0) / 1e6 AS score FROM r JOIN v_corpus c ON r.doc_id = c.doc_id""")
 def _(view):
     built = _index(view)
     top = bm25.bm25_search(built, view("v_queries"), k=25)
@@ -131,7 +136,7 @@ def _(view):
 
 
 @query("page_of_hits", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 30)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank >= 20""")
+WITH {_BM25}, {_ranked('scores', 'r', 30)} SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r WHERE rank >= 20""")
 def _(view):
     top = bm25.bm25_search(_index(view), view("v_queries"), k=30)
     return _shown(search.page(top, limit=10, offset=20))
@@ -158,7 +163,7 @@ ph AS (SELECT DISTINCT w.query_id, g.doc_id FROM w JOIN grams g ON g.a = w.tl[2]
 ok AS (SELECT h.query_id, h.doc_id, h.score FROM hit h JOIN ph ON h.query_id = ph.query_id AND h.doc_id = ph.doc_id
        WHERE must AND NOT bad AND score IS NOT NULL),
 {_ranked('ok', 'r', 20)}
-SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
+SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r""")
 def _(view):
     tl = tokenize(F.col("q"))
     queries = view("v_queries").select(
@@ -206,7 +211,7 @@ ok AS (SELECT query_id, doc_id, score FROM scored JOIN
        (SELECT query_id, count(*) FILTER (WHERE occur = 'must') AS needed FROM clauses GROUP BY ALL) USING (query_id)
        WHERE bad = 0 AND got = needed AND score IS NOT NULL),
 {_ranked('ok', 'r', 20)}
-SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r"""
+SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r"""
 
 
 def _benchmark_clauses(view):
@@ -237,7 +242,7 @@ def _(view):
 
 
 @query("bm25_search_blocks", f"""
-WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
+WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r""")
 def _(view):
     """Top documents from a stored index of posting blocks that are opened only if they can hold one."""
     from gleanery.session import scratch_path
@@ -285,13 +290,13 @@ sims AS (SELECT query_id, vec_id AS page_id, round(list_cosine_similarity(embedd
 
 
 @query("vector_search", f"""
-WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, round(similarity, 6) AS similarity FROM r""")
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, floor(similarity * 1e6 + 0.5e0) / 1e6 AS similarity FROM r""")
 def _(view):
     return _shown(vector.vector_search(view("v_vectors"), _centroids(view), k=10))
 
 
 @query("vector_search_blocked", f"""
-WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, round(similarity, 6) AS similarity FROM r""")
+WITH {_VEC}, {_ranked('sims', 'r', 10, 'similarity', 'page_id')} SELECT query_id, rank, page_id, floor(similarity * 1e6 + 0.5e0) / 1e6 AS similarity FROM r""")
 def _(view):
     """The same search with the queries in several blocks."""
     return _shown(vector.vector_search(view("v_vectors"), _centroids(view), k=10, query_block=4))
@@ -364,7 +369,7 @@ _RRF = """rrf AS (SELECT query_id, doc_id, sum(1 / (60e0 + rank)) AS score FROM
     (SELECT query_id, doc_id, rank FROM b UNION ALL SELECT query_id, doc_id, rank FROM v) u GROUP BY ALL)"""
 
 
-@query("rrf_fuse", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, round(score, 6) AS score FROM rrf")
+@query("rrf_fuse", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM rrf")
 def _(view):
     left, right = _sides(view)
     return _shown(fusion.rrf_fuse(left, right, key="doc_id"))
@@ -378,13 +383,13 @@ _WEIGHTED = """wf AS (SELECT query_id, doc_id, sum(part) AS score FROM (
       WINDOW w AS (PARTITION BY query_id)) u GROUP BY ALL)"""
 
 
-@query("weighted_fuse", f"WITH {_SIDES}, {_WEIGHTED} SELECT query_id, doc_id, round(score, 6) AS score FROM wf")
+@query("weighted_fuse", f"WITH {_SIDES}, {_WEIGHTED} SELECT query_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM wf")
 def _(view):
     left, right = _sides(view)
     return _shown(fusion.weighted_fuse(left, right, 0.7, 0.3, key="doc_id"))
 
 
-@query("fuse_selector", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, round(score, 6) AS score FROM rrf")
+@query("fuse_selector", f"WITH {_SIDES}, {_RRF} SELECT query_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM rrf")
 def _(view):
     left, right = _sides(view)
     return _shown(fusion.fuse(left, right, alpha=0.505, beta=0.495, key="doc_id"))
@@ -393,7 +398,7 @@ def _(view):
 @query("hybrid_search", f"""
 WITH {_SIDES}, {_RRF}, {_ranked('rrf', 'r', 20)}
 SELECT r.query_id, r.rank, c.url, c.title, CASE WHEN b.doc_id IS NOT NULL THEN c.description END AS description,
-       b.doc_id IS NOT NULL AS in_text, round(r.score, 6) AS score
+       b.doc_id IS NOT NULL AS in_text, floor(r.score * 1e6 + 0.5e0) / 1e6 AS score
 FROM r JOIN v_corpus c ON r.doc_id = c.doc_id LEFT JOIN b ON b.query_id = r.query_id AND b.doc_id = r.doc_id
 WHERE r.rank BETWEEN 10 AND 19""")
 def _(view):
@@ -439,13 +444,13 @@ cand AS (SELECT b.query_id, b.rank, b.doc_id, b.score,
 @query("rerank", f"""
 WITH {_BM25}, {_ranked('scores', 'b', 40)}, {_OVERLAP}
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank >= 30, fresh DESC, rank) - 1 AS rank,
-       round(coalesce(fresh, score), 6) AS score FROM cand""")
+       floor(coalesce(fresh, score) * 1e6 + 0.5e0) / 1e6 AS score FROM cand""")
 def _(view):
     built, queries = _index(view), view("v_queries")
     ranked = bm25.bm25_search(built, queries, k=40).join(built.docs, "doc_id").join(queries, "query_id").withColumn(
         "text", rerank.rerank_text(F.col("url"), F.col("title"), F.col("description"), F.col("content")))
     out = rerank.rerank(ranked, rerank.overlap_score(F.col("q"), F.col("text")))
-    return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return _shown(out.select("query_id", "doc_id", "rank", "score"))
 
 
 @query("rerank_text", """
@@ -482,7 +487,7 @@ live AS (SELECT doc_id, url, title, description, content FROM v_corpus WHERE url
 
 @query("update_index", f"""
 WITH {_UPDATED}, {index_ctes('live')}, {_SCORES}, {_ranked('scores', 'r', 10)}
-SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r""")
+SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r""")
 def _(view):
     changed = view("v_crawled").where("indexed").select(
         F.col("id").alias("doc_id"), "url", F.concat(F.lit("v2 "), "title").alias("title"), "description",

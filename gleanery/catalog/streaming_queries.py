@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery.catalog import fixtures
 from gleanery.catalog.registry import ORACLES, QUERIES
-from gleanery.catalog.retrieval_queries import _BM25, _ranked
+from gleanery.catalog.retrieval_queries import _BM25, _ranked, six_digits
 from gleanery.operators.bm25 import bm25_search
 from gleanery.plans.index_log import open_log
 from gleanery.session import scratch_path
@@ -109,7 +109,7 @@ def stream_ingest(spark, sf_dir):
     return pages.select("url", "title", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@stream_query("stream_index", f"WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
+@stream_query("stream_index", f"WITH {_BM25}, {_ranked('scores', 'r', 10)} SELECT query_id, rank, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM r")
 def stream_index(spark, sf_dir):
     """Documents arrive in three micro-batches, the first two with some that later ones replace."""
     corpus = fixtures.view(spark, sf_dir, "v_corpus")
@@ -119,4 +119,4 @@ def stream_index(spark, sf_dir):
     read = streams.read_stream(spark, path, corpus.schema, files_per_trigger=1)
     streams.stream_index(read, f"{root}/index", f"{root}/checkpoint").awaitTermination()
     hits = bm25_search(open_log(spark, f"{root}/index"), fixtures.view(spark, sf_dir, "v_queries"), k=10)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", six_digits(F.col("score")))
