@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Views], Data
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from gleanery.catalog import (  # noqa: F401
-        context_queries, crawl_queries, extract_queries, history_queries, ingest_queries,
+        chain_queries, context_queries, crawl_queries, extract_queries, history_queries, ingest_queries,
         merge_queries, retrieval_queries, streaming_queries, workspace_queries,
     )
 
