@@ -217,22 +217,22 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         & _fits((F.col("n") + F.col("low") - out_q - out_g) / 2, F.col("n"), F.col("low"), percent) | ~F.col("alone"))
     likely = materialize(likely, "likely")
 
-    # all leading tokens, shortened to 15 bits: what has no equal on the other side has none at all
-    short = F.transform("leading", lambda t: F.shiftright(t, 8).bitwiseAND(F.lit(0x7FFF)).cast("short"))
-    facts = rows.select("doc_id", "grp", "n", rank.alias("rank"), short.alias("short"), F.element_at("leading", -1).alias("last"))
-    of_query = facts.select(
-        F.col("doc_id").alias("query"), F.col("rank").alias("q_rank"), F.col("short").alias("q_short"), F.col("last").alias("q_last"))
+    # all leading tokens, cut to 32 bits that keep their order; tokens that then coincide only loosen a bound
+    short = F.transform("leading", lambda t: F.shiftright(t, 31).cast("int"))
+    facts = rows.select("doc_id", "grp", "n", rank.alias("rank"), short.alias("short"))
+    of_query = facts.select(F.col("doc_id").alias("query"), F.col("rank").alias("q_rank"), F.col("short").alias("q_short"))
     # a group is opened in its row: members that may link leave it, the others never become rows
-    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "rank", "short", "last")).alias("members"))
+    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "rank", "short")).alias("members"))
     full = likely.join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
 
     def may_link(m: Column) -> Column:
-        n, shorter = F.col("n"), F.col("q_last") <= m["last"]
-        more_q = F.when(shorter, F.size(F.array_except("q_short", m["short"]))).otherwise(0)
-        more_g = F.when(~shorter, F.size(F.array_except(m["short"], F.col("q_short")))).otherwise(0)
-        outside = F.greatest("out_q", more_q) + F.greatest("out_g", more_g)
+        """Of the tokens before the last ones of both, each that has no equal on the other side lies outside it."""
+        n, last = F.col("n"), F.least(F.element_at("q_short", -1), F.element_at(m["short"], -1))
+        more_q = F.size(F.array_except(F.filter("q_short", lambda t: t < last), m["short"]))
+        more_g = F.size(F.array_except(F.filter(m["short"], lambda t: t < last), F.col("q_short")))
         return (
-            (F.col("q_rank") < m["rank"]) & (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n) & _fits((n + m["n"] - outside) / 2, n, m["n"], percent)
+            (F.col("q_rank") < m["rank"]) & (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n)
+            & _fits((n + m["n"] - F.greatest("out_q", more_q) - F.greatest("out_g", more_g)) / 2, n, m["n"], percent)
             & _fits(F.least(n - more_q, m["n"] - more_g), n, m["n"], percent)
         )
 
