@@ -217,8 +217,8 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         & _fits((F.col("n") + F.col("low") - out_q - out_g) / 2, F.col("n"), F.col("low"), percent) | ~F.col("alone"))
     likely = materialize(likely, "likely")
 
-    # all leading tokens, cut to 32 bits that keep their order; tokens that then coincide only loosen a bound
-    short = F.transform("leading", lambda t: F.shiftright(t, 31).cast("int"))
+    # all leading tokens, cut to their upper 31 bits, which keep the order; tokens that then coincide only loosen a bound
+    short = F.transform("leading", lambda t: F.shiftright(t, 32).cast("int"))
     facts = rows.select("doc_id", "grp", "n", rank.alias("rank"), short.alias("short"))
     of_query = facts.select(F.col("doc_id").alias("query"), F.col("rank").alias("q_rank"), F.col("short").alias("q_short"))
     # a group is opened in its row: members that may link leave it, the others never become rows
