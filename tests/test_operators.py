@@ -340,3 +340,25 @@ def test_facets(spark):
     got = [(r.is_research, r.is_discussion, r.is_official) for r in merge.facet(df).collect()]
     assert got == [(True, False, False), (True, False, False), (False, True, False), (False, False, True),
                    (False, False, True), (False, False, False)]
+
+
+def test_places_far_down_keep_apart(spark):
+    ranks = spark.range(40_000).select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), F.col("id").alias("rank"))
+    fused = fusion.rrf_fuse(ranks, ranks.limit(0), key="doc_id")
+    assert fused.select("score").distinct().count() == 40_000
+
+
+def test_vector_grid_equals_the_broadcast_search(spark):
+    """Queries beyond a block meet the vectors in cells; widths, zero vectors, ties and repeats come out alike."""
+    rng = random.Random(3)
+    rows = [(i, 0, [float(rng.choice([-1, 0, 1, 2])) for _ in range(4)]) for i in range(120)] + [(500, 0, [1.0, 2.0]), (501, 0, [0.0] * 4), (7, 0, [1.0] * 4)]
+    vectors = spark.createDataFrame(rows, "page_id BIGINT, chunk_index INT, embedding ARRAY<FLOAT>")
+    asked = vectors.select(F.col("page_id").alias("query_id"), "embedding").where("page_id % 3 = 0 OR page_id >= 500")
+    whole, grid = (sorted(map(tuple, vector.vector_search(vectors, asked, k=5, query_block=b).collect())) for b in (2048, 7))
+    assert whole == grid and len(whole) > 150
+
+
+def test_first_of_each_key(spark):
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", None, "n"), ("b", 5, "m"), (None, 1, "p"), (None, 1, "p"), ("c", None, "q")]
+    got = P.first_per_key(spark.createDataFrame(rows, "url STRING, seq INT, text STRING"), ["url"], "seq")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, "y"), ("b", 5, "m"), (None, 1, "p"), ("c", None, "q")], key=str)
