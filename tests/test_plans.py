@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.catalog import fixtures, registry
 from gleanery.operators import bm25, extract, index
+from gleanery.plans import search
 from gleanery.sources.index_store import write_index
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,16 @@ def test_search_prunes_buckets_and_limits_early(spark, stored):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_every_stored_table_is_read_by_bucket(spark, stored):
+    """Statistics, positions, counts and documents: only the buckets that a search names are read."""
+    asked = fixtures.view(spark, SF, "v_queries")
+    terms = bm25.query_terms(asked)
+    hits = bm25.bm25_search(stored, asked, k=3)
+    for df in (bm25.term_statistics(stored, terms), bm25.read_terms(stored.positions, terms, stored, "t"), bm25.match_counts(stored, asked),
+               search.with_documents(hits, stored)):
+        assert "dynamicpruning" in plan(df)
+
+
 def test_term_counting_adds_no_shuffle(spark):
     text = plan(index.build_index(fixtures.view(spark, SF, "v_corpus")).postings)
     assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
