@@ -7,7 +7,8 @@
    needed: a linked pair shares one among the first n - ceil(t n) + 1 of each. Very frequent tokens stand last.
 4. Bound: a query document and a group that holds a larger component meet where they share such a token, once per
    token and group. For a group of one, how many of the first tokens lie outside the other bounds the overlap.
-5. Only groups that may hold a link are opened: members and query are compared exactly.
+5. Only groups that may hold a link are opened: a group and its queries meet in one place, and a query is compared
+   exactly with all members at once. A link is told only where it joins members that were not joined before.
 
 Links inside a component change nothing, so no step lists the pairs of a group.
 """
@@ -28,8 +29,11 @@ from gleanery.session import materialize
 
 #: Min-hash values of a document, for finding groups only.
 SIGNATURE = 8
-#: Members of a chunk of a group, on average.
-CHUNK = 64
+#: Members of a chunk of a group, on average, and tokens of all of them.
+CHUNK = 512
+CHUNK_TOKENS = 1 << 18
+#: Queries that pass one copy of an opened chunk, on average.
+SLICE = 4096
 #: A token is frequent if it leads in more than one of so many documents, and in more than 4. There are at most FREQUENT
 #: times the mean number of leading tokens of them, whatever the number of documents: they are broadcast.
 FREQUENT = 50_000
@@ -182,7 +186,7 @@ def _fits(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): query and member of a group whose bounds allow a link. ``rows``: documents with ``part`` (component),
+    """(query, grp): query and group whose bounds allow a link. ``rows``: documents with ``part`` (component),
     ``part_size``, ``grp``, ``grp_size`` and the leading tokens.
 
     Tokens stand in one order everywhere. The first one that a query shares with a member has only tokens
@@ -206,37 +210,102 @@ def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
         & _fits(q_n - F.col("i"), q_n, low, percent) & (~F.col("alone") | _fits(low - F.col("j"), q_n, low, percent))
     )
     # tokens up to the last one found here that are not counted are known to lie outside
-    found = queries.join(groups, "token").filter(may).groupBy("query", "grp").agg(
+    found = queries.join(groups, "token").filter(may).groupBy("query", F.col("q_n").alias("n"), "grp").agg(
         F.count("*").alias("c"), (F.max("i") + 1).alias("upto"), (F.max("j") + 1).alias("upto_g"),
-        F.first("q_n").alias("n"), F.first("alone").alias("alone"), F.min("low").alias("low"))
-    # of several members, a token may lie in one behind its own leading tokens: only may_link counts, by member
+        F.first("alone").alias("alone"), F.min("low").alias("low"))
+    # of several members, a token may lie in one behind its own leading tokens: such a group is opened
     out_q, out_g = (F.when(F.col("alone"), F.greatest(F.lit(0), F.col(upto) - F.col("c"))).otherwise(0) for upto in ("upto", "upto_g"))
     overlap = F.least(F.col("n") - out_q, F.when(F.col("alone"), F.col("low") - out_g).otherwise(F.col("n")))
     likely = found.withColumns({"out_q": out_q, "out_g": out_g}).filter(
         _fits(overlap, F.col("n"), F.greatest("low", F.floor((F.col("n") * percent + 99) / 100)), percent)
         & _fits((F.col("n") + F.col("low") - out_q - out_g) / 2, F.col("n"), F.col("low"), percent) | ~F.col("alone"))
-    likely = materialize(likely, "likely")
-
-    # all leading tokens, cut to their upper 31 bits, which keep the order; tokens that then coincide only loosen a bound
-    short = F.transform("leading", lambda t: F.shiftright(t, 32).cast("int"))
-    facts = rows.select("doc_id", "grp", "n", rank.alias("rank"), short.alias("short"))
-    of_query = facts.select(F.col("doc_id").alias("query"), F.col("rank").alias("q_rank"), F.col("short").alias("q_short"))
-    # a group is opened in its row: members that may link leave it, the others never become rows
-    of_group = facts.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "rank", "short")).alias("members"))
-    full = likely.join(of_query.hint("merge"), "query").join(of_group.hint("merge"), "grp")
-
-    def may_link(m: Column) -> Column:
-        """Of the tokens before the last ones of both, each that has no equal on the other side lies outside it."""
-        n, last = F.col("n"), F.least(F.element_at("q_short", -1), F.element_at(m["short"], -1))
-        more_q = F.size(F.array_except(F.filter("q_short", lambda t: t < last), m["short"]))
-        more_g = F.size(F.array_except(F.filter(m["short"], lambda t: t < last), F.col("q_short")))
-        return (
-            (F.col("q_rank") < m["rank"]) & (100 * m["n"] >= percent * n) & (percent * m["n"] <= 100 * n)
-            & _fits((n + m["n"] - F.greatest("out_q", more_q) - F.greatest("out_g", more_g)) / 2, n, m["n"], percent)
-            & _fits(F.least(n - more_q, m["n"] - more_g), n, m["n"], percent)
-        )
-
-    return full.select(F.col("query").alias("a"), F.explode(F.filter("members", may_link)).alias("m")).select("a", F.col("m.doc_id").alias("b"))
+    return likely.select("query", "grp").distinct()
+
+
+class _Tile:
+    """The members of an opened group, whose tokens are numbered so that a query counts all overlaps by one gather."""
+
+    def __init__(self) -> None:
+        self.docs, self.parts, self.sets = [], [], []
+
+    def add(self, doc: int, part: int, tokens: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.parts.append(part)
+        self.sets.append(tokens)
+
+    def close(self) -> None:
+        self.size = np.array([len(x) for x in self.sets])
+        self.begin = np.cumsum(self.size) - self.size
+        self.vocabulary, self.at = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.mark = np.zeros(len(self.vocabulary), bool)
+        self.part = np.array(self.parts)
+        self.root = np.unique(self.part, return_inverse=True)[1]
+        self.sets = []
+
+    def ask(self, part: int, tokens: np.ndarray, percent: int) -> list[int]:
+        """Members linked with a query of another component, one of each set of members not joined in this tile before."""
+        if self.sets:
+            self.close()
+        if not self.docs:
+            return []
+        place = np.minimum(np.searchsorted(self.vocabulary, tokens), len(self.vocabulary) - 1)
+        place = place[self.vocabulary[place] == tokens]
+        self.mark[place] = True
+        both = np.add.reduceat(self.mark[self.at], self.begin, dtype=np.int64)
+        self.mark[place] = False
+        linked = np.flatnonzero((100 * both >= percent * (self.size + len(tokens) - both)) & (self.part != part))
+        if not len(linked):
+            return []
+        roots, first = np.unique(self.root[linked], return_index=True)
+        self.root[np.isin(self.root, roots)] = roots[0]
+        return [self.docs[i] for i in linked[first]]
+
+
+def _opened_links(docs: DataFrame, likely: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links of queries and members of the groups they open, enough of them to join what is linked.
+
+    A group and up to SLICE of its queries, on average, are a cell; members come first and stay, queries pass by.
+    """
+    spark = docs.sparkSession
+    opened = likely.groupBy("grp").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    known = rows.select("doc_id", "grp", "part").distinct()
+    members = known.join(opened, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("slice"), F.lit(False).alias("asks"), "doc_id", "part")
+    asking = likely.join(opened, "grp").select(
+        "grp", F.pmod(F.xxhash64("query"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"), F.col("query").alias("doc_id"))
+    asking = asking.join(known.select("doc_id", "part").distinct(), "doc_id")
+    cells = materialize(members.unionByName(asking).select("grp.centre", "grp.chunk", "slice", "asks", "doc_id", "part"), "cells")
+    key = ["centre", "chunk", "slice"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, tile = None, _Tile()
+        for batch in batches:
+            for start, stop in wd.chunks(batch.column(5)):
+                part = batch.slice(start, stop - start)
+                found, tokens = shingle_sets(pa.array([unpack(z).decode() for z in part.column(5).to_pylist()], pa.large_string()), k)
+                bounds = np.searchsorted(found, np.arange(part.num_rows + 1))
+                a, b = [], []
+                names = zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)
+                facts = zip(*(part.column(c).to_pylist() for c in (3, 4, 6)), strict=True)
+                for i, (name, (asks, doc, component)) in enumerate(zip(names, facts, strict=True)):
+                    if name != now:
+                        now, tile = name, _Tile()
+                    own = tokens[bounds[i] : bounds[i + 1]]
+                    if not len(own):
+                        continue
+                    if asks:
+                        hit = tile.ask(component, own, percent)
+                        a += [doc] * len(hit)
+                        b += hit
+                    else:
+                        tile.add(doc, component, own)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    full = cells.join(_packed(docs, cells.select("doc_id")), "doc_id").select(*key, "asks", "doc_id", "z", "part")
+    # a number of partitions that stays: the rows are small and the work on them is not
+    dealt = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "asks")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _grouped(heads: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,12 +314,13 @@ def _grouped(heads: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
     parts = materialize(connected_components(links), "parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("part_size"))
     known = parts.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "part_size")
-    stars = heads.select("doc_id").join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").withColumn("centre", F.coalesce("b", "doc_id"))
-    stars = materialize(stars.select("doc_id", "centre"), "stars")
+    stars = heads.select("doc_id", "n").join(near.withColumnRenamed("a", "doc_id"), "doc_id", "left").withColumn("centre", F.coalesce("b", "doc_id"))
+    stars = materialize(stars.select("doc_id", "n", "centre"), "stars")
     # a typical document that stands with another one has a group of the others still; of these it is no member
-    around = stars.groupBy("centre").agg(F.count("*").alias("grp_size"))
-    placed = stars.join(around, "centre").withColumn(
-        "grp", F.struct("centre", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("grp_size") / CHUNK)).alias("chunk"))).drop("centre")
+    around = stars.groupBy("centre").agg(F.count("*").alias("grp_size"), F.sum("n").alias("tokens"))
+    chunks = F.greatest(F.ceil(F.col("grp_size") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
+    placed = stars.drop("n").join(around, "centre").withColumn(
+        "grp", F.struct("centre", F.pmod(F.xxhash64("doc_id"), chunks).alias("chunk"))).drop("centre", "tokens").distinct()
     return heads.join(placed, "doc_id").join(known, "doc_id", "left").withColumns({
         "part": F.coalesce("part", "doc_id"), "part_size": F.coalesce("part_size", F.lit(1))})
 
@@ -278,8 +348,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     near = materialize(_typical_pairs(heads), "typical")
     links = materialize(_verified(docs, near, k, percent), "links")
     grouped = materialize(_grouped(heads.drop("signs"), near, links), "grouped")
-    pairs = materialize(_qualifying(grouped, percent).distinct(), "pairs")
-    more = _verified(docs, pairs, k, percent)
+    likely = materialize(_qualifying(grouped, percent), "likely")
+    more = _opened_links(docs, likely, grouped, k, percent)
     parts = connected_components(materialize(links.union(more), "all-links"))
 
     classes = names.join(parts.select(F.col("node").alias("head"), "component"), "head", "left").select(

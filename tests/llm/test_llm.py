@@ -400,6 +400,7 @@ def _components(rows, k, percent):
 
 def test_jaccard_like_brute_force(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "SLICE", 3)
     rng = np.random.default_rng(4)
     base = [f"v{x}" for x in rng.integers(0, 500, 120)]
     made = []
@@ -439,12 +440,38 @@ def test_jaccard_bounds_hold_in_groups_of_mixed_sizes(spark, mixed):
         for i, x in sets.items()
     ]
     table = spark.createDataFrame(rows, "doc_id long, part long, part_size long, grp struct<centre: long, chunk: long>, grp_size long, n long, leading array<long>")
-    got = {(min(r), max(r)) for r in jaccard._qualifying(table, percent).collect()}
+    opened = jaccard._qualifying(table, percent).collect()
+    got = {(min(r.query, i), max(r.query, i)) for r in opened for i in sets if group[i] == r.grp.centre}
     want = {(a, b) for a in sets for b in sets if a < b and parts[a] != parts[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert (1_000, 1_001) in want and len(want) > 100
     assert want - got == set()
 
 
+def test_a_tile_tells_enough_links():
+    """Whatever the sets, queries and members end in the components that all their links give."""
+    rng = np.random.default_rng(9)
+    pool = rng.permutation(1_000).astype(np.uint64)
+    sets = [np.sort(rng.choice(pool[:60], rng.integers(40, 60), replace=False)) for _ in range(40)] + [np.sort(pool[100:130])]
+    parts = [int(x) for x in rng.integers(0, 12, 41)]
+    tile, edges = jaccard._Tile(), [(i, j) for i in range(41) for j in range(i) if parts[i] == parts[j]]
+    want = list(edges)
+    for i in range(20):
+        tile.add(i, parts[i], sets[i])
+    for i in range(20, 41):
+        edges += [(i, j) for j in tile.ask(parts[i], sets[i], 75)]
+        want += [(i, j) for j in range(20) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+
+    def classes(pairs):
+        top = list(range(41))
+        for _ in top:
+            for i, j in pairs:
+                top[i] = top[j] = min(top[i], top[j])
+        return top
+
+    assert classes(edges) == classes(want) and len(set(classes(want))) > 1
+    assert jaccard._Tile().ask(0, sets[0], 80) == []
+
+
 # 10 quality
 
 def test_quality_keeps_clean_documents(spark):
