@@ -10,7 +10,7 @@ from gleanery.operators.bm25 import bm25_search
 from gleanery.plans.index_log import open_log
 from gleanery.session import scratch_path
 from gleanery.sources.page_log import newest_pages, read_log
-from gleanery.streaming import streams
+from gleanery.streaming import progress, streams
 
 
 def stream_query(name: str, sql: str | None = None):
@@ -120,3 +120,22 @@ def stream_index(spark, sf_dir):
     streams.stream_index(read, f"{root}/index", f"{root}/checkpoint").awaitTermination()
     hits = bm25_search(open_log(spark, f"{root}/index"), fixtures.view(spark, sf_dir, "v_queries"), k=10)
     return hits.withColumn("score", six_digits(F.col("score")))
+
+
+@stream_query("stream_progress", """
+WITH b AS (SELECT event_id % 3 AS batch, count(*) FILTER (WHERE event_type <> 'error') AS pages,
+                  count(*) FILTER (WHERE event_type = 'error') AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1),
+t AS (SELECT batch, sum(pages) OVER w AS pages, sum(errors) OVER w AS errors,
+             (epoch_us(max(last_ts) OVER w) - epoch_us(min(first_ts) OVER w)) / 1e6 AS elapsed FROM b WINDOW w AS (ORDER BY batch))
+SELECT cast(batch AS bigint) AS batch, cast(pages AS bigint) AS pages, cast(errors AS bigint) AS errors,
+       cast(floor(elapsed) AS bigint) AS elapsed_secs, cast(floor(pages * 1000000 / elapsed) AS bigint) AS pages_per_million_secs FROM t""")
+def stream_progress(spark, sf_dir):
+    """Three arrivals of the fetch log, in no order of time; totals after each."""
+    events = spark.read.schema(fixtures.BASE_SCHEMAS["events"].replace("TIMESTAMP_NTZ", "TIMESTAMP")).parquet(f"{sf_dir}/events.parquet")
+    log = events.select("event_id", "ts", (F.col("event_type") != "error").alias("ok"))
+    path, root = _arrivals(spark, log, "event_id % 3", 3), scratch_path(spark, "progress")
+    arrivals = streams.read_stream(spark, path, log.schema, files_per_trigger=1)
+    progress.stream_progress(arrivals, f"{root}/log", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return progress.progress(spark, f"{root}/log").select(
+        "batch", "pages", "errors", F.floor("elapsed_secs").alias("elapsed_secs"),
+        F.floor(F.col("pages") * 1000000 / F.col("elapsed_secs")).alias("pages_per_million_secs"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import bm25, index
 from gleanery.plans import index_log
 from gleanery.sources.page_log import newest_pages, read_log
-from gleanery.streaming import streams
+from gleanery.streaming import progress, streams
 
 DOCS = "doc_id BIGINT, url STRING, title STRING, description STRING, content STRING"
 
@@ -98,3 +98,18 @@ def test_politeness_state_spans_batches(spark, tmp_path):
         source = streams.read_stream(spark, str(tmp_path / "in" / "*"), schema)
         out = streams.run_to_table(streams.stream_politeness(source, 1.0), str(tmp_path / "out"))
     assert sorted((r.event_id, r.wait_seconds) for r in out.collect()) == [(0, 0.0), (1, 0.75), (2, 0.0)]
+
+
+def test_progress_counts_every_batch_once(spark, tmp_path):
+    """Late rows, an empty batch and a batch that runs again; totals stand after each batch."""
+    schema, root = "ts TIMESTAMP, ok BOOLEAN", str(tmp_path / "log")
+    batches = [[(10, True), (12, False)], [(8, True), (11, True)], [], [(18, True), (18, None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "s INT, ok BOOLEAN").select(F.timestamp_seconds("s").alias("ts"), "ok").coalesce(1).write.parquet(
+            str(tmp_path / "in" / f"p{i}"))
+        source = streams.read_stream(spark, str(tmp_path / "in" / "*"), schema)
+        progress.stream_progress(source, root, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    progress.count_batch(spark.read.schema(schema).parquet(str(tmp_path / "in" / "p1")), root, 1)
+    got = [tuple(r)[1:] for r in progress.progress(spark, root, max_pages=8).orderBy("batch").collect()]
+    # an arrival without rows repeats the totals, or makes no batch
+    assert list(dict.fromkeys(got)) == [(1, 1, 2.0, 0.5, 0.125), (3, 1, 4.0, 0.75, 0.375), (4, 1, 10.0, 0.4, 0.5)]
