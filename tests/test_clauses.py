@@ -111,3 +111,15 @@ def test_bounds_hold_and_close_blocks(spark, tmp_path):
     assert all(s <= bounds[where[d]] + 1e-9 for d, s in scores.items())
     third = sorted(scores.values())[-3]
     assert sum(b >= third for b in bounds.values()) < len(bounds) / 2
+
+
+def test_phrase_places_read_the_rarest_word_only(spark, tmp_path):
+    docs = [(i, f"u{i}", "the the", None, "the cat " * 20 + ("the zebra sat" if i % 10 == 0 else "the zebu")) for i in range(40)]
+    stored = write_index(index.build_index(spark.createDataFrame(docs, DOCS), stage=True), str(tmp_path / "ix"), buckets=4)
+    asked = spark.createDataFrame([(1, "the zebra sat"), (2, "The Zebra SAT"), (3, "the zebu sat"), (4, "the the")], "query_id INT, phrase STRING")
+    # of the four phrases, "zebra"/"sat" (4 places), "zebu" (36 or 4) and "the" are asked for, and equal phrases once
+    got = {(r.query_id, r.doc_id) for r in bm25.phrase_matches(stored, asked).collect()}
+    zebras = {d[0] for d in docs if d[0] % 10 == 0}
+    assert got == {(q, d) for q in (1, 2) for d in zebras} | {(4, d[0]) for d in docs}
+    words = spark.createDataFrame([(["the", "zebra", "sat"],), (["the", "zebra", "sat"],)], "words ARRAY<STRING>")
+    assert sorted(r.start for r in bm25.phrase_places(stored, words).collect()) == [40] * 4
