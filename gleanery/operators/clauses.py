@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokenize
-from gleanery.operators.bm25 import BOOSTS, K1, B, idf, read_terms, term_statistics, top_k
+from gleanery.operators.bm25 import BOOSTS, K1, B, idf, phrase_digest, phrase_places, read_terms, term_statistics, top_k
 from gleanery.operators.index import Index
 from gleanery.session import materialize
 
-#: Scores are rounded to so many digits, as sums of doubles come in any order and equal documents must tie.
+#: Scores are rounded to so many digits. They are summed in a way that no order changes, so equal documents tie.
 DIGITS = 12
 
 SHOULD, MUST, MUST_NOT = "should", "must", "must_not"
@@ -40,39 +40,23 @@ def _normal(clauses: DataFrame) -> DataFrame:
         F.sum("boost").alias("boost"))
 
 
-def phrase_frequencies(index: Index, parts: DataFrame) -> DataFrame:
-    """literal, field, doc_id, tf: how often the words of a phrase stand next to each other.
-
-    ``parts``: literal, n, i, term. Word i at position p votes for a phrase that starts at p - i. Only the rarest
-    word of a phrase proposes starts; the places of the others count where a start has been proposed, so the long lists
-    of frequent words are cut down before they are counted.
-    """
-    total = term_statistics(index, parts.select("term").distinct(), "words").groupBy("term").agg(F.sum("df").alias("df"))
-    rated = parts.join(total, "term")
-    rarest = rated.groupBy("literal").agg(F.min(F.struct("df", "i")).alias("r")).select("literal", F.col("r.i").alias("i"))
-    rare = parts.join(rarest, ["literal", "i"], "left_semi")
-    rest = parts.join(rarest, ["literal", "i"], "left_anti")
-    start = (F.col("pos") - F.col("i")).alias("start")
-    proposed = read_terms(index.positions, rare, index, "rare").select("literal", "n", "field", "doc_id", start)
-    proposed = materialize(proposed, "starts")
-    keys = ["literal", "field", "doc_id", "start"]
-    votes = read_terms(index.positions, rest, index, "rest").select("literal", "field", "doc_id", start).join(
-        proposed.select(*keys), keys, "left_semi")
-    agreed = votes.groupBy(*keys).agg((F.count("*") + 1).alias("votes"))
-    return proposed.join(agreed, keys).where(F.col("votes") == F.col("n")).groupBy("literal", "field", "doc_id").agg(
-        F.count("*").cast("int").alias("tf"))
+def phrase_frequencies(index: Index, phrases: DataFrame) -> DataFrame:
+    """Phrases (literal, words) → literal, field, doc_id, tf: how often the words stand next to each other."""
+    found = phrase_places(index, phrases).groupBy("p1", "p2", "field", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    return phrases.select("literal", *phrase_digest(F.col("words"))).join(found, ["p1", "p2"]).select("literal", "field", "doc_id", "tf")
 
 
 def literal_matches(index: Index, literals: DataFrame, rarity: str = "words") -> DataFrame:
     """literal, field, doc_id, tf, doc_len, idf of every occurrence of ``literals`` (literal, words)."""
-    parts = materialize(literals.select("literal", F.size("words").alias("n"), F.posexplode("words").alias("i", "term")), "literals")
+    literals = materialize(literals.select("literal", "words"), "literals")
+    parts = literals.select("literal", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
     # one row per field, three at most
     docs = F.broadcast(index.field_stats.select("field", "n_docs"))
     rated = term_statistics(index, parts.select("literal", "i", "term"), "parts").join(docs, "field")
-    rare = rated.groupBy("literal", "field").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"))
+    rare = rated.groupBy("literal", "field").agg(exact_sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"))
     single = read_terms(index.postings, parts.where("n = 1").select("literal", "term"), index, "single").select(
         "literal", "field", "doc_id", "tf", "doc_len")
-    found = materialize(phrase_frequencies(index, parts.where("n > 1")), "phrases")
+    found = materialize(phrase_frequencies(index, literals.where(F.size("words") > 1)), "frequencies")
     lengths = index.doc_lengths.select("field", "doc_id", F.col("len").alias("doc_len"))
     phrases = found.join(lengths, ["field", "doc_id"]).select("literal", "field", "doc_id", "tf", "doc_len")
     if rarity == "phrase":
@@ -84,6 +68,17 @@ def literal_matches(index: Index, literals: DataFrame, rarity: str = "words") ->
     return single.unionByName(phrases).join(rare, ["literal", "field"])
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles, below 2^63 in units of 2^-20 on the whole, that is the same in any order of the rows.
+
+    Units of 2^-20 and what is left of them in units of 2^-60 are summed as integers; a double is rounded once, at the end.
+    """
+    scaled = value * F.lit(2.0**20)
+    whole = F.floor(scaled)
+    rest = F.floor((scaled - whole) * F.lit(2.0**40))
+    return (F.sum(whole) + F.sum(rest) / F.lit(2.0**40)) / F.lit(2.0**20)
+
+
 def _part(weight: Column) -> Column:
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("avg_len"))
     return weight * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
@@ -105,12 +100,17 @@ def bm25_clauses(index: Index, clauses: DataFrame, k: int, offset: int = 0, boos
     # one row per field, three at most
     stats = F.broadcast(index.field_stats.where(F.col("field").isin(*boosts)).select("field", "avg_len"))
     rows = wanted.select("query_id", "literal", F.col("field").alias("only"), "occur", F.col("boost").alias("own"))
-    hits = matches.join(stats, "field").join(rows, "literal").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
-    part = _part(F.col("own") * boost[F.col("field")] * F.col("idf"))
-    # first per clause and document: a clause that matches in several fields is one required clause
-    by_clause = hits.groupBy("query_id", "doc_id", "occur", "literal", "only").agg(F.sum(part).alias("part"))
-    scored = by_clause.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.when(F.col("occur") != MUST_NOT, F.col("part"))), DIGITS).alias("score"),
+    part = exact_sum(_part(boost[F.col("field")] * F.col("idf"))).alias("part")
+    # first per document what a clause of boost 1 adds, in all fields and in single ones, so that a clause meets a document
+    # once: one that matches in several fields is one required clause
+    fielded = materialize(rows.where("only is not null").select("literal", F.col("only").alias("field")).distinct(), "fielded")
+    rated = matches.join(stats, "field")
+    everywhere = rated.groupBy("literal", "doc_id").agg(part).withColumn("scope", F.lit(""))
+    single = rated.join(fielded, ["literal", "field"], "left_semi").groupBy("literal", "field", "doc_id").agg(part)
+    parts = everywhere.unionByName(single.withColumnRenamed("field", "scope"))
+    hits = parts.join(rows.withColumn("scope", F.coalesce("only", F.lit(""))), ["literal", "scope"])
+    scored = hits.groupBy("query_id", "doc_id").agg(
+        F.round(exact_sum(F.when(F.col("occur") != MUST_NOT, F.col("own") * F.col("part"))), DIGITS).alias("score"),
         F.count_if(F.col("occur") == MUST).alias("got"), F.count_if(F.col("occur") == MUST_NOT).alias("bad"))
     needed = wanted.groupBy("query_id").agg(F.count_if(F.col("occur") == MUST).alias("needed"))
     kept = scored.join(needed, "query_id").where(
