@@ -113,3 +113,17 @@ def test_progress_counts_every_batch_once(spark, tmp_path):
     got = [tuple(r)[1:] for r in progress.progress(spark, root, max_pages=8).orderBy("batch").collect()]
     # an arrival without rows repeats the totals, or makes no batch
     assert list(dict.fromkeys(got)) == [(1, 1, 2.0, 0.5, 0.125), (3, 1, 4.0, 0.75, 0.375), (4, 1, 10.0, 0.4, 0.5)]
+
+
+def test_an_arrival_is_one_batch_of_many_files(spark, tmp_path, monkeypatch):
+    from gleanery.catalog import streaming_queries
+
+    monkeypatch.setattr(streaming_queries, "scratch_path", lambda _, name: str(tmp_path / name))
+    seen = {}
+
+    def start(stream):
+        return streams._start(stream, lambda rows, i: seen.__setitem__(i, rows.count()), str(tmp_path / "c"), True)
+
+    streaming_queries._arrivals(spark, spark.range(0, 400, 1, 4), "id % 2", 2, start)
+    assert seen == {0: 200, 1: 200}
+    assert len(list((tmp_path / "arrivals").glob("*.parquet"))) == 8
