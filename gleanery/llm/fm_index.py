@@ -36,8 +36,8 @@ class WaveletMatrix:
             symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
 
     def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
-        """Start of each symbol's run on the lowest level, and where each of ``places`` falls in it."""
-        held = [np.zeros_like(places[0]), *places]
+        """Where each of ``places`` falls on the lowest level, where a symbol's places are one run."""
+        held = list(places)
         for bit, bits in self.levels:
             one = (symbol >> bit & 1).astype(bool)
             ranks = [bits.rank(x) for x in held]
@@ -52,23 +52,28 @@ class FMIndex:
         n = len(symbols)
         rank = symbols.astype(np.int64)
         step = 1
-        order = np.argsort(rank, kind="stable")
         # suffixes need ordering only as far as a text reaches
         while step <= longest:
             second = np.zeros(n, np.int64)
             second[: n - step] = rank[step:] + 1
             key = rank * (n + 2 + int(symbols.max(initial=0))) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
+            if new[-1] == n - 1:
+                break
             step *= 2
+        else:
+            # equal suffixes stand in the order of the sequence, as those one word longer do
+            order = np.argsort(rank, kind="stable")
         self.order = order
         depth = max(1, int(symbols.max(initial=0)).bit_length())
         self.matrix = WaveletMatrix(symbols[order - 1].astype(np.int64), depth)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1))])
-        self.size = n
+        # where each symbol's run starts on the lowest level
+        self.base = self.matrix.rank(np.arange(len(self.starts) - 1), np.zeros(len(self.starts) - 1, np.int64))[0]
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of equally long patterns (rows) that occur: the interval of ``order`` that begins with each.
@@ -76,15 +81,16 @@ class FMIndex:
         A search stops once one place is left: then the interval is that of the pattern's end, in the only text
         that can hold the pattern.
         """
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.size, np.int64)
-        going = np.arange(len(patterns))
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[going, j]
-            base, a, b = self.matrix.rank(symbol, low[going], high[going])
-            a, b = self.starts[symbol] + a - base, self.starts[symbol] + b - base
-            low[going], high[going] = a, b
-            going = going[b - a > 1]
+        # one word alone begins a run of the order
+        last = patterns[:, -1]
+        low, high = self.starts[last], self.starts[last + 1]
+        going = np.flatnonzero(high - low > 1)
+        for j in range(patterns.shape[1] - 2, -1, -1):
             if not len(going):
                 break
+            symbol = patterns[going, j]
+            a, b = self.matrix.rank(symbol, low[going], high[going])
+            shift = self.starts[symbol] - self.base[symbol]
+            low[going], high[going] = a + shift, b + shift
+            going = going[b - a > 1]
         return low, high

@@ -171,7 +171,8 @@ def _earliest(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
             cuts[1::2][which] = high[many]
             found[many] = np.minimum.reduceat(np.append(doc_by_place, _LAST), cuts)[0::2][which]
         least[i : i + STREAM] = found
-    return np.split(least, np.cumsum(np.bincount(owner[starts], minlength=len(contents)))[:-1])
+    stops = np.cumsum(np.bincount(owner[starts], minlength=len(contents))).tolist()
+    return [least[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def _spans(start: int, flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -230,10 +231,8 @@ def _cut(rows: DataFrame) -> DataFrame:
                         spans.append([])
                         kept.append(b" ".join(words).decode())
                         continue
-                    marks = np.zeros(len(words) + 1, np.int64)
-                    for x in own:
-                        np.add.at(marks, x["starts"], 1)
-                        np.add.at(marks, x["ends"], -1)
+                    begins, ends = ([p for x in own for p in x[end]] for end in ("starts", "ends"))
+                    marks = np.bincount(begins, minlength=len(words) + 1) - np.bincount(ends, minlength=len(words) + 1)
                     covered = np.cumsum(marks)[:-1] > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
                     gone.append(int(covered.sum()))
