@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, jaccard, language, mixing, token_files
 from gleanery.llm.queries import TOKENIZERS
-from gleanery.session import materialize, scratch_path
+from gleanery.session import bound_batches, materialize, scratch_path
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal rows are judged alike. Rows with a null id or language are judged too; they only teach nothing without a language.
     """
+    bound_batches(spark)
     model = language.fit_languages(docs.filter(~language.held_out(F.col("doc_id"))).select("lang", "text"))
     return language.identify(docs, model).filter("not rejected").select(docs.columns)
 
@@ -30,6 +31,7 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row is a document of its own here, under a number that is written once: of repeated rows and of rows with a
     null id (they come after all others) one stays as well. Rows without words link with nothing and stay.
     """
+    bound_batches(spark)
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80)
     classes = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
@@ -41,6 +43,7 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark; null and wordless texts hold none. Equal rows are judged alike."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_leaks(docs, benchmark).filter("not contaminated").select(docs.columns)
 
@@ -55,6 +58,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: per row its id, start, ids with the end id, and their checksum. A null text
     is the end id alone; rows with a null id come first, equal ids stand side by side."""
+    bound_batches(spark)
     folder = scratch_path(spark, "token-files")
     token_files.write_token_files(docs, folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
     return token_files.read_token_files(spark, folder).drop("place")

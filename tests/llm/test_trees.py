@@ -280,3 +280,25 @@ def test_blocks_that_cannot_win_stay_closed():
     scores[np.arange(len(own)), own] = -np.inf
     assert found == {(i, int(j)) for i in range(len(own)) for j in sorted(range(len(x)), key=lambda j: (-scores[i, j], j))[:10]}
     assert group.visited <= 2 * len(own)
+
+
+def test_pipeline_bounds_batches_of_texts(spark):
+    import corpus_pipeline
+    from gleanery.session import BATCH_BYTES, bound_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        texts = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id AS string), 800) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")
+        corpus_pipeline.by_language(spark, texts, "")
+
+        def sizes(batches):
+            for batch in batches:
+                yield batch.select(["id"]).slice(0, 0) if batch.nbytes < 2 * BATCH_BYTES else batch.select(["id"])
+
+        assert texts.selectExpr("doc_id AS id", "text").mapInArrow(sizes, "id long").count() == 0
+        spark.conf.set(name, "1k")
+        bound_batches(spark)
+        assert spark.conf.get(name) == "1k"
+    finally:
+        spark.conf.set(name, before)
