@@ -5,31 +5,85 @@ the largest frequency and the least field length among them, from which follows
 score there, whatever the statistics are at query time. The heads of blocks, without their entries, give each
 query an upper bound per block. The blocks with the highest bounds are scored first; their k-th score is a floor, and
 of the others only those are opened whose bound reaches it. Rare words dominate the bounds, so blocks that hold
-nothing but frequent words stay closed.
+nothing but frequent words stay closed. Documents move to their blocks as text and are counted there, so no posting is
+shuffled to build a block; an opened block is read once for all queries, whose sums are made in the cells of a grid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.operators.bm25 import BOOSTS, K1, SCORE_DIGITS, B, query_terms, term_weights, top_k
-from gleanery.operators.index import Index, hash_bucket
-from gleanery.session import materialize
-from gleanery.sources.index_store import write_by_term
+from gleanery.operators.index import Index, field_tokens, hash_bucket
+from gleanery.operators.scoring import summed
+from gleanery.session import bound_batches, materialize
+from gleanery.sources.index_store import buckets_for, write_by_term
 
 #: Documents of a block, about.
 BLOCK_DOCS = 64
-#: Blocks that are scored first for each query: enough that the k-th score is rarely far off.
+#: Blocks of a task that builds them, about.
+TASK_BLOCKS = 128
+#: Blocks that are scored first for each query, or the hits asked for, if these are more: each block holds a match.
 FIRST_BLOCKS = 4
+#: Digits of bounds; scores have fewer.
+BOUND_DIGITS = SCORE_DIGITS + 2
 
-SCHEMA = (
+_ROWS = (
     "field STRING, term STRING, doc_block INT, n INT, max_tf INT, min_len INT, "
-    "entries ARRAY<STRUCT<doc_id: BIGINT, tf: INT, doc_len: INT>>, term_bucket INT"
+    "entries ARRAY<STRUCT<doc_id: BIGINT, tf: INT, doc_len: INT>>"
 )
+SCHEMA = f"{_ROWS}, term_bucket INT"
+_ENTRY = [("doc_id", pa.int64()), ("tf", pa.int32()), ("doc_len", pa.int32())]
+
+
+def _block_rows(part: pa.Table) -> pa.RecordBatch:
+    """One row per field, term and block of whole blocks: (field, doc_id, tokens, doc_block) per document and field."""
+    tokens = part.column("tokens").combine_chunks()
+    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    kinds = max(1, len(words.dictionary))
+    key, tf = np.unique(np.repeat(np.arange(len(size)) * kinds, size) + words.indices.to_numpy(), return_counts=True)
+    row, term = np.divmod(key, kinds)
+    fields = part.column("field").combine_chunks().dictionary_encode()
+    field, block = fields.indices.to_numpy()[row], part.column("doc_block").to_numpy()[row]
+    doc = part.column("doc_id").to_numpy()[row]
+    order = np.lexsort((doc, term, field, block))
+    field, block, term, doc, tf, length = field[order], block[order], term[order], doc[order], tf[order].astype(np.int32), size[row][order].astype(np.int32)
+    new = np.ones(len(order), bool)
+    new[1:] = (block[1:] != block[:-1]) | (field[1:] != field[:-1]) | (term[1:] != term[:-1])
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(order)).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(tf), pa.array(length)], names=[n for n, _ in _ENTRY])
+    none = np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([
+        fields.dictionary.take(pa.array(field[first])), words.dictionary.take(pa.array(term[first])), pa.array(block[first], pa.int32()),
+        pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tf, first) if len(first) else none),
+        pa.array(np.minimum.reduceat(length, first) if len(first) else none), pa.ListArray.from_arrays(pa.array(ends), entries),
+    ], names=["field", "term", "doc_block", "n", "max_tf", "min_len", "entries"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by block; those of the last one wait for the next batch."""
+    waiting = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        block = rows.column("doc_block").to_numpy()
+        whole = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+        if whole:
+            yield _block_rows(rows.slice(0, whole))
+        waiting = rows.slice(whole)
+    if waiting is not None:
+        yield _block_rows(waiting)
 
 
 def posting_blocks(index: Index, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -37,39 +91,63 @@ def posting_blocks(index: Index, block_docs: int = BLOCK_DOCS) -> DataFrame:
     # one row per field
     docs = index.field_stats.agg(F.max("n_docs")).first()[0] or 0
     blocks = max(1, -(-docs // block_docs))
-    rows = index.postings.select("field", "term", hash_bucket(F.col("doc_id"), blocks).alias("doc_block"), "doc_id", "tf", "doc_len")
-    return rows.groupBy("field", "term", "doc_block").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "tf", "doc_len"))).alias("entries"))
+    spark = index.docs.sparkSession
+    bound_batches(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks // TASK_BLOCKS))
+    dealt = index.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "description", "content").withColumn(
+        "doc_block", hash_bucket(F.col("doc_id"), blocks)).repartition(tasks, "doc_block").sortWithinPartitions("doc_block")
+    rows = field_tokens(dealt, "doc_block").where(F.col("tokens").isNotNull())
+    return rows.mapInArrow(_by_block, _ROWS)
 
 
 def write_blocks(index: Index, path: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Write the blocks beside a stored index, by the same buckets of terms."""
-    write_by_term(posting_blocks(index, block_docs), path, index.term_buckets or 1)
+    """Write the blocks beside a stored index, by the same buckets of terms. The tasks that build blocks hold some of every bucket."""
+    blocks = posting_blocks(index, block_docs).withColumn("term_bucket", hash_bucket(F.col("term"), index.term_buckets or 1))
+    blocks.sortWithinPartitions("term_bucket", "term", "doc_block").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
     return index.docs.sparkSession.read.schema(SCHEMA).parquet(path)
 
 
-def _part(weight: Column, tf: Column, length: Column) -> Column:
+def write_block_index(index: Index, path: str, block_docs: int = BLOCK_DOCS) -> tuple[Index, DataFrame]:
+    """Write what a search of blocks reads: the blocks and the statistics, which are added up from them."""
+    spark = index.docs.sparkSession
+    index.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
+    field_stats = spark.read.schema("field STRING, n_docs BIGINT, avg_len DOUBLE").parquet(f"{path}/field_stats")
+    stored = replace(index, field_stats=field_stats, term_buckets=buckets_for(field_stats)[0])
+    blocks = write_blocks(stored, f"{path}/blocks", block_docs)
+    write_by_term(blocks.groupBy("field", "term").agg(F.sum("n").alias("df")), f"{path}/term_stats", stored.term_buckets)
+    stats = spark.read.schema("field STRING, term STRING, df BIGINT, term_bucket INT").parquet(f"{path}/term_stats")
+    return replace(stored, term_stats=stats), blocks
+
+
+def _part(tf: Column, length: Column) -> Column:
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.col("avg_len"))
-    return weight * tf * F.lit(K1 + 1) / (tf + norm)
+    return tf * F.lit(K1 + 1) / (tf + norm)
 
 
-def _score(blocks: DataFrame, weights: DataFrame, opened: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of the documents in the opened (query, block) pairs."""
+def _asked(blocks: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``blocks`` of the asked terms, with a number of the term; and the weight of each number in each query."""
     keys = [c for c in ("term_bucket", "field", "term") if c in blocks.columns and c in weights.columns]
-    # both sides of the match are narrow; entries are read and spread out only where a query has opened their block
-    asked = weights.join(opened, "query_id")
-    found = blocks.join(asked, [*keys, "doc_block"]).select("query_id", "weight", "avg_len", F.explode("entries").alias("e"))
-    part = _part(F.col("weight"), F.col("e.tf"), F.col("e.doc_len"))
-    return found.groupBy("query_id", F.col("e.doc_id").alias("doc_id")).agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    numbered = materialize(weights.select(*keys, "avg_len").distinct().withColumn("term_id", F.monotonically_increasing_id()), "numbered")
+    # the comparison keeps all rows and marks this side as a filter for partition pruning
+    return blocks.join(numbered.where(F.length("term") > 0), keys), weights.join(numbered, keys).select("query_id", "term_id", "weight")
+
+
+def _bounds(asked: DataFrame, weights: DataFrame) -> DataFrame:
+    heads = asked.select(F.col("doc_block").alias("doc_id"), "term_id", _part(F.col("max_tf"), F.col("min_len")).alias("part"))
+    return summed(heads, weights, BOUND_DIGITS).select("query_id", F.col("doc_id").alias("doc_block"), F.col("score").alias("bound"))
+
+
+def _best(asked: DataFrame, weights: DataFrame, opened: DataFrame, want: int) -> DataFrame:
+    """query_id, doc_id, score of the best documents in the opened blocks, for all queries."""
+    found = asked.join(opened, "doc_block").select("term_id", "avg_len", F.explode("entries").alias("e"))
+    postings = found.select(F.col("e.doc_id").alias("doc_id"), "term_id", _part(F.col("e.tf"), F.col("e.doc_len")).alias("part"))
+    scored = summed(postings, weights, SCORE_DIGITS, best=want)
+    return materialize(top_k(scored, want).select("query_id", "rank", "doc_id", "score"), "best")
 
 
 def block_bounds(blocks: DataFrame, weights: DataFrame) -> DataFrame:
-    """query_id, doc_block, bound, matches: the most a document of the block can score, and the entries that match."""
-    keys = [c for c in ("term_bucket", "field", "term") if c in blocks.columns and c in weights.columns]
-    heads = blocks.drop("entries").join(weights, keys)
-    most = _part(F.col("weight"), F.col("max_tf"), F.col("min_len"))
-    return heads.groupBy("query_id", "doc_block").agg(F.sum(most).alias("bound"), F.max("n").alias("matches"))
+    """query_id, doc_block, bound: the most a document of the block can score."""
+    return _bounds(*_asked(blocks, weights))
 
 
 def bm25_search_blocks(index: Index, blocks: DataFrame, queries: DataFrame, k: int, offset: int = 0,
@@ -77,22 +155,18 @@ def bm25_search_blocks(index: Index, blocks: DataFrame, queries: DataFrame, k: i
     """The rows of ``bm25_search``, from the blocks that can hold them.
 
     A block stays closed only if its bound, with a margin for rounding, is below the score of rank ``k + offset``
-    among the documents already scored, so ties are opened and the result is exact.
+    among the documents already scored, for every query, so ties are opened and the result is exact.
     """
     want = k + offset
-    weights = term_weights(index, query_terms(queries), boosts)
-    bounds = materialize(block_bounds(blocks, weights), "bounds")
-    by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), "doc_block")
-    # the best blocks, and at least as many as hold ``want`` matches of one term: each document counts once in ``matches``
-    before = F.coalesce(F.sum("matches").over(by_bound.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ordered = bounds.withColumn("before", before).withColumn("place", F.row_number().over(by_bound))
-    opens = (F.col("place") <= FIRST_BLOCKS) | (F.col("before") < want)
-    ordered = materialize(ordered.select("query_id", "doc_block", "bound", opens.alias("first")), "order")
-    first = materialize(_score(blocks, weights, ordered.where("first").select("query_id", "doc_block")), "first")
-    best = top_k(first, want)
+    asked, weights = _asked(blocks, term_weights(index, query_terms(queries), boosts))
+    bounds = materialize(_bounds(asked, weights), "bounds")
+    first = top_k(bounds, max(FIRST_BLOCKS, want), score="bound", tie="doc_block").select("doc_block").distinct()
+    first = materialize(first, "first")
+    best = _best(asked, weights, first, want)
     floor = best.where(F.col("rank") == want - 1).select("query_id", F.col("score").alias("floor"))
     margin = F.lit(10.0**-SCORE_DIGITS)
-    later = ordered.where(~F.col("first")).join(floor, "query_id", "left").where(
+    later = bounds.join(first, "doc_block", "left_anti").join(floor, "query_id", "left").where(
         F.col("floor").isNull() | (F.col("bound") + margin >= F.col("floor")))
-    rest = _score(blocks, weights, materialize(later.select("query_id", "doc_block"), "later"))
-    return top_k(best.select("query_id", "doc_id", "score").unionByName(rest), k, offset).select("query_id", "rank", "doc_id", "score")
+    rest = _best(asked, weights, materialize(later.select("doc_block").distinct(), "later"), want)
+    every = best.unionByName(rest).select("query_id", "doc_id", "score")
+    return top_k(every, k, offset).select("query_id", "rank", "doc_id", "score")

@@ -133,3 +133,22 @@ def test_phrase_places_read_the_rarest_word_only(spark, tmp_path):
     assert got == {(q, d) for q in (1, 2) for d in zebras} | {(4, d[0]) for d in docs}
     words = spark.createDataFrame([(["the", "zebra", "sat"],), (["the", "zebra", "sat"],)], "words ARRAY<STRING>")
     assert sorted(r.start for r in bm25.phrase_places(stored, words).collect()) == [40] * 4
+
+
+def test_blocks_are_built_and_scored_without_a_row_per_query_and_posting(spark, tmp_path):
+    """Building a block shuffles documents only, and its rows are those of the postings; a null or blank field has none."""
+    docs = [*corpus(200, 9), (900, "x", None, None, None), (901, "y", "", None, " .,;")]
+    built = index.build_index(spark.createDataFrame(docs, DOCS))
+    blocks = block_max.posting_blocks(built, block_docs=16)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    rows = blocks.collect()
+    assert len({(r.field, r.term, r.doc_block) for r in rows}) == len(rows)
+    assert all((r.n, r.max_tf, r.min_len) == (len(r.entries), max(e.tf for e in r.entries), min(e.doc_len for e in r.entries)) for r in rows)
+    got = {(r.field, r.term, e.doc_id, e.tf, e.doc_len) for r in rows for e in r.entries}
+    assert got == {tuple(r) for r in built.postings.collect()}
+    stored, kept = block_max.write_block_index(built, str(tmp_path / "ix"), block_docs=16)
+    assert {tuple(r) for r in stored.term_stats.select("field", "term", "df").collect()} == {tuple(r) for r in built.term_stats.collect()}
+    asked = spark.createDataFrame([(1, "tea"), (2, "green leaf the"), (3, "absent")], "query_id INT, q STRING")
+    got = block_max.bm25_search_blocks(stored, kept, asked, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm25.bm25_search(built, asked, 7).collect()))
