@@ -146,3 +146,20 @@ def test_frontier_depth_budget_and_admit(spark):
     assert run(max_depth=1) == {"a": 0, "b": 1, "c": 1}
     assert run(max_depth=5, max_pages=2) == {"a": 0, "b": 1}
     assert run(max_depth=5, admit=lambda level: level.where("url <> 'd'")) == {"a": 0, "b": 1, "c": 1}
+
+
+def test_pages_go_to_python_in_batches_bounded_by_bytes(spark):
+    """Whole pages, whatever their size, with no more than a few MB of them in a Python worker at a time."""
+    from gleanery.operators.dom import readable_article
+    from gleanery.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, "64m")
+    spark.conf.set(key, "64m")
+    try:
+        pages = spark.range(4).selectExpr("id", "concat('<p>', repeat('word ', 100000), id, '</p>') AS html")
+        got = {r["id"]: r["content"] for r in readable_article(pages).select("id", "content").collect()}
+        assert spark.conf.get(key) == f"{BATCH_BYTES}b"
+        assert got == {i: "word " * 100000 + str(i) for i in range(4)}
+    finally:
+        spark.conf.set(key, before)
