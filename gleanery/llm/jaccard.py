@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as wd
@@ -73,8 +74,15 @@ def _leading(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype(np.uint32).view(np.int32)
+
+
 def frequent_tokens(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Tokens that lead in many documents when the order is by hash alone, counted over all documents."""
+    """Short names of tokens that lead in many documents when the order is by hash alone, counted over all documents.
+
+    A token that shares the name of a frequent one stands late as well: any order that is the same everywhere will do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,28 +91,21 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> np.ndarray:
                 n = np.bincount(rows, minlength=stop - start)
                 first = np.concatenate([[0], np.cumsum(n)])
                 keep = np.arange(len(tokens)) - first[rows] < _leading(n, percent)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(wd.signed(tokens[keep]))], names=["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(_short(tokens[keep]))], names=["token"])
 
     least = max(FREQUENT_LEAST, docs.count() // FREQUENT)
-    found = _texts(docs).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], np.int64).view(_U))
+    found = _texts(docs).mapInArrow(run, "token int").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], np.int32))
 
 
-def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: set size, a 128-bit name of the set, min-hashes, and the first tokens in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k, percent))
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """Per document: set size, a 128-bit name of the set, and min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
         for batch in batches:
             for start, stop in wd.chunks(batch.column(0)):
                 part = batch.slice(start, stop - start)
                 rows, tokens = shingle_sets(part.column(0), k)
-                if len(frequent):
-                    place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                    tokens = tokens | ((frequent[place] == tokens).astype(_U) << _U(62))
-                    order = np.lexsort((tokens, rows))
-                    tokens = tokens[order]
                 n = np.bincount(rows, minlength=part.num_rows)
                 first = np.concatenate([[0], np.cumsum(n)])
                 filled = np.flatnonzero(n)
@@ -116,16 +117,45 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             names[j, filled] = np.add.reduceat(wd.mix(tokens + _U(0xA5A5 + j)), first[filled])
                         for j in range(SIGNATURE):
                             signs[filled, j] = np.minimum.reduceat(wd.mix(tokens ^ _U(0x9E3779B97F4A7C15 * (2 * j + 1) & (2**64 - 1))), first[filled])
-                leading = _leading(n, percent)
-                keep = np.arange(len(tokens)) - first[rows] < leading[rows]
-                offsets = np.concatenate([[0], np.cumsum(leading)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(1), pa.array(n.astype(np.int64)), pa.array(wd.signed(names[0])), pa.array(wd.signed(names[1])),
                     pa.ListArray.from_arrays(np.arange(0, SIGNATURE * part.num_rows + 1, SIGNATURE, np.int32), pa.array(wd.signed(signs.ravel()))),
-                    pa.ListArray.from_arrays(offsets, pa.array(wd.signed(tokens[keep]))),
-                ], names=["doc_id", "n", "name1", "name2", "signs", "leading"])
+                ], names=["doc_id", "n", "name1", "name2", "signs"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, name1 long, name2 long, signs array<long>")
+
+
+def _leading_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, at, token): the first tokens of each set of ``n`` in the global order, of those that two documents or more have.
+
+    Most tokens lead in one document only. They leave here, in narrow rows that are shuffled once, before groups are known.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k, percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            for start, stop in wd.chunks(batch.column(0)):
+                part = batch.slice(start, stop - start)
+                rows, tokens = shingle_sets(part.column(0), k)
+                if len(frequent):
+                    short = _short(tokens)
+                    place = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
+                    tokens = tokens | ((frequent[place] == short).astype(_U) << _U(62))
+                    tokens = tokens[np.lexsort((tokens, rows))]
+                n = np.bincount(rows, minlength=part.num_rows)
+                at = np.arange(len(tokens)) - np.concatenate([[0], np.cumsum(n)])[rows]
+                keep = np.flatnonzero(at < _leading(n, percent)[rows])
+                own = rows[keep]
+                # what rows of a document have in common stands first, so it packs well
+                yield pa.RecordBatch.from_arrays([
+                    part.column(1).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(at[keep].astype(np.int32)),
+                    pa.array(wd.signed(tokens[keep]))], names=["doc_id", "n", "at", "token"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, name1 long, name2 long, signs array<long>, leading array<long>")
+    every = _texts(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, n int, at int, token long")
+    holders = W.partitionBy("token")
+    return every.withColumns({"least": F.min("doc_id").over(holders), "top": F.max("doc_id").over(holders)}).filter(
+        "least <> top").drop("least", "top")
 
 
 def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,31 +171,17 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose sets have the similarity asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        seen: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            hit = []
-            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                sets = []
-                for packed in pair:
-                    if packed not in seen:
-                        if len(seen) > 64:
-                            seen.clear()
-                        seen[packed] = shingle_sets(pa.array([unpack(packed).decode()]), k)[1]
-                    sets.append(seen[packed])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                hit.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
-
-    texts = materialize(_packed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "packed")
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-    )
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    """The rows (a, b) of ``pairs`` whose sets have the similarity asked for. A text ``b`` meets those that ask for it in cells,
+    so each text moves twice, however often it stands in a pair."""
+    opened = pairs.groupBy("b").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    members = opened.select(
+        F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("slice"),
+        F.lit(False).alias("asks"), F.col("b").alias("doc_id"))
+    asking = pairs.join(opened, "b").select(
+        F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"),
+        F.col("a").alias("doc_id"))
+    cells = members.unionByName(asking).select("centre", F.lit(0).cast("long").alias("chunk"), "slice", "asks", "doc_id", F.col("doc_id").alias("part"))
+    return _cell_links(docs, materialize(cells, "pair-cells"), k, percent)
 
 
 def _typical_pairs(heads: DataFrame) -> DataFrame:
@@ -185,19 +201,20 @@ def _fits(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (n + m)
 
 
-def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
+def _qualifying(rows: DataFrame, percent: int, leading: DataFrame | None = None) -> DataFrame:
     """(query, grp): query and group whose bounds allow a link. ``rows``: documents with ``part`` (component),
-    ``part_size``, ``grp``, ``grp_size`` and the leading tokens.
+    ``part_size``, ``grp`` and ``grp_size``; ``leading``: their leading tokens (doc_id, n, at, token), unless ``rows`` hold them as lists.
 
     Tokens stand in one order everywhere. The first one that a query shares with a member has only tokens
     before it that the other lacks, which bounds their overlap; a pair without such a token has no link. Of two
     components the smaller asks the larger, so a pair is met once.
     """
-    rank = F.struct("part_size", "part")
-    matrix = rows.select("doc_id", rank.alias("rank"), "grp", "grp_size", "n", F.posexplode("leading").alias("at", "token"))
-    held = matrix.groupBy("token").agg(F.min("rank").alias("least"), F.max("rank").alias("top"))
-    shared = held.filter("least <> top").select("token", "top")
-    met = materialize(matrix.join(shared, "token"), "matrix")
+    if leading is None:
+        leading = rows.select("doc_id", "n", F.posexplode("leading").alias("at", "token"))
+    known = rows.select("doc_id", F.struct("part_size", "part").alias("rank"), "grp", "grp_size").distinct()
+    holders = W.partitionBy("token")
+    met = leading.join(known, "doc_id").withColumns({"least": F.min("rank").over(holders), "top": F.max("rank").over(holders)})
+    met = materialize(met.filter("least <> top").drop("least"), "matrix")
     queries = met.filter(F.col("rank") < F.col("top")).select(
         "token", F.col("doc_id").alias("query"), F.col("n").alias("q_n"), F.col("at").alias("i"), F.col("rank").alias("q_rank"))
     # one row per token and group, however many components its members belong to
@@ -266,7 +283,6 @@ def _opened_links(docs: DataFrame, likely: DataFrame, rows: DataFrame, k: int, p
 
     A group and up to SLICE of its queries, on average, are a cell; members come first and stay, queries pass by.
     """
-    spark = docs.sparkSession
     opened = likely.groupBy("grp").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
     known = rows.select("doc_id", "grp", "part").distinct()
     members = known.join(opened, "grp").select(
@@ -274,7 +290,13 @@ def _opened_links(docs: DataFrame, likely: DataFrame, rows: DataFrame, k: int, p
     asking = likely.join(opened, "grp").select(
         "grp", F.pmod(F.xxhash64("query"), "slices").cast("int").alias("slice"), F.lit(True).alias("asks"), F.col("query").alias("doc_id"))
     asking = asking.join(known.select("doc_id", "part").distinct(), "doc_id")
-    cells = materialize(members.unionByName(asking).select("grp.centre", "grp.chunk", "slice", "asks", "doc_id", "part"), "cells")
+    cells = members.unionByName(asking).select("grp.centre", "grp.chunk", "slice", "asks", "doc_id", "part")
+    return _cell_links(docs, materialize(cells, "cells"), k, percent)
+
+
+def _cell_links(docs: DataFrame, cells: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links of the queries and members of each cell. ``cells``: centre, chunk, slice, asks (a query), doc_id, part."""
+    spark = docs.sparkSession
     key = ["centre", "chunk", "slice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,19 +358,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows with the same id are one document, whose links are those of any of its texts; a row with a null id joins its set's component and never names one (null if alone).
     An empty table gives an empty result; further columns are ignored.
     """
-    profiles = materialize(_profiles(docs, k, percent), "profiles")
+    profiles = materialize(_profiles(docs, k), "profiles")
     names = profiles.filter("n > 0 and doc_id is not null").groupBy("name1", "name2", "n").agg(
         F.min("doc_id").alias("head"), F.count("*").alias("rows"))
     # narrow rows: the copies that do not go on
     others = profiles.select("doc_id", "name1", "name2", "n").join(names.filter("rows > 1"), ["name1", "name2", "n"]).filter(
         "doc_id <> head").select("doc_id", "name1", "name2")
     heads = profiles.filter("n > 0 and doc_id is not null").join(others.hint("merge"), ["doc_id", "name1", "name2"], "left_anti")
-    heads = materialize(heads.select("doc_id", "n", "signs", "leading"), "heads")
+    heads = materialize(heads.select("doc_id", "n", "signs"), "heads")
 
     near = materialize(_typical_pairs(heads), "typical")
     links = materialize(_verified(docs, near, k, percent), "links")
     grouped = materialize(_grouped(heads.drop("signs"), near, links), "grouped")
-    likely = materialize(_qualifying(grouped, percent), "likely")
+    likely = materialize(_qualifying(grouped, percent, _leading_tokens(docs, k, percent)), "likely")
     more = _opened_links(docs, likely, grouped, k, percent)
     parts = connected_components(materialize(links.union(more), "all-links"))
 

@@ -594,3 +594,16 @@ def test_jaccard_of_documents_that_share_a_passage(spark):
                 p, q = sorted((root(x), root(y)))
                 lead[q] = p
     assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_jaccard_writes_little_of_texts_that_are_alone(spark, tmp_path, monkeypatch):
+    """Tokens that lead in one document only are neither written nor given on."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 1_500)) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string").repartition(1)
+    monkeypatch.setattr("gleanery.session.scratch_root", lambda spark: str(tmp_path))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table, 5, 80).collect()}
+    assert got == {i: i % 60 for i in range(61)}
+    assert sum(x.stat().st_size for x in tmp_path.rglob("*.parquet")) < sum(map(len, texts)) / 4
+    held = jaccard._leading_tokens(table, 5, 80).groupBy("token").agg(F.count_distinct("doc_id").alias("n")).agg(F.min("n"), F.count("*")).first()
+    assert held[0] == 2 and held[1] > 100
