@@ -2,6 +2,7 @@
 
 import shutil
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleanery.operators import bm25, index
@@ -90,6 +91,26 @@ def test_ttl_lets_a_key_pass_again(spark, tmp_path):
     assert got == [("a", 1000), ("a", 1300), ("a", 5000), ("b", 1100)]
 
 
+def test_ttl_keys_share_few_groups(spark, tmp_path, monkeypatch):
+    """Keys in one group keep to themselves, nulls and quotes among them, over batches that let states go."""
+    monkeypatch.setattr(streams, "TTL_BUCKETS", 2)
+    keys = [(None, 1), ("", 1), ('a"b\\', None), ("a", 2**60 + 1), ("a", 2**60)]
+    rng = np.random.default_rng(2)
+    at, want, end = [np.sort(rng.integers(4000 * b, 4000 * b + 2000, 40)).tolist() for b in range(3)], [], {}
+    for batch in at:
+        rows = [(*keys[rng.integers(5)], t) for t in batch]
+        for *key, t in rows:
+            if t >= end.get(tuple(key), t):
+                want.append((*key, t))
+                end[tuple(key)] = t + 300
+        spark.createDataFrame(rows, "k string, n long, s long").select("k", "n", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+        source = streams.read_stream(spark, str(tmp_path / "in"), "k STRING, n BIGINT, ts TIMESTAMP")
+        out = streams.run_to_table(streams.dedupe_within_ttl(source, ["k", "n"], "ts", 300), str(tmp_path / "out"))
+    got = [(r.k, r.n, r.s) for r in out.select("k", "n", F.unix_timestamp("ts").alias("s")).collect()]
+    assert len(got) > 30 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_politeness_state_spans_batches(spark, tmp_path):
     schema = "event_id BIGINT, host STRING, ts TIMESTAMP"
     for i, s in enumerate([0.0, 0.25, 5.0]):
