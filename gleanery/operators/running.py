@@ -18,25 +18,29 @@ from gleanery.session import materialize
 _B = "__block"
 
 
-def _ranged(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _ranged(df: DataFrame, columns: Sequence[str], parts: int | None) -> DataFrame:
     """Rows with their range-partition number as block. Written once, so the number is fixed."""
-    return materialize(df.repartitionByRange(*columns).withColumn(_B, F.spark_partition_id()), "ranged")
+    ranged = df.repartitionByRange(*columns) if parts is None else df.repartitionByRange(parts, *columns)
+    return materialize(ranged.withColumn(_B, F.spark_partition_id()), "ranged")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-                  block: Column | None = None) -> DataFrame:
+                  block: Column | None = None, parts: int | None = None) -> DataFrame:
     """Adds ``out`` = sum of ``value`` over the rows of ``keys`` up to and including this one.
 
     Without a ``block`` expression the rows are range-partitioned by (keys, order) and each
-    partition is a block, whatever the spread of the values.
+    partition is a block, whatever the spread of the values. ``parts`` is the number of tasks, if Spark's own does not
+    follow the number of rows.
     """
     keys = list(keys)
     rows = df.withColumn("__v", value)
-    rows = _ranged(rows, [*keys, *order]) if block is None else rows.withColumn(_B, block)
+    rows = _ranged(rows, [*keys, *order], parts) if block is None else rows.withColumn(_B, block)
     sums = rows.groupBy(*keys, _B).agg(F.sum("__v").alias("__s"))
     before = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*keys, _B, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
     inside = W.partitionBy(*keys, _B).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    if parts is not None:
+        rows, base = rows.repartition(parts, *keys, _B), base.repartition(parts, *keys, _B)
     return (
         rows.join(base, [*keys, _B])
         .withColumn(out, F.col("__base") + F.sum("__v").over(inside))

@@ -15,6 +15,8 @@ from gleanery.operators.running import running_total
 
 # Limits of the workspace views.
 MAX_ITEMS = 1000
+#: Requests and items that one task of a bulk add takes, on average.
+TASK_ROWS = 1 << 18
 DOMAIN_PILLS = 4
 RECENT_SOURCES = 4
 RECENT_READS = 3
@@ -234,22 +236,30 @@ def bulk_add_items(existing: DataFrame, batch: DataFrame, cap: int = MAX_ITEMS,
     as a duplicate of a created one or rejected again.
     """
     norm = F.lower(trim_space(F.col("url")))
-    have = existing.select("workspace_id", norm.alias("__n")).distinct().withColumn("__have", F.lit(True))
+    # tasks follow the number of rows, so that what one of them sorts or holds does not grow
+    least = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-(batch.count() + existing.count()) // TASK_ROWS))
+    key = ["workspace_id", "__n"]
+    have = existing.select("workspace_id", norm.alias("__n")).repartition(parts, *key).distinct()
     counts = existing.groupBy("workspace_id").agg(F.count("*").alias("__count"))
-    requests = batch.withColumn("__n", norm)
-    firsts = requests.groupBy("workspace_id", "__n").agg(F.min(order).alias("__first"))
-    fresh = firsts.join(have, ["workspace_id", "__n"], "left_anti")
-    ranked = running_total(fresh, ["workspace_id"], ["__first"], F.lit(1), "__r")
+    requests = batch.withColumn("__n", norm).repartition(parts, *key)
+    firsts = requests.groupBy(*key).agg(F.min(order).alias("__first"))
+    fresh = firsts.join(have, key, "left_anti")
+    ranked = running_total(fresh, ["workspace_id"], ["__first"], F.lit(1), "__r", parts=parts)
+    # behind the cap nothing fits, whatever the count: those rows are spread, so a workspace brings a task no more than the cap
+    late = F.when(F.col("__r") > cap, F.col("__r")).otherwise(0)
+    known = counts.withColumn("__late", F.lit(0).cast("long")).repartition(parts, "workspace_id", "__late")
     room = F.lit(cap) - F.coalesce("__count", F.lit(0))
-    fate = ranked.join(counts, "workspace_id", "left").select(
-        "workspace_id", "__n", "__first", (F.col("__r") <= room).alias("__fits"))
+    fate = ranked.withColumn("__late", late.cast("long")).repartition(parts, "workspace_id", "__late").join(
+        known, ["workspace_id", "__late"], "left").select(
+        "workspace_id", "__n", "__first", (F.col("__r") <= room).alias("__fits")).repartition(parts, *key)
     status = (
         F.when(F.col("__fits").isNull(), F.lit("duplicate"))
         .when(~F.col("__fits"), F.lit("rejected"))
         .when(F.col(order) == F.col("__first"), F.lit("created"))
         .otherwise(F.lit("duplicate"))
     )
-    return requests.join(fate, ["workspace_id", "__n"], "left").withColumn("status", status).drop(
+    return requests.join(fate, key, "left").withColumn("status", status).drop(
         "__n", "__first", "__fits")
 
 

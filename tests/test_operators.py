@@ -260,6 +260,21 @@ def test_running_total_and_previous(spark):
     assert [r.seq for r in sorted(numbered, key=lambda r: r.n)] == [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))]
 
 
+def test_bulk_add_deals_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """The number of tasks follows the rows; one workspace far beyond its cap, a repeated URL and an empty batch come out alike."""
+    ex = spark.createDataFrame([(1, "U0"), (1, "u1"), (2, "x")], "workspace_id long, url string")
+    rows = [(1, i, f" U{i % 150} ") for i in range(300)] + [(2, 1000 + i, "same") for i in range(50)]
+    rq = spark.createDataFrame(rows, "workspace_id long, seq long, url string")
+    want = sorted((r.workspace_id, r.seq, r.status) for r in workspace.bulk_add_items(ex, rq, cap=10).collect())
+    assert want[:4] == [(1, 0, "duplicate"), (1, 1, "duplicate"), (1, 2, "created"), (1, 3, "created")]
+    assert [sum(s == x for *_, s in want) for x in ("created", "rejected")] == [9, 280]
+    monkeypatch.setattr(workspace, "TASK_ROWS", 20)
+    out = workspace.bulk_add_items(ex, rq, cap=10)
+    assert sorted((r.workspace_id, r.seq, r.status) for r in out.collect()) == want
+    assert out.rdd.getNumPartitions() == 18
+    assert workspace.bulk_add_items(ex, rq.limit(0), cap=10).collect() == []
+
+
 def test_bulk_add_simulation(spark):
     rng = random.Random(11)
     cap, existing, batch, want = 6, [], [], {}
