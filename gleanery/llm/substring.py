@@ -51,12 +51,15 @@ def _anchors(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
     shingles = wd.windows(words, ANCHOR)
-    best, place = shingles[at].copy(), at.copy()
-    for j in range(1, WINDOW - ANCHOR + 1):
-        other = shingles[at + j]
-        less = other < best
-        best[less] = other[less]
-        place[less] = at[less] + j
+    # the first of the smallest of 1, 2, 4, 8 shingles from each place on, then of all by two overlapping runs
+    best, place = shingles, np.arange(len(shingles))
+    width, count = 1, WINDOW - ANCHOR + 1
+    while width < count:
+        step = min(width, count - width)
+        less = best[step:] < best[:-step]
+        best, place = np.where(less, best[step:], best[:-step]), np.where(less, place[step:], place[:-step])
+        width += step
+    best, place = best[at], place[at]
     return row[at], at, best, place
 
 
