@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokenize
 from gleanery.operators.bm25 import BOOSTS, K1, B, idf, phrase_digest, phrase_places, read_terms, term_statistics, top_k
+from gleanery.operators.clause_scan import best_of_clauses
 from gleanery.operators.index import Index
 from gleanery.session import materialize
 
@@ -63,8 +64,6 @@ def literal_matches(index: Index, literals: DataFrame, rarity: str = "words") ->
         own = found.groupBy("literal", "field").agg(F.count("*").alias("df")).join(docs, "field").select(
             "literal", "field", idf(F.col("n_docs"), F.col("df")).alias("own"))
         rare = rare.join(own, ["literal", "field"], "left").withColumn("idf", F.coalesce("own", "idf")).drop("own")
-    elif rarity != "words":
-        raise ValueError(f"rarity is 'words' or 'phrase', not {rarity!r}")
     return single.unionByName(phrases).join(rare, ["literal", "field"])
 
 
@@ -92,9 +91,15 @@ def bm25_clauses(index: Index, clauses: DataFrame, k: int, offset: int = 0, boos
     must match every required clause and no excluded one; without a required clause it must match an optional
     one. Required and optional clauses score, in each field they may match, with the field's boost times their own.
     Clauses without a word count as none; a query of excluded clauses alone finds nothing. A clause given twice
-    counts twice.
+    counts twice. On an index built from text clauses go to the texts (``clause_scan``), on a stored one they are joined.
     """
+    if rarity not in ("words", "phrase"):
+        raise ValueError(f"rarity is 'words' or 'phrase', not {rarity!r}")
     wanted = materialize(_normal(clauses), "clauses")
+    if index.fields is not None:
+        found = best_of_clauses(index.docs, wanted, k + offset, boosts, rarity, DIGITS)
+        if found is not None:
+            return top_k(found, k, offset).select("query_id", "rank", "doc_id", "score")
     matches = literal_matches(index, wanted.select("literal", "words").distinct(), rarity)
     boost = F.create_map(*[F.lit(v) for pair in boosts.items() for v in pair])
     # one row per field, three at most
